@@ -1,22 +1,57 @@
-"""A corpus pipeline: five stages, each a training-data operator over what the last one kept."""
+"""A corpus pipeline: five stages, each a training-data operator over what the last one kept.
+
+Quality rules, line dedup, near-dedup and mixing return the columns of ``documents``; packing
+returns the pieces of the training sequences. A stage's decisions take effect in its result:
+rejected documents and near duplicates are gone, recurring lines are out of the texts (with
+``n_chars`` made anew), and documents stand as often as their source's weight drew them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from statuta.llm.line_dedup import dedup_lines
+from statuta.llm.mixing import mix_sources
 from statuta.llm.near_dup import keep_one
+from statuta.llm.packing import pack_documents
+from statuta.llm.quality import keep_good
+from statuta.llm.shared import Scratch
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    return keep_one(docs).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_sources(docs).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
 
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-STAGES = [("near_dedup", near_dedup)]
+#: The estimates of stage 1 and the sketches of stage 3 are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; every stage's result is written and read again."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = scratch.save(docs, name)
     return docs
