@@ -76,17 +76,15 @@ def license_scan(docs: DataFrame, keep: list[str] = ("doc_id",), text_col: str =
     joined = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     phrase_guard = "(?i)" + "|".join(joined.join(p.split()) for p, _ in phrases)
 
+    known = F.array(
+        *(F.struct(F.lit(label).alias("label"), _text_array(ranked).alias("words"), _text_array(prefix).alias("prefix"), F.lit(need).alias("need")) for label, ranked, need, prefix in plans)
+    )
+
     def matches(words: Column) -> Column:
-        """(label, share) of the templates that a line's distinct words match."""
-        found = []
-        for label, ranked, need, prefix in plans:
-            at = F.array_position
-            first = F.array_min(F.transform(F.array_intersect(words, _text_array(prefix)), lambda w: at(_text_array(prefix), w)))
-            fits = first.isNotNull() & (F.size(words) >= need) & (F.lit(len(ranked)) - first + 1 >= need)
-            shared = F.size(F.array_intersect(words, _text_array(ranked)))
-            share = F.when(fits, shared)
-            found.append(F.when(share >= need, F.struct(F.lit(label).alias("label"), (share / F.lit(len(ranked))).alias("share"))))
-        return F.array_compact(F.array(*found))
+        """(label, shared, need, size) of the templates that a line's distinct words may match."""
+        first = lambda t: F.array_min(F.transform(F.array_intersect(words, t["prefix"]), lambda w: F.array_position(t["prefix"], w)))
+        passed = F.filter(known, lambda t: (F.size(words) >= t["need"]) & F.arrays_overlap(words, t["prefix"]) & (F.size(t["words"]) - first(t) + 1 >= t["need"]))
+        return F.transform(passed, lambda t: F.struct(t["label"].alias("label"), F.size(F.array_intersect(words, t["words"])).alias("shared"), t["need"].alias("need"), F.size(t["words"]).alias("size")))
 
     base = docs.select(*keep, text.alias("__text"))
     rows = base.select(
@@ -105,7 +103,8 @@ def license_scan(docs: DataFrame, keep: list[str] = ("doc_id",), text_col: str =
     rows = rows.withColumns({f"__at{k}": F.coalesce(places(p), F.array().cast("array<bigint>")) for k, (p, _) in enumerate(phrases)})
     everywhere = F.concat(*(F.col(f"__at{k}") for k in range(len(phrases))))
     base_labels = F.array_distinct(F.array_compact(F.array(*(F.when(F.size(f"__at{k}") > 0, label) for k, (_, label) in enumerate(phrases)))))
-    hits = F.flatten(F.transform(F.col("__lines"), lambda x: matches(F.array_distinct(_words(ascii_lower(x))))))
+    sets_ = F.transform(F.col("__lines"), lambda x: F.array_distinct(_words(ascii_lower(x))))
+    hits = F.filter(F.flatten(F.transform(sets_, matches)), lambda h: h["shared"] >= h["need"])
     rows = rows.select(*keep, "n_words", everywhere.alias("__at"), base_labels.alias("__base"), hits.alias("__hits"))
     labels = F.array_union(F.col("__base"), F.transform("__hits", lambda h: h["label"]))
     return rows.select(
@@ -116,7 +115,7 @@ def license_scan(docs: DataFrame, keep: list[str] = ("doc_id",), text_col: str =
         F.array_max("__at").alias("last_word"),
         F.array_join(F.array_sort("__base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(labels), ",").alias("labels"),
-        F.when(F.size("__at") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("__hits", lambda h: h["share"])), F.lit(0.0))).alias("score"),
+        F.when(F.size("__at") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("__hits", lambda h: h["shared"] / h["size"])), F.lit(0.0))).alias("score"),
     )
 
 
