@@ -27,7 +27,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = met.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
         out = met.select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", F.col("low").alias("b")))
-    return out.filter(F.col("a") != F.col("b")).distinct()
+    out = out.filter(F.col("a") != F.col("b"))
+    return out if large else out.distinct()
 
 
 def _seen(edges: DataFrame) -> tuple:

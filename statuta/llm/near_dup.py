@@ -11,8 +11,12 @@
 3. Equal sets are one class, whose least ``doc_id`` stands for it. Classes that share a bucket
    are compared on their full sets, so no link is false. A bucket isn't expanded into pairs:
    each member is held against the bucket's centre, components are formed, and only buckets
-   that still hold several components are looked at again, with another centre. What is open
-   after ``STAR_ROUNDS`` is compared pair by pair.
+   that still hold several components are looked at again, with another centre.
+4. Classes in buckets that are still open after ``STAR_ROUNDS`` meet in an exact join: with
+   their shingles in order of frequency, rarest first, two sets at the threshold share one of
+   the first ``n - ceil(threshold * n) + 1``. A near copy with more edits than that has only
+   shingles of its own there and meets nobody, so large groups of texts that are alike but
+   below the threshold are not expanded into pairs.
 
 Texts are fetched again for the compared classes only, and no set of all documents is stored.
 """
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .components import connected_components
 from .shared import Scratch, mix
@@ -34,8 +38,8 @@ from .words import shingle_set
 _U = np.uint64
 #: Chance to miss a pair whose similarity is exactly the threshold.
 MISS = 1e-6
-#: Rounds with one centre a bucket before the open rest is compared pair by pair.
-STAR_ROUNDS = 3
+#: Rounds with one centre a bucket before the open rest goes to the exact join.
+STAR_ROUNDS = 2
 
 
 def banding(threshold_pct: int, miss: float = MISS) -> tuple[int, int]:
@@ -110,6 +114,35 @@ def _verified(threshold_pct: int, size: int):
     return run
 
 
+def _shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                sets = [shingle_set(x, size).view(np.int64) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "tokens"])
+
+    return run
+
+
+def _open_pairs(open_: DataFrame, texts: DataFrame, scratch: Scratch, threshold_pct: int, size: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that prefix and position leave possible."""
+    t = int(threshold_pct)
+    some = open_.select("cls", "n", "comp").distinct()
+    held = scratch.save(texts.join(some.select("cls"), "cls").mapInArrow(_shingles(size), "cls binary, tokens array<long>"), "open_sets")
+    tokens = held.select("cls", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    common = scratch.save(tokens.join(shared, "token"), "open_tokens")
+    counted = some.join(common.groupBy("cls").agg(F.count("*").alias("n_common")), "cls")
+    # Shingles of one class come first in the order and can't be shared.
+    led = counted.withColumn("alone", F.col("n") - F.col("n_common")).withColumn("prefix", F.expr(f"n - cast(ceil({t} * n / 100D - 1e-9) as long) + 1")).filter("alone < prefix")
+    ranked = common.join(led, "cls").withColumn("place", F.col("alone") + F.row_number().over(W.partitionBy("cls").orderBy("df", "token"))).filter("place <= prefix")
+    one = ranked.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"))
+    two = ranked.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"))
+    possible = F.expr(f"a < b and ca <> cb and 100 * least(na, nb) >= {t} * greatest(na, nb) and {100 + t} * (1 + least(na - pa, nb - pb)) >= {t} * (na + nb)")
+    return one.join(two, "token").filter(possible).select("a", "b").distinct()
+
+
 def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold_pct: int = 80, size: int = 5, miss: float = MISS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -158,8 +191,7 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 # One test a class is enough to join most groups.
                 pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
         else:
-            other = open_.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = open_.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), "comp").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("cb")) & fits)
+            pairs = _open_pairs(open_, texts, scratch, threshold_pct, size)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

@@ -31,12 +31,12 @@ SCALE = 1024
 FEATURES = {
     "log_words": ("ln(1 + n_words)", 0.5),
     "word_length": ("ln(word_chars / n_words)", 0.1),
-    "symbols": ("sqrt(n_symbols / n_words)", 0.1),
+    "symbols": ("sqrt(n_symbols / n_words)", 0.05),
     "marks": ("sqrt(n_marks / n_words)", 0.1),
     "capitals": ("sqrt(n_capitals / word_chars)", 0.05),
-    "digits": ("sqrt(n_digits / word_chars)", 0.1),
-    "dup_lines": ("n_dup_lines / n_lines", 0.1),
-    "repeats": ("n_repeat_words / n_words", 0.1),
+    "digits": ("sqrt(n_digits / word_chars)", 0.12),
+    "dup_lines": ("n_dup_lines / n_lines", 0.12),
+    "repeats": ("n_repeat_words / n_words", 0.12),
     "distinct": ("ln(n_distinct_words / n_words)", 0.2),
 }
 COVERAGE = 0.75
