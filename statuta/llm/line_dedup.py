@@ -93,7 +93,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id
     by_doc = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("__gone"))
     by_doc = by_doc.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), "__gone")
     out = keyed.join(by_doc, (F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)) == F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
+    out = out.withColumn("__parts", F.split(F.col(text_col), "\n", -1))
+    parts = F.col("__parts")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in own), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__dropped"))

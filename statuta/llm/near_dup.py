@@ -11,8 +11,9 @@
 3. Equal sets are one class, whose least ``doc_id`` stands for it. Classes that share a bucket
    are compared on their full sets, so no link is false. A bucket isn't expanded into pairs:
    each member is held against the bucket's centre, components are formed, and only buckets
-   that still hold several components are looked at again, with another centre.
-4. Classes in buckets that are still open after ``STAR_ROUNDS`` meet in an exact join: with
+   that still hold several components are looked at again, with the member that has the fewest
+   shingles for itself as their centre.
+4. Classes in buckets that are still open meet in an exact join: with
    their shingles in order of frequency, rarest first, two sets at the threshold share one of
    the first ``n - ceil(threshold * n) + 1``. A near copy with more edits than that has only
    shingles of its own there and meets nobody, so large groups of texts that are alike but
@@ -38,8 +39,6 @@ from .words import shingle_set
 _U = np.uint64
 #: Chance to miss a pair whose similarity is exactly the threshold.
 MISS = 1e-6
-#: Rounds with one centre a bucket before the open rest goes to the exact join.
-STAR_ROUNDS = 2
 
 
 def banding(threshold_pct: int, miss: float = MISS) -> tuple[int, int]:
@@ -125,18 +124,27 @@ def _shingles(size: int):
     return run
 
 
-def _open_pairs(open_: DataFrame, texts: DataFrame, scratch: Scratch, threshold_pct: int, size: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that prefix and position leave possible."""
-    t = int(threshold_pct)
-    some = open_.select("cls", "n", "comp").distinct()
+def _led(open_: DataFrame, texts: DataFrame, scratch: Scratch, threshold_pct: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Shingles (cls, token, df) that several open classes share, and (cls, n, alone, prefix): the
+    number of shingles a class has for itself and the length of its prefix."""
+    some = open_.select("cls", "n").distinct()
     held = scratch.save(texts.join(some.select("cls"), "cls").mapInArrow(_shingles(size), "cls binary, tokens array<long>"), "open_sets")
     tokens = held.select("cls", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     common = scratch.save(tokens.join(shared, "token"), "open_tokens")
-    counted = some.join(common.groupBy("cls").agg(F.count("*").alias("n_common")), "cls")
-    # Shingles of one class come first in the order and can't be shared.
-    led = counted.withColumn("alone", F.col("n") - F.col("n_common")).withColumn("prefix", F.expr(f"n - cast(ceil({t} * n / 100D - 1e-9) as long) + 1")).filter("alone < prefix")
-    ranked = common.join(led, "cls").withColumn("place", F.col("alone") + F.row_number().over(W.partitionBy("cls").orderBy("df", "token"))).filter("place <= prefix")
+    counted = some.join(common.groupBy("cls").agg(F.count("*").alias("n_common")), "cls", "left")
+    led = counted.select("cls", "n", (F.col("n") - F.coalesce("n_common", F.lit(0))).alias("alone"), F.expr(f"n - cast(ceil({int(threshold_pct)} * n / 100D - 1e-9) as long) + 1").alias("prefix"))
+    return common, scratch.save(led, "led")
+
+
+def _open_pairs(open_: DataFrame, common: DataFrame, led: DataFrame, threshold_pct: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that prefix and position leave possible.
+
+    Shingles of one class alone come first in the order and can't be shared.
+    """
+    t = int(threshold_pct)
+    some = open_.select("cls", "comp").distinct().join(led.filter("alone < prefix"), "cls")
+    ranked = common.join(some, "cls").withColumn("place", F.col("alone") + F.row_number().over(W.partitionBy("cls").orderBy("df", "token"))).filter("place <= prefix")
     one = ranked.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"))
     two = ranked.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"))
     possible = F.expr(f"a < b and ca <> cb and 100 * least(na, nb) >= {t} * greatest(na, nb) and {100 + t} * (1 + least(na - pa, nb - pb)) >= {t} * (na + nb)")
@@ -174,38 +182,37 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return scratch.save(held.select("a", "b", "text_a", "text_b").mapInArrow(_verified(threshold_pct, size), "a binary, b binary, linked boolean"), name)
 
     fits = F.expr(f"100 * least(na, nb) >= {int(threshold_pct)} * greatest(na, nb)")
-    tested = roots = None
-    turn, stars = 0, True
-    while True:
-        open_ = members.withColumn("comp", F.col("cls"))
-        if roots is not None:
+    tested = roots = common = led = None
+    for turn in ("first", "central", "rest"):
+        if roots is None:
+            open_ = members.withColumn("comp", F.col("cls"))
+        else:
             # Buckets of one component are settled.
             labelled = members.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("comp"))
             mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
             open_ = scratch.save(labelled.join(mixed, "key"), f"open_{turn}")
-        if stars:
-            order = F.col("cls") if turn == 0 else F.xxhash64(F.lit(turn), "cls")
-            centre = open_.groupBy("key").agg(F.min_by(F.struct("cls", "n", "comp"), F.struct(order, F.col("cls"))).alias("c"))
+        if turn == "central":
+            common, led = _led(open_, texts, scratch, threshold_pct, size)
+            open_ = open_.join(led.select("cls", "alone"), "cls")
+        if turn == "rest":
+            pairs = _open_pairs(open_, common, led, threshold_pct)
+        else:
+            # The original of a group of copies has the fewest shingles for itself.
+            order = F.struct("cls") if turn == "first" else F.struct("alone", "cls")
+            centre = open_.groupBy("key").agg(F.min_by(F.struct("cls", "n", "comp"), order).alias("c"))
             pairs = open_.join(centre, "key").filter("comp <> c.comp").select(F.col("cls").alias("a"), F.col("c.cls").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb")).filter(fits)
-            if turn == 0:
+            if turn == "first":
                 # One test a class is enough to join most groups.
                 pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
-        else:
-            pairs = _open_pairs(open_, texts, scratch, threshold_pct, size)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         done = verify(scratch.save(pairs, f"pairs_{turn}"), f"tested_{turn}")
         tested = done if tested is None else tested.union(done)
         links = done.filter("linked").select("a", "b")
-        found = not links.isEmpty()
-        if found or roots is None:
+        if roots is None or not links.isEmpty():
             known = links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = connected_components(known, scratch, f"cc_{turn}")
-        if not stars:
-            break
-        turn += 1
-        stars = found and turn < STAR_ROUNDS
 
     component = classes.select("cls", F.col("rep.doc_id").alias("least")).join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     least = component.groupBy("root").agg(F.min("least").alias("component_id"))
