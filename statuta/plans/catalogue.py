@@ -1,10 +1,6 @@
 """Every registered query of the text engine with its SQL twin."""
 
-from __future__ import annotations
+from . import document_queries, feature_queries, model_queries, record_queries, structure_queries  # noqa: F401  they register themselves
+from .base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
