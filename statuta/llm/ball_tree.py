@@ -166,8 +166,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec
 
     Candidates are all rows but those of the query's own id. Vectors that are null or hold a null
     or non-finite component, and rows with a null id, take no part. Vectors of different length
-    are not compared; empty ones score 0 with each other. Scores beyond the range of a long are
-    cut to it. Rows under one id are candidates each; an id asked by several rows is answered for the first of them.
+    are not compared; empty ones score 0 with each other. Components and scores beyond
+    the range of a long are cut to it and tie. Rows under one id are candidates each; an id asked by several rows is answered for the first of them.
     """
     scratch = Scratch(vectors.sparkSession, "ball-tree")
     made = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), integer_vector(f"`{vector_col}`").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter("vector is not null")

@@ -145,40 +145,44 @@ def _distance(names: list[str]) -> F.Column:
     return F.expr(" + ".join(terms))
 
 
-def quality_verdicts(docs: DataFrame, keep: list[str] = ("doc_id",), text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL, min_group: int = MIN_GROUP) -> DataFrame:
-    """``keep`` columns, counts, distance, base_failed and kept of each row; rows stay as many as they are.
+KEY = ["g_lang", "g_source"]
 
-    Null text counts as empty and fails the base rules. Null languages and sources are groups
-    of their own. Rows that fail the base rules take no part in the estimates. Groups below
-    ``min_group`` rows are joined to one of their language, those to one of all; if that is
-    below ``min_group`` too, the method rejects none of it. Ties and repeated rows count each.
-    """
-    scratch = Scratch(docs.sparkSession, "quality")
+
+def _counted_rows(docs: DataFrame, keep: list[str], text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """Counts, statistics and base verdict of each row; the columns of ``keep`` have the prefix ``k_``."""
     src = docs.select(*(F.col(c).alias(f"k_{c}") for c in keep), F.col(lang_col).alias("g_lang"), F.col(source_col).alias("g_source"), F.col(text_col).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", " + STATS
     counted = src.mapInArrow(_counted, schema).withColumn("base_failed", F.expr(BASE_FAILED))
     scale = lambda sql: F.expr(f"cast(round(({sql}) * {SCALE}) as long)")
-    rows = scratch.save(counted.withColumns({f"f_{k}": F.when(~F.col("base_failed"), scale(sql)) for k, (sql, _) in FEATURES.items()}), "rows")
+    return counted.withColumns({f"f_{k}": F.when(~F.col("base_failed"), scale(sql)) for k, (sql, _) in FEATURES.items()})
+
 
-    key = ["g_lang", "g_source"]
-    fine = rows.filter("not base_failed").groupBy(*key).agg(F.count("*").alias("n"))
-    levels = (
+def _levels(rows: DataFrame, min_group: int) -> DataFrame:
+    """Which rows each language and source is estimated with: 0 its own, 1 its language's rest, 2 all rest."""
+    fine = rows.filter("not base_failed").groupBy(*KEY).agg(F.count("*").alias("n"))
+    return (
         fine.withColumn("in_lang", F.sum(F.when(F.col("n") < min_group, F.col("n"))).over(W.partitionBy("g_lang")))
         .withColumn("level", F.expr(f"case when n >= {int(min_group)} then 0 when in_lang >= {int(min_group)} then 1 else 2 end"))
         .select(F.col("g_lang").alias("l"), F.col("g_source").alias("s"), "level")
     )
+
+
+def _grouped(rows: DataFrame, levels: DataFrame) -> DataFrame:
+    """``rows`` with the name of their group; no null, literal or pooled group can clash with another."""
     met = rows.join(levels, F.col("g_lang").eqNullSafe(F.col("l")) & F.col("g_source").eqNullSafe(F.col("s")), "left").drop("l", "s")
-    # A group is named by structs, so that a null or a literal "*" can't clash with a pooled group.
-    met = met.withColumns({
+    return met.withColumns({
         "g_source": F.when(F.col("level") == 0, F.concat(F.lit("="), F.coalesce("g_source", F.lit("\0")))).otherwise("*"),
         "g_lang": F.when(F.col("level") < 2, F.concat(F.lit("="), F.coalesce("g_lang", F.lit("\0")))).otherwise("*"),
     }).drop("level")
-    rows = scratch.save(met, "grouped")
-    scratch.drop("rows")
 
+
+def _fit(rows: DataFrame, scratch: Scratch, min_group: int) -> tuple[DataFrame, DataFrame]:
+    """(levels, estimates with the rows of their group) of counted rows."""
+    levels = scratch.save(_levels(rows, min_group), "levels")
+    key = KEY
     names = list(FEATURES)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    good = rows.filter("not base_failed").select(*key, *(f"f_{x}" for x in names))
+    good = scratch.save(_grouped(rows.filter("not base_failed"), levels).select(*key, *(f"f_{x}" for x in names)), "good")
 
     # Start: medians and median absolute deviations, exact as the statistics are integers.
     mid = good.groupBy(*key).agg(*(F.expr(f"cast(percentile(f_{x}, 0.5) as double)").alias(f"m_{x}") for x in names))
@@ -201,15 +205,39 @@ def quality_verdicts(docs: DataFrame, keep: list[str] = ("doc_id",), text_col: s
         params = scratch.save(flat.mapInPandas(_solved(names, factor), "g_lang string, g_source string, centre array<double>, root array<double>"), f"params_{step}")
 
     whole = good.groupBy(*key).agg(F.count("*").alias("group_rows"))
-    judged = rows.join(params.join(whole, key), key, "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance(names))))
-    cutoff = math.sqrt(chi2_quantile(1 - tail, d))
-    rejected = (F.col("distance") > cutoff) & (F.col("group_rows") >= min_group)
+    return levels, scratch.save(params.join(whole, key), "estimates")
+
+
+def _scored(rows: DataFrame, levels: DataFrame, estimates: DataFrame, tail: float, min_group: int) -> DataFrame:
+    """``rows`` with distance and kept."""
+    names = list(FEATURES)
+    judged = _grouped(rows, levels).join(estimates, KEY, "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance(names))))
+    rejected = (F.col("distance") > math.sqrt(chi2_quantile(1 - tail, len(names)))) & (F.col("group_rows") >= min_group)
+    return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False)))
+
+
+def quality_verdicts(docs: DataFrame, keep: list[str] = ("doc_id",), text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL, min_group: int = MIN_GROUP) -> DataFrame:
+    """``keep`` columns, counts, distance, base_failed and kept of each row; rows stay as many as they are.
+
+    Null text counts as empty and fails the base rules. Null languages and sources are groups
+    of their own. Rows that fail the base rules take no part in the estimates. Groups below
+    ``min_group`` rows are joined to one of their language, those to one of all; if that is
+    below ``min_group`` too, the method rejects none of it. Ties and repeated rows count each.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = scratch.save(_counted_rows(docs, keep, text_col, lang_col, source_col), "rows")
+    judged = _scored(rows, *_fit(rows, scratch, min_group), tail, min_group)
     counts = [x.split()[0] for x in STATS.split(", ")]
-    return judged.select(*(F.col(f"k_{c}").alias(c) for c in keep), *counts, "base_failed", "distance", (~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))).alias("kept"))
+    return judged.select(*(F.col(f"k_{c}").alias(c) for c in keep), *counts, "base_failed", "distance", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the rules reject. All columns go with their row through the
-    counting, so null and repeated ids need no join."""
-    own = docs.columns
-    return quality_verdicts(docs, keep=own).filter("kept").select(*own)
+    """``docs`` without the rows that the rules reject.
+
+    Texts are read twice, once for the estimates and once to be judged with all their columns, so
+    they are neither stored nor joined by id: null and repeated ids are safe, no name can clash.
+    """
+    scratch, own = Scratch(docs.sparkSession, "quality"), docs.columns
+    levels, estimates = _fit(scratch.save(_counted_rows(docs, [], "text", "lang", "source"), "rows"), scratch, MIN_GROUP)
+    judged = _scored(_counted_rows(docs, own, "text", "lang", "source"), levels, estimates, TAIL, MIN_GROUP)
+    return judged.filter("kept").select(*(F.col(f"k_{c}").alias(c) for c in own))
