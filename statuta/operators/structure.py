@@ -1,13 +1,14 @@
 """Hierarchy of a legal document: logical lines to a tree of typed elements.
 
 Lines are made natively. The tree depends on what stands open above a line, so each document's
-lines go through one ordered fold; documents are independent and spread by their id.
+lines are gathered and go through one ordered fold; documents are independent and spread by their id.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -360,17 +361,23 @@ def logical_lines(pages: DataFrame, text_col: str = "normalized_text", key: str
 def parse_structure(pages: DataFrame, text_col: str = "normalized_text") -> DataFrame:
     """Flat tree, one row an element, of pages (document_id, page_number, normalized_text[, review flags])."""
     lines = logical_lines(pages, text_col)
-    flagged = "requires_manual_review" in lines.columns
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["page_number", "line_no", "piece_no"])
-        reader = Reader(str(frame.document_id.iloc[0]))
-        review = zip(frame.requires_manual_review, frame.review_reason_code, frame.review_reason_note) if flagged else iter(lambda: (False, None, None), None)
-        for text, page, flags in zip(frame.text, frame.page_number, review):
-            reader.read(text, int(page), (bool(flags[0]), flags[1], flags[2]))
-        return pd.DataFrame(reader.rows(), columns=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    return lines.groupBy("document_id").applyInPandas(fold, SCHEMA)
+    flags = ["requires_manual_review", "review_reason_code", "review_reason_note"]
+    given = [F.col(c) if c in lines.columns else F.lit(None).alias(c) for c in flags]
+    kinds = ["boolean", "string", "string"]
+    line = F.struct("page_number", "line_no", "piece_no", "text", *(c.cast(k).alias(n) for c, k, n in zip(given, kinds, flags)))
+    documents = lines.groupBy(F.col("document_id").cast("string").alias("document_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out: list[tuple] = []
+            for document, found in zip(frame.document_id, frame.lines):
+                reader = Reader(document)
+                for x in found:
+                    reader.read(x["text"], int(x["page_number"]), (bool(x["requires_manual_review"]), x["review_reason_code"], x["review_reason_note"]))
+                out += reader.rows()
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+
+    return documents.mapInPandas(fold, SCHEMA)
 
 
 def structure_counts(elements: DataFrame, key: str = "document_id") -> DataFrame:
