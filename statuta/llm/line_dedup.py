@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import Scratch, mix
-from .words import word_hashes
+from .words import WordHashes
 
 _U = np.uint64
 DEPTH = 2
@@ -34,42 +34,60 @@ _DIGITS = b"0123456789"
 _OPEN = b"<*>"
 
 
-def _masked(token: bytes) -> bytes:
-    return _OPEN if len(token.translate(None, _DIGITS)) < len(token) else token
+class _MaskedHashes(WordHashes):
+    """token -> hash; tokens with a digit share the hash of the variable field."""
 
+    def __missing__(self, token: bytes) -> int:
+        if len(token.translate(None, _DIGITS)) < len(token):
+            return self[_OPEN]
+        return super().__missing__(token)
 
-def line_keys(line: bytes) -> np.ndarray | None:
-    """Template keys of a line: its masked self, then one for each open part; null for short lines."""
-    tokens = line.split()
-    n = len(tokens)
-    if n < MIN_TOKENS:
-        return None
-    hashes = word_hashes([*map(_masked, tokens)])
-    # A sum of place-dependent hashes: a part is left open by taking its terms out.
-    terms = mix(hashes + np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
-    leaf = mix(np.array([n], dtype=_U) + terms[:DEPTH].sum())[0]
-    whole = terms.sum()
+
+_HASHES = _MaskedHashes()
+
+
+def line_keys(tokens: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Template keys of lines that follow each other in ``tokens``: (keys, keys of each line).
+
+    A line's masked self comes first, then a key for each part that is left open. Keys are sums of
+    place-dependent hashes, so a part is left open by taking its running sum out.
+    """
+    hashes = np.fromiter(map(_HASHES.__getitem__, tokens), dtype=_U, count=len(tokens))
+    starts = np.cumsum(counts) - counts
+    place = np.arange(len(tokens)) - np.repeat(starts, counts) + 1
+    running = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(mix(hashes + place.astype(_U) * _U(0x9E3779B97F4A7C15)), dtype=_U)])
+    upto = lambda within: running[starts + within]
+    whole = upto(counts) - running[starts]
+    leaf = mix(counts.astype(_U) + upto(np.minimum(DEPTH, counts)) - running[starts])
     sums = [whole]
-    if n >= MIN_OPEN:
-        m = n - DEPTH
-        edges = [DEPTH + i * m // PARTS for i in range(PARTS + 1)]
-        sums += [whole - terms[a:b].sum() + mix(np.array([i + 1], dtype=_U))[0] for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    return mix(np.array(sums, dtype=_U) ^ leaf).view(np.int64)
+    for i in range(PARTS):
+        low, high = (DEPTH + (k * (counts - DEPTH)) // PARTS for k in (i, i + 1))
+        sums.append(whole - (upto(np.maximum(high, 0)) - upto(np.maximum(low, 0))) + mix(np.array([i + 1], dtype=_U)))
+    keys = mix(np.stack(sums, axis=1) ^ leaf[:, None]).view(np.int64)
+    wide = counts >= MIN_OPEN
+    used = np.zeros(keys.shape, dtype=bool)
+    used[:, 0], used[wide, 1:] = True, True
+    return keys[used], np.where(wide, PARTS + 1, 1)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            ids, hashes, numbers, keys = [], [], [], []
-            for doc_id, text_hash, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+    for batch in batches:
+        for low in range(0, batch.num_rows, 512):
+            part = batch.slice(low, 512)
+            tokens: list[bytes] = []
+            counts, rows, numbers = [], [], []
+            for row, text in enumerate(part.column(2).to_pylist()):
                 for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-                    found = line_keys(line)
-                    if found is not None:
-                        ids.append(doc_id)
-                        hashes.append(text_hash)
+                    words = line.split()
+                    if len(words) >= MIN_TOKENS:
+                        tokens += words
+                        counts.append(len(words))
+                        rows.append(row)
                         numbers.append(number)
-                        keys.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "line", "keys"])
+            keys, sizes = line_keys(tokens, np.array(counts, dtype=np.int64)) if counts else (np.empty(0, np.int64), np.empty(0, np.int64))
+            at = pa.array(rows, pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(numbers, pa.int32()), lists], names=["doc_id", "text_hash", "line", "keys"])
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,11 +103,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id
     src = keyed.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col("__hash").alias("text_hash"), F.col(text_col).alias("text"))
     lines = scratch.save(src.mapInArrow(_lines, "doc_id long, text_hash long, line int, keys array<long>"), "lines")
     filed = lines.select("doc_id", "text_hash", "line", F.explode("keys").alias("key"))
-    # Most keys stand alone; documents are told apart for the rest only.
-    recurring = filed.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "text_hash")).alias("low"), F.max(F.struct("doc_id", "text_hash")).alias("high")).filter(f"rows >= {int(min_docs)} and low <> high")
-    met = filed.join(recurring.select("key"), "key")
+    # Most keys stand alone; places and documents are looked at for the rest only.
+    recurring = filed.groupBy("key").agg(F.count("*").alias("rows")).filter(f"rows >= {int(min_docs)}").select("key")
+    met = scratch.save(filed.join(recurring, "key"), "met")
     spread = met.select("key", "doc_id", "text_hash").distinct().groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_hash")).alias("first")).filter(f"docs >= {int(min_docs)}")
-    dropped = filed.join(spread.select("key", F.col("first.doc_id").alias("f_id"), F.col("first.text_hash").alias("f_hash")), "key").filter("doc_id <> f_id or text_hash <> f_hash")
+    dropped = met.join(spread.select("key", F.col("first.doc_id").alias("f_id"), F.col("first.text_hash").alias("f_hash")), "key").filter("doc_id <> f_id or text_hash <> f_hash")
     by_doc = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("__gone"))
     by_doc = by_doc.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), "__gone")
     out = keyed.join(by_doc, (F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)) == F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
