@@ -1,15 +1,15 @@
 """Main text of web pages by site template removal.
 
 Each page is parsed once. Elements that never belong to an article (navigation, forms, scripts,
-adverts, comments and so on, by tag, role or class) are left out. The subtrees of the remaining
-elements that can be page furniture are hashed, with their tags and texts; Spark counts on how
-many different pages of a host each hash stands, and subtrees that recur on at least ``MIN_PAGES``
-are deleted. Pages that are copies of each other hold the same article and count once, so a
-copied article is not taken for a template; paragraphs and headings of a marked article are its
-own text and are never deleted.
-
-Parsed blocks are stored; pages without a subtree in question, the common case of a marked
-article, are finished without any exchange.
+adverts, comments and so on, by tag, role or class) are left out, as is text outside a marked
+``main``. The subtrees of all remaining block elements, within an article and outside it, and
+every run of text are hashed, with their tags and texts; Spark counts on how many different pages
+of a host each hash stands, and subtrees that recur on enough of them are deleted: on half of the
+host's different pages, on two at least, and on ``MIN_PAGES`` whatever the host's size. Pages that
+are copies of each other hold the same article and count once, so a copied article is not taken
+for a template.
+
+Parsed blocks are stored; only hashes are counted.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import Scratch
 from .url_filter import host_and_path
 
-#: Different pages of a host that make a subtree its template.
+#: Different pages of a host that make a subtree its template; fewer where the host has less than twice as many.
 MIN_PAGES = 10
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,8 +41,6 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that can be furniture even within an article.
-_FURNITURE = frozenset("div section ul ol dl table figure header details".split())
 #: Open elements that a start tag ends.
 _ENDS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -85,7 +83,7 @@ class _Open:
 
 
 class Page:
-    """blocks: (text, numbers of the subtrees around it, rank of its root); subtrees: number -> hash."""
+    """blocks: (text, numbers of the subtrees around it, 1 within main + 2 within an article); subtrees: number -> hash."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, list[int], int]] = []
@@ -94,10 +92,13 @@ class Page:
         self._text: list[str] = []
         self._made = 0
         self._parse(source)
-        rank = max((r for _, _, r in self.blocks), default=0)
-        if any(r == 2 for _, _, r in self.blocks):
-            rank = 2
-        self.blocks = [b for b in self.blocks if b[2] == rank]
+        # A page has one main text, but any number of articles, teasers among them.
+        if any(r & 1 for _, _, r in self.blocks):
+            self.blocks = [b for b in self.blocks if b[2]]
+
+    def own(self) -> list[str]:
+        """Texts of the page's articles, or of all its blocks: what copies of a page agree on."""
+        return [text for text, _, r in self.blocks if r & 2] or [text for text, *_ in self.blocks]
 
     def _flush(self) -> None:
         if self._text:
@@ -105,15 +106,13 @@ class Page:
             self._text = []
             top = self._stack[-1]
             if text and not top.skips:
-                # In a marked article only furniture may be a template; elsewhere any element.
                 around = [x.number for x in self._stack if x.number]
                 self.blocks.append((text, around, top.article))
 
     def _close(self) -> None:
         done = self._stack.pop()
         if done.number:
-            digest = xxhash.xxh64_intdigest("\x01".join([done.tag, *done.parts]))
-            self.subtrees[done.number] = digest - (1 << 64) if digest >= 1 << 63 else digest
+            self.subtrees[done.number] = _signed("\x01".join([done.tag, *done.parts]))
         parts = self._stack[-1].parts
         parts.append("<" + done.tag)
         parts += done.parts
@@ -159,10 +158,10 @@ class Page:
                 self._text.append("" if tag == "wbr" else " ")
             return
         top = stack[-1]
-        skips = top.skips or _left_out(tag, attrs, top.article == 2)
-        article = 2 if tag == "article" else max(top.article, 1 if tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", attrs, re.I) else 0)
+        skips = top.skips or _left_out(tag, attrs, top.article & 2 > 0)
+        article = top.article | 2 * (tag == "article") | bool(tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", attrs, re.I))
         number = 0
-        if not skips and (tag in _FURNITURE or (tag in _BLOCK and article < 2 and tag not in ("html", "body", "main"))):
+        if not skips and tag in _BLOCK and tag not in ("html", "body", "main"):
             self._made += 1
             number = self._made
         stack.append(_Open(tag, skips, article, number))
@@ -198,6 +197,11 @@ class Page:
         self._pop_to(1)
 
 
+def _signed(said: str) -> int:
+    digest = xxhash.xxh64_intdigest(said)
+    return digest - (1 << 64) if digest >= 1 << 63 else digest
+
+
 _SCHEMA = "blocks array<struct<text string, around array<long>>>, hashes array<long>, main long"
 
 
@@ -210,11 +214,10 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, hashes, mains = [], [], []
             for source in part.column(part.num_columns - 1).to_pylist():
                 page = Page(source or "")
-                own = [{"text": t, "around": [page.subtrees[n] for n in around]} for t, around, _ in page.blocks]
+                own = [{"text": t, "around": [*(page.subtrees[n] for n in around), _signed("\x01\x01" + t)]} for t, around, _ in page.blocks]
                 blocks.append(own)
                 hashes.append(sorted({h for b in own for h in b["around"]}))
-                digest = xxhash.xxh64_intdigest("\n".join(b["text"] for b in own))
-                mains.append(digest - (1 << 64) if digest >= 1 << 63 else digest)
+                mains.append(_signed("\n".join(page.own())))
             columns = [*part.columns[:-1], pa.array(blocks, kind), pa.array(hashes, pa.list_(pa.int64())), pa.array(mains, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], "blocks", "hashes", "main"])
 
@@ -223,9 +226,9 @@ def extract_text(pages: DataFrame, keep: list[str] = ("page_id", "url"), url_col
     """``keep`` columns, text, n_chars of every row: the article's blocks joined by line feeds.
 
     Null and empty markup give an empty text. A null URL has the empty host, like one without
-    ``://``. Where the subtrees that recur on a host hold more than half of a page's text, the
-    page is one of many near copies and keeps it. Repeated rows give equal rows; an empty table
-    gives none.
+    ``://``. A host's subtrees are its templates from half of its different pages on, from two
+    pages at least and from ``min_pages`` at most; a page that holds nothing else has no text.
+    Repeated rows give equal rows; an empty table gives none.
     """
     scratch = Scratch(pages.sparkSession, "pages")
     host, _ = host_and_path(F.col(url_col))
@@ -233,15 +236,13 @@ def extract_text(pages: DataFrame, keep: list[str] = ("page_id", "url"), url_col
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", " + _SCHEMA
     parsed = scratch.save(src.mapInArrow(_parsed, schema).withColumn("row", F.monotonically_increasing_id()), "parsed")
 
-    open_ = parsed.filter("size(hashes) > 0")
-    stands = open_.select("row", "host", "main", F.explode("hashes").alias("hash"))
-    template = stands.select("host", "hash", "main").distinct().groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
+    stands = parsed.select("row", "host", "main", F.explode("hashes").alias("hash"))
+    counted = stands.select("host", "hash", "main").distinct().groupBy("host", "hash").agg(F.count("*").alias("pages")).filter("pages > 1")
+    hosts = parsed.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("n"))
+    need = hosts.filter(F.col("n") < 2 * min_pages).select("host", F.greatest(F.lit(2), F.ceil(F.col("n") / 2)).alias("need"))
+    template = counted.join(need, "host", "left").filter(F.col("pages") >= F.coalesce(F.least("need", F.lit(min_pages)), F.lit(min_pages)))
     gone = stands.join(template.select("host", "hash"), ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
-    met = open_.join(gone, "row", "left")
     left = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.expr("filter(blocks, b -> not arrays_overlap(b.around, gone))"))
-    chars = lambda column: F.expr(f"aggregate({column}, 0L, (n, b) -> n + length(b.text))")
-    cleaned = met.withColumn("left", left).withColumn("left", F.when(2 * chars("left") >= chars("blocks"), F.col("left")).otherwise(F.col("blocks")))
-    columns = [F.col(f"k_{c}").alias(c) for c in keep]
-    text = lambda column: F.expr(f"array_join(transform({column}, b -> b.text), '\\n')").alias("text")
-    out = parsed.filter("size(hashes) = 0").select(*columns, text("blocks")).union(cleaned.select(*columns, text("left")))
+    text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
+    out = parsed.join(gone, "row", "left").select(*(F.col(f"k_{c}").alias(c) for c in keep), text.alias("text"))
     return out.select(*keep, "text", F.length("text").cast("long").alias("n_chars"))
