@@ -41,7 +41,7 @@ FEATURES = {
 }
 COVERAGE = 0.75
 STEPS = 4
-#: A group of fewer rows than this is estimated with the other small groups of its language, then of all.
+#: A group of fewer rows than this is estimated with the other small groups of its language, then of all, then with every row.
 MIN_GROUP = 200
 #: Chance of a row of a normal population to be rejected; small, as real statistics have longer tails.
 TAIL = 1e-9
@@ -146,6 +146,8 @@ def _distance(names: list[str]) -> F.Column:
 
 
 KEY = ["g_lang", "g_source"]
+#: Language of the group of every row; others begin with "=" or are "*".
+WHOLE = "!"
 
 
 def _counted_rows(docs: DataFrame, keep: list[str], text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -158,13 +160,14 @@ def _counted_rows(docs: DataFrame, keep: list[str], text_col: str, lang_col: str
 
 
 def _levels(rows: DataFrame, min_group: int) -> DataFrame:
-    """Which rows each language and source is estimated with: 0 its own, 1 its language's rest, 2 all rest."""
+    """Which rows each language and source is estimated with: 0 its own, 1 its language's rest, 2 all rest, 3 every row."""
     fine = rows.filter("not base_failed").groupBy(*KEY).agg(F.count("*").alias("n"))
-    return (
-        fine.withColumn("in_lang", F.sum(F.when(F.col("n") < min_group, F.col("n"))).over(W.partitionBy("g_lang")))
-        .withColumn("level", F.expr(f"case when n >= {int(min_group)} then 0 when in_lang >= {int(min_group)} then 1 else 2 end"))
-        .select(F.col("g_lang").alias("l"), F.col("g_source").alias("s"), "level")
+    by_lang = fine.withColumn("in_lang", F.sum(F.when(F.col("n") < min_group, F.col("n"))).over(W.partitionBy("g_lang"))).withColumn(
+        "level", F.expr(f"case when n >= {int(min_group)} then 0 when in_lang >= {int(min_group)} then 1 else 2 end")
     )
+    rest = by_lang.agg(F.sum(F.when(F.col("level") == 2, F.col("n"))).alias("rest"))
+    level = F.when((F.col("level") == 2) & (F.col("rest") < min_group), 3).otherwise(F.col("level"))
+    return by_lang.crossJoin(F.broadcast(rest)).select(F.col("g_lang").alias("l"), F.col("g_source").alias("s"), level.alias("level"))  # one row beside each group
 
 
 def _grouped(rows: DataFrame, levels: DataFrame) -> DataFrame:
@@ -172,17 +175,21 @@ def _grouped(rows: DataFrame, levels: DataFrame) -> DataFrame:
     met = rows.join(levels, F.col("g_lang").eqNullSafe(F.col("l")) & F.col("g_source").eqNullSafe(F.col("s")), "left").drop("l", "s")
     return met.withColumns({
         "g_source": F.when(F.col("level") == 0, F.concat(F.lit("="), F.coalesce("g_source", F.lit("\0")))).otherwise("*"),
-        "g_lang": F.when(F.col("level") < 2, F.concat(F.lit("="), F.coalesce("g_lang", F.lit("\0")))).otherwise("*"),
+        "g_lang": F.when(F.col("level") < 2, F.concat(F.lit("="), F.coalesce("g_lang", F.lit("\0")))).when(F.col("level") == 3, WHOLE).otherwise("*"),
     }).drop("level")
 
 
 def _fit(rows: DataFrame, scratch: Scratch, min_group: int) -> tuple[DataFrame, DataFrame]:
-    """(levels, estimates with the rows of their group) of counted rows."""
+    """(levels, estimates of their groups) of counted rows; every row also counts for the whole, if a group is judged by it."""
     levels = scratch.save(_levels(rows, min_group), "levels")
     key = KEY
     names = list(FEATURES)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    good = scratch.save(_grouped(rows.filter("not base_failed"), levels).select(*key, *(f"f_{x}" for x in names)), "good")
+    passed = rows.filter("not base_failed")
+    good = _grouped(passed, levels).filter(F.col("g_lang") != WHOLE).select(*key, *(f"f_{x}" for x in names))
+    if not levels.filter("level = 3").isEmpty():
+        good = good.union(passed.select(F.lit(WHOLE), F.lit("*"), *(f"f_{x}" for x in names)))
+    good = scratch.save(good, "good")
 
     # Start: medians and median absolute deviations, exact as the statistics are integers.
     mid = good.groupBy(*key).agg(*(F.expr(f"cast(percentile(f_{x}, 0.5) as double)").alias(f"m_{x}") for x in names))
@@ -203,16 +210,14 @@ def _fit(rows: DataFrame, scratch: Scratch, min_group: int) -> tuple[DataFrame,
         sums = chosen.groupBy(*key).agg(F.sum("n").alias("n"), *(big(f"s_{x}").alias(f"s_{x}") for x in names), *(big(f"p_{a}_{b}").alias(f"p_{a}_{b}") for a, b in pairs))
         flat = sums.select(*key, "n", F.array(*(F.col(f"s_{x}").cast("string") for x in names)).alias("sums"), F.array(*(F.col(f"p_{a}_{b}").cast("string") for a, b in pairs)).alias("products"))
         params = scratch.save(flat.mapInPandas(_solved(names, factor), "g_lang string, g_source string, centre array<double>, root array<double>"), f"params_{step}")
+    return levels, params
 
-    whole = good.groupBy(*key).agg(F.count("*").alias("group_rows"))
-    return levels, scratch.save(params.join(whole, key), "estimates")
 
-
-def _scored(rows: DataFrame, levels: DataFrame, estimates: DataFrame, tail: float, min_group: int) -> DataFrame:
+def _scored(rows: DataFrame, levels: DataFrame, estimates: DataFrame, tail: float) -> DataFrame:
     """``rows`` with distance and kept."""
     names = list(FEATURES)
     judged = _grouped(rows, levels).join(estimates, KEY, "left").withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_distance(names))))
-    rejected = (F.col("distance") > math.sqrt(chi2_quantile(1 - tail, len(names)))) & (F.col("group_rows") >= min_group)
+    rejected = F.col("distance") > math.sqrt(chi2_quantile(1 - tail, len(names)))
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False)))
 
 
@@ -222,11 +227,12 @@ def quality_verdicts(docs: DataFrame, keep: list[str] = ("doc_id",), text_col: s
     Null text counts as empty and fails the base rules. Null languages and sources are groups
     of their own. Rows that fail the base rules take no part in the estimates. Groups below
     ``min_group`` rows are joined to one of their language, those to one of all; if that is
-    below ``min_group`` too, the method rejects none of it. Ties and repeated rows count each.
+    below ``min_group`` too, its rows are judged by the estimate of every row, however few there
+    are. Ties and repeated rows count each.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.save(_counted_rows(docs, keep, text_col, lang_col, source_col), "rows")
-    judged = _scored(rows, *_fit(rows, scratch, min_group), tail, min_group)
+    judged = _scored(rows, *_fit(rows, scratch, min_group), tail)
     counts = [x.split()[0] for x in STATS.split(", ")]
     return judged.select(*(F.col(f"k_{c}").alias(c) for c in keep), *counts, "base_failed", "distance", "kept")
 
@@ -239,5 +245,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """
     scratch, own = Scratch(docs.sparkSession, "quality"), docs.columns
     levels, estimates = _fit(scratch.save(_counted_rows(docs, [], "text", "lang", "source"), "rows"), scratch, MIN_GROUP)
-    judged = _scored(_counted_rows(docs, own, "text", "lang", "source"), levels, estimates, TAIL, MIN_GROUP)
+    judged = _scored(_counted_rows(docs, own, "text", "lang", "source"), levels, estimates, TAIL)
     return judged.filter("kept").select(*(F.col(f"k_{c}").alias(c) for c in own))

@@ -54,6 +54,15 @@ def test_outliers_go_and_clean_documents_stay(docs_of):
     assert keep_good(docs_of(rows[:3])).count() == 3 and quality_verdicts(docs_of([])).count() == 0
 
 
+def test_small_groups_are_judged_by_the_whole(docs_of):
+    junk = lambda k: " ".join(w + "###" for w in _prose(k).split())
+    few = [(k, _prose(k, 80 + k % 90), "fr", None) for k in range(60)] + [(100 + k, junk(k), "fr", None) for k in range(3)]
+    many = [(1000 + k, _prose(1000 + k, 80 + k % 90), "en", "s1") for k in range(250)]
+    for rows in (few, few + many):
+        assert {r.doc_id for r in quality_verdicts(docs_of(rows)).collect() if not r.kept} == {100, 101, 102}
+    assert keep_good(docs_of(few)).count() == 60 and keep_good(docs_of(few[:1])).count() == 1
+
+
 def test_quality_matches_a_plain_estimate(docs_of):
     """One group: medians, absolute deviations and concentration steps in numpy."""
     from statuta.llm import quality as q
