@@ -1,5 +1,5 @@
 from statuta.operators import segments as G, structure as T
-from statuta.plans.structure_queries import DECREE
+from statuta.plans.structure_queries import DECREE, structure_page_ranges
 
 EXPECTED = [
     "metadata_block", "metadata_field", "metadata_field", "decree_header", "preamble", "paragraph", "chapter", "article", "paragraph", "lettered_item",
@@ -46,6 +46,19 @@ def test_page_continuation_and_ranges(spark):
     assert {r.last_page for r in T.page_ranges(made).collect()} == {2}
 
 
+def test_page_ranges_of_every_order(spark, tmp_path):
+    spark.range(150).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    found = structure_page_ranges(spark, str(tmp_path)).groupBy("document_id").count().collect()
+    assert len(found) == 150 and {r["count"] for r in found} == {len(EXPECTED)}
+
+
+def test_page_ranges_rise_through_all_levels(spark):
+    rows = [("D", f"E{k}", f"E{k - 1}" if k else None, 50 - k, 50 + k) for k in range(12)] + [("D", "F", "E3", 1, 2), ("X", "E0", None, 7, 7), ("X", "E1", "gone", 3, 3)]
+    made = T.page_ranges(spark.createDataFrame(rows, "document_id string, element_id string, parent_id string, page_start int, page_end int"))
+    got = {(r.document_id, r.element_id): (r.first_page, r.last_page) for r in made.collect()}
+    assert got == {("D", f"E{k}"): (1 if k <= 3 else 39, 61) for k in range(12)} | {("D", "F"): (1, 2), ("X", "E0"): (7, 7), ("X", "E1"): (3, 3)}
+
+
 def _sentences(spark, text):
     row = ("D", "D_P001", None, 1, "paragraph", text, 1, 1, 0, None, None)
     schema = "document_id string, element_id string, parent_id string, element_order int, element_type string, element_text string, page_start int, page_end int, requires_manual_review int, review_reason_code string, review_reason_note string"
