@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,25 @@ def test_choose_groups_is_best():
     assert total in (6, 7, 8) and all(found for found in chosen.values())
 
 
+def test_choose_groups_above_the_search(monkeypatch):
+    held = lambda found: sum(s * n for s, n in found.items())
+    sizes = {"a": {1: 150_000, 7: 9_000}, "b": {3: 4, 1000: 1}, "c": {5: 2}, "d": {100_000: 1, 1: 1}}
+    chosen = S.choose_groups(sizes, 0.2)
+    assert held(chosen["a"]) == 42_600 and chosen["b"] == {3: 4} and chosen["c"] == {5: 1} and chosen["d"] == {1: 1}
+    with pytest.raises(ValueError):
+        S.choose_groups(sizes | {"e": {9: 1}}, 0.2)
+    rng = random.Random(3)
+    monkeypatch.setattr(S, "MAX_SEARCH_ROWS", 0)
+    for _ in range(300):
+        sizes = {k: {rng.randint(1, 40): rng.randint(1, 9) for _ in range(rng.randint(2, 5))} | {41: 1, 42: 1} for k in "ab"}
+        share = rng.choice([0.01, 0.2, 0.5, 0.99])
+        chosen = S.choose_groups(sizes, share)
+        goals = S.class_test_counts({k: held(found) for k, found in sizes.items()}, share)
+        for k, found in sizes.items():
+            assert 0 < held(chosen[k]) < held(found) and all(0 < n <= found[s] for s, n in chosen[k].items())
+            assert abs(held(chosen[k]) - goals[k]) <= 42
+
+
 def test_tokenizer_and_features(spark):
     assert one(spark, "a e o u y x ñ 1 casa Árbol", V.tokens("x")) == ["a", "e", "o", "u", "y", "casa", "árbol"]
     data = spark.createDataFrame([(1, "árbol arbol a"), (2, "y término árbol")], "id int, text string")
