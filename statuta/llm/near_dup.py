@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .components import connected_components
-from .shared import Scratch, mix
-from .words import shingle_set
+from .shared import Scratch, free_name, mix
+from .words import pieces, shingle_sets
 
 _U = np.uint64
 #: Chance to miss a pair whose similarity is exactly the threshold.
@@ -75,9 +75,8 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _described(bands: int, rows: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                sets = [shingle_set(x, size) for x in part.column(2).to_pylist()]
+            for part in pieces(batch, 2, 256):
+                sets = shingle_sets(part.column(2), size)
                 some = [k for k, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 for k, row in zip(some, band_keys(sketches([sets[k] for k in some], bands * rows), bands, rows) if some else []):
@@ -98,17 +97,15 @@ def _described(bands: int, rows: int, size: int):
 
 def _verified(threshold_pct: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for batch in batches:
-            a, b, ta, tb = (batch.column(k).to_pylist() for k in range(4))
-            linked = []
-            for k in range(len(a)):
-                if b[k] != last:
-                    last, held = b[k], shingle_set(tb[k], size)
-                own = shingle_set(ta[k], size)
-                both = len(np.intersect1d(own, held, assume_unique=True))
-                linked.append(both > 0 and 100 * both >= threshold_pct * (len(own) + len(held) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            for part in pieces(batch, 2, 256):
+                linked, last, held = [], None, None
+                for k, (b, own) in enumerate(zip(part.column(1).to_pylist(), shingle_sets(part.column(2), size))):
+                    if b != last:
+                        last, held = b, shingle_sets(part.column(3).slice(k, 1), size)[0]
+                    both = len(np.intersect1d(own, held, assume_unique=True))
+                    linked.append(both > 0 and 100 * both >= threshold_pct * (len(own) + len(held) - both))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return run
 
@@ -116,9 +113,8 @@ def _verified(threshold_pct: int, size: int):
 def _shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                sets = [shingle_set(x, size).view(np.int64) for x in part.column(1).to_pylist()]
+            for part in pieces(batch, 1, 256):
+                sets = [x.view(np.int64) for x in shingle_sets(part.column(1), size)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "tokens"])
 
     return run
@@ -157,8 +153,9 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the least id reachable over links of ``100 * |A & B| >= threshold_pct *
     |A | B|``; ``kept`` tells whether it is the document's own. Null and empty texts and texts
     without a word have an empty set and are linked with nothing. A null id can name no group:
-    such a row has a null component and is kept. Rows under one id with different texts are
-    grouped by each text; repeated rows are one document. Other columns of ``docs`` are ignored.
+    such a row has a null component and is kept. Rows under one id are one document, so its texts
+    are linked and each row with a word carries the same component; an empty text among them has
+    its own id. Repeated rows give equal rows, an empty table none. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
@@ -214,6 +211,12 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             known = links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = connected_components(known, scratch, f"cc_{turn}")
 
+    # Texts under one id are one document.
+    several = named.groupBy("doc_id").agg(F.min("cls").alias("b"), F.max("cls").alias("last")).filter("b <> last").select("doc_id", "b")
+    same = scratch.save(named.join(several, "doc_id").filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct(), "same")
+    if not same.isEmpty():
+        roots = connected_components(same.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, "cc_same")
+
     component = classes.select("cls", F.col("rep.doc_id").alias("least")).join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     least = component.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = component.join(least, "root").select("cls", "component_id")
@@ -223,6 +226,11 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, threshold_pct: int = 80) -> DataFrame:
-    """``docs`` without the documents whose near-duplicate group holds a smaller id; columns stay."""
+    """``docs`` without the documents whose near-duplicate group holds a smaller id; columns stay.
+
+    The least id of a group decides, so there are no ties. Rows with a null id, null and empty
+    texts stay; repeated rows are one document and stay or go together; an empty table gives none.
+    """
     gone = near_dup_groups(docs, threshold_pct=threshold_pct).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    name = free_name(docs.columns, "gone")
+    return docs.join(gone.withColumnRenamed("doc_id", name), docs["doc_id"] == F.col(name), "left_anti")

@@ -1,4 +1,4 @@
-"""Scratch tables in the folder that the whole cluster sees, and small numeric helpers.
+"""Scratch tables in the folder that the whole cluster sees, and small helpers.
 
 Intermediate results that are read more than once are written as Parquet under
 ``spark.checkpoint.dir`` and read back: that cuts the lineage, survives lost executors and
@@ -10,17 +10,25 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 _U = np.uint64
+#: Most rows of an Arrow batch: texts may be long, and both sides hold several batches.
+BATCH_ROWS = 512
+_scopes: list[list[Scratch]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests, local runs) a temporary one is."""
+    """The cluster's shared folder; where none is set, a temporary one if the session runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all hosts of {master} see")
         found = "file://" + tempfile.mkdtemp(prefix="statuta-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,13 +40,23 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold ``BATCH_ROWS`` rows at most, also those of results that are written later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
-    """Tables of one operator call. ``drop`` frees one early; the rest goes when the driver exits."""
+    """Tables of one operator call. ``drop`` frees one early; the rest goes with its scope, or when the driver exits."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        bounded_batches(spark)
         atexit.register(self.close)
+        if _scopes:
+            _scopes[-1].append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -50,10 +68,28 @@ class Scratch:
             delete(self.spark, f"{self.base}/{name}")
 
     def close(self) -> None:
-        try:
+        with suppress(Exception):  # the JVM may be gone at exit
             delete(self.spark, self.base)
-        except Exception:  # the JVM may be gone at exit
-            pass
+        atexit.unregister(self.close)
+
+
+@contextmanager
+def freed() -> Iterator[None]:
+    """Tables of the operators called inside go at its end: their result must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for made in _scopes.pop():
+            made.close()
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``taken`` (compared without case) has."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name = "_" + name
+    return name
 
 
 def mix(x: np.ndarray) -> np.ndarray:
