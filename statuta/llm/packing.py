@@ -21,7 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .shared import Scratch, mix
-from .tokens import tokenizer_path, word_ids
+from .tokens import WordIds, tokenizer_path
+from .words import pieces
 
 DIMS, BITS = 4, 10
 END_ID = 1
@@ -55,27 +56,27 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-_SIGNS: np.ndarray | None = None
+#: Four signs of each id as bits in lanes of 16 bits, so that one sum counts all of them.
+_SIGNS = sum((mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) >> np.uint64(8 * k) & np.uint64(1)) << np.uint64(16 * k) for k in range(DIMS))
 
 
 def document_cell(ids: np.ndarray) -> np.ndarray:
     """Grid cell of a document's direction; the empty document lies in the middle."""
-    global _SIGNS
-    if _SIGNS is None:
-        hashed = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1))
-        _SIGNS = np.stack([((hashed >> np.uint64(8 * k)) & np.uint64(1)).astype(np.int8) * 2 - 1 for k in range(DIMS)], axis=1)
-    at = _SIGNS[ids].sum(axis=0, dtype=np.int64).astype(np.float64) if len(ids) else np.zeros(DIMS)
+    ups = np.zeros(DIMS, dtype=np.int64)
+    for low in range(0, len(ids), 65535):
+        lanes = int(_SIGNS[ids[low : low + 65535]].sum(dtype=np.uint64))
+        ups += [lanes >> 16 * k & 0xFFFF for k in range(DIMS)]
+    at = (2 * ups - len(ids)).astype(np.float64)
     norm = np.sqrt((at * at).sum()) or 1.0
     return np.minimum(((at / norm + 1) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
 def _tokenized(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = word_ids(path), zstandard.ZstdCompressor(level=1)
+        encoder, packer = WordIds(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                raw = [encoder.ids(x) for x in part.column(1).to_pylist()]
+            for part in pieces(batch, 1):
+                raw = encoder.ids_all(part.column(1))
                 cells = np.stack([document_cell(np.frombuffer(x, dtype="<u2")) for x in raw])
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -12,19 +12,29 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+from .words import text_bytes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of a memo before it starts afresh.
-MEMO = 500_000
+#: Entries of a memo, more or less a batch: a bound on memory only, results never depend on it.
+MEMO = 300_000
 #: Characters up to U+024F are stable under NFC and have the same lower case everywhere.
 _UNUSUAL = re.compile("[^\\x09-\\x0d\\x20-\\x84\\x86-ɏ]|<\\|")
+#: Control characters but white space, and lead bytes from U+0240 on.
+_ODD_BYTE = np.array([b < 9 or 13 < b < 32 or b >= 0xC9 for b in range(256)])
 #: White space that is not a single blank or line feed between two other characters.
 _ODD_SPACE = re.compile("\\s\\s|^\\s|\\s$|[^\\S \\n]")
 
+#: Fixed value: what the word vocabulary takes for a word.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
 def tokenizer_path(name: str) -> str:
     """Place of a vocabulary file; an existing path is taken as it is."""
@@ -56,54 +66,90 @@ def _library(path: str):
 
 
 class WordIds:
-    """Ids of whole texts as little-endian 16-bit bytes, for vocabularies below 65,536 that drop white space."""
+    """Ids of whole texts as little-endian 16-bit bytes, for vocabularies below 65,536 that drop white space.
 
-    def __init__(self, path: str):
-        import regex
+    One object serves one task, so a reused Python worker keeps nothing. A memo that is full
+    takes no more entries: the frequent words come early.
+    """
 
+    def __init__(self, path: str):
         self.library = _library(path)
-        self.model = self.library.model
         if self.library.get_vocab_size() > 65536:
             raise ValueError("ids need more than 16 bits")
-        steps = (json.load(open(path, encoding="utf-8"))["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
-        # The memo holds for: keep what the pattern finds, no white space in it, then byte letters.
-        self.split = steps[0].get("behavior") == "Removed" and steps[0].get("invert") and len(steps) == 2 and steps[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        lowered = [x["type"] for x in (self.library_json(path)["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
-        self.memo_holds = bool(self.split and lowered)
-        self.pieces = regex.compile(steps[0]["pattern"]["Regex"]) if self.memo_holds else None
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    @staticmethod
-    def library_json(path: str) -> dict:
-        return json.load(open(path, encoding="utf-8"))
-
-    def _word(self, word: str) -> bytes:
-        letters = word if word.isascii() else "".join(map(_LETTERS.__getitem__, word.encode()))
-        found = np.array([t.id for t in self.model.tokenize(letters)], dtype="<u2").tobytes()
-        if len(self.words) >= MEMO:
-            self.words.clear()
-        self.words[word] = found
-        return found
-
-    def _chunk(self, chunk: str) -> bytes:
-        words = self.words
-        found = b"".join([words.get(w) or self._word(w) for w in self.pieces.findall(chunk.lower())])
-        if len(self.chunks) >= MEMO:
-            self.chunks.clear()
-        self.chunks[chunk] = found
-        return found
-
-    def ids(self, text: str | None) -> bytes:
+        shape = json.load(open(path, encoding="utf-8"))
+        steps = (shape["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        # The memo holds for: keep what the pattern finds (runs of letters, single digits, runs of
+        # other marks, English endings after an apostrophe), no white space in it, then byte letters.
+        split = steps[0].get("behavior") == "Removed" and steps[0].get("invert") and len(steps) == 2 and steps[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        lowered = [x["type"] for x in (shape["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.memo_holds = bool(split and lowered and steps[0]["pattern"]["Regex"] == _WORDS)
+        if self.memo_holds:
+            import regex
+
+            self.chunks = _Chunks(_Words(self.library.model.tokenize), regex.compile(_WORDS).findall)
+
+    def ids(self, text: str | None, plain: bool = False) -> bytes:
+        """Null counts as empty; ``plain``: known to hold nothing unusual."""
         if not text:
             return b""
-        if not self.memo_holds or _UNUSUAL.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        parts = text.split()
-        out = list(map(self.chunks.get, parts))
-        if None in out:
-            out = [x if x is not None else self._chunk(c) for x, c in zip(out, parts)]
-        return b"".join(out)
+        if not self.memo_holds or not plain and _UNUSUAL.search(text):
+            return _packed(self.library.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.chunks.__getitem__, text.split()))
+
+    def ids_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of an Arrow string column."""
+        data, offsets = text_bytes(texts)
+        plain = np.diff(np.concatenate([[0], np.cumsum(_suspicious(data))])[offsets]) == 0
+        return [self.ids(x, ok) for x, ok in zip(texts.to_pylist(), plain.tolist())]
+
+
+class _Words(dict):
+    """word that the pattern found, in lower case -> ids."""
+
+    def __init__(self, tokenize):
+        super().__init__()
+        self.tokenize = tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word if word.isascii() else "".join(map(_LETTERS.__getitem__, word.encode()))
+        made = _packed([t.id for t in self.tokenize(letters)])
+        if len(self) < MEMO:
+            self[word] = made
+        return made
+
+
+class _Chunks(dict):
+    """Run without white space -> ids."""
+
+    def __init__(self, words: _Words, found):
+        super().__init__()
+        self.words, self.found = words, found
+
+    def __missing__(self, chunk: str) -> bytes:
+        low = chunk.lower()
+        if low.isalpha():
+            made = self.words[low]
+        elif low[:-1].isalpha():  # a word and one mark or digit after it
+            made = self.words[low[:-1]] + self.words[low[-1]]
+        else:
+            made = b"".join(map(self.words.__getitem__, self.found(low)))
+        if len(self) < MEMO:
+            self[chunk] = made
+        return made
+
+
+def _suspicious(data: np.ndarray) -> np.ndarray:
+    """Bytes without which a UTF-8 text holds nothing unusual."""
+    out = _ODD_BYTE[data]
+    out[:-1] |= (data[:-1] == 0xC2) & (data[1:] == 0x85) | (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    return out
+
+
+def _packed(ids: list[int]) -> bytes:
+    made = array("H", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
 
 
 class TextCounts:
@@ -150,11 +196,6 @@ class TextCounts:
         return out
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 @lru_cache(maxsize=2)
 def text_counts(path: str) -> TextCounts:
     return TextCounts(path)
