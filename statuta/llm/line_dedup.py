@@ -1,136 +1,163 @@
 """Line dedup by a fixed-depth template tree.
 
-A line's path in the tree is its token count and its leading tokens; tokens with a digit are
-variable fields ``<*>`` everywhere. In a leaf a line stands for its masked self and, when it is
-long enough, for the templates that leave one fifth of its remaining tokens open: two lines share
-such a template exactly if they agree on all other places. Templates are counted by the rows of
-documents that hold them; one in at least ``MIN_DOCS`` is recurring and its lines are dropped from
-every document but the first (the least id), so no content is lost as a whole.
+A line's path in the tree is its token count and its ``DEPTH`` leading tokens; tokens with a digit
+are variable fields ``<*>``, unless they are more than half of the line. The rest of a line is cut
+into ``PARTS`` parts (single tokens in short lines), and a leaf generalises lines by similarity:
+two lines share a template if they agree on every part but at most ``OPEN`` of them, wherever these
+lie (one in lines of fewer than five tokens). The open parts are the template's variable fields.
+
+Templates are counted by the documents that hold them. A line that stands in ``MIN_DOCS`` documents
+as it is, or matches a generalised template in ``OPEN_DOCS``, is dropped from every document but the
+template's first (the least id), so no content is lost as a whole.
 
 Only 8-byte template keys are shuffled and counted with partial sums, so a line that is in a third
-of all documents costs a row a partition. Texts move once, to meet their dropped line numbers.
+of all documents costs a row a partition; keys of generalised templates are made for lines of leaves
+with enough lines only. Texts move once, to meet their dropped line numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Scratch, mix
-from .words import WordHashes
+from .shared import Scratch, free_name, mix
+from .words import Words, pieces
 
 _U = np.uint64
 DEPTH = 2
-#: A line of fewer tokens is no template.
-MIN_TOKENS = 4
-#: Least tokens of a line that may leave a part open.
-MIN_OPEN = 12
-PARTS = 5
-MIN_DOCS = 3
-_DIGITS = b"0123456789"
-_OPEN = b"<*>"
-
-
-class _MaskedHashes(WordHashes):
-    """token -> hash; tokens with a digit share the hash of the variable field."""
-
-    def __missing__(self, token: bytes) -> int:
-        if len(token.translate(None, _DIGITS)) < len(token):
-            return self[_OPEN]
-        return super().__missing__(token)
+PARTS, OPEN = 5, 2
+MIN_DOCS, OPEN_DOCS = 2, 3
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[48:58] = True
+_FIELD = mix(np.array([42], dtype=_U))[0]
+_MASKS = [sum(1 << k for k in open_) for n in (1, OPEN) for open_ in combinations(range(PARTS), n)]
 
 
-_HASHES = _MaskedHashes()
+def open_parts(n: int) -> tuple[int, int]:
+    """(parts, open ones) of a line of ``n`` tokens."""
+    parts = max(0, min(PARTS, n - DEPTH))
+    return parts, min(parts, OPEN if n >= 5 else 1)
 
 
-def line_keys(tokens: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Template keys of lines that follow each other in ``tokens``: (keys, keys of each line).
+def line_keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of lines that follow each other in ``hashes``: leaf, whole line, and the generalised
+    templates of all lines with how many each line has.
 
-    A line's masked self comes first, then a key for each part that is left open. Keys are sums of
-    place-dependent hashes, so a part is left open by taking its running sum out.
+    Keys are sums of place-dependent hashes, so parts are left open by taking their sums out.
     """
-    hashes = np.fromiter(map(_HASHES.__getitem__, tokens), dtype=_U, count=len(tokens))
     starts = np.cumsum(counts) - counts
-    place = np.arange(len(tokens)) - np.repeat(starts, counts) + 1
+    place = np.arange(len(hashes)) - np.repeat(starts, counts) + 1
     running = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(mix(hashes + place.astype(_U) * _U(0x9E3779B97F4A7C15)), dtype=_U)])
     upto = lambda within: running[starts + within]
     whole = upto(counts) - running[starts]
-    leaf = mix(counts.astype(_U) + upto(np.minimum(DEPTH, counts)) - running[starts])
-    sums = [whole]
-    for i in range(PARTS):
-        low, high = (DEPTH + (k * (counts - DEPTH)) // PARTS for k in (i, i + 1))
-        sums.append(whole - (upto(np.maximum(high, 0)) - upto(np.maximum(low, 0))) + mix(np.array([i + 1], dtype=_U)))
-    keys = mix(np.stack(sums, axis=1) ^ leaf[:, None]).view(np.int64)
-    wide = counts >= MIN_OPEN
-    used = np.zeros(keys.shape, dtype=bool)
-    used[:, 0], used[wide, 1:] = True, True
-    return keys[used], np.where(wide, PARTS + 1, 1)
+    leaf = mix(counts.astype(_U) * _U(0xD6E8FEB86659FD93) + upto(np.minimum(DEPTH, counts)) - running[starts])
+    parts = np.clip(counts - DEPTH, 0, PARTS)
+    opened = np.minimum(parts, np.where(counts >= 5, OPEN, 1))
+    edges = [np.minimum(DEPTH, counts) + (i * np.maximum(counts - DEPTH, 0)) // np.maximum(parts, 1) for i in range(PARTS + 1)]
+    sums = [np.where(i < parts, upto(np.minimum(edges[i + 1], counts)) - upto(np.minimum(edges[i], counts)), _U(0)) for i in range(PARTS)]
+    used = np.zeros((len(counts), len(_MASKS)), dtype=bool)
+    keys = np.empty((len(counts), len(_MASKS)), dtype=_U)
+    for k, mask in enumerate(_MASKS):
+        own = [i for i in range(PARTS) if mask >> i & 1]
+        used[:, k] = (len(own) == opened) & (own[-1] < parts)
+        keys[:, k] = mix((whole - sum(sums[i] for i in own)) ^ mix(leaf + _U(mask)))
+    return leaf.view(np.int64), mix(whole ^ leaf).view(np.int64), keys[used].view(np.int64), used.sum(axis=1)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            part = batch.slice(low, 512)
-            tokens: list[bytes] = []
-            counts, rows, numbers = [], [], []
-            for row, text in enumerate(part.column(2).to_pylist()):
-                for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
-                    words = line.split()
-                    if len(words) >= MIN_TOKENS:
-                        tokens += words
-                        counts.append(len(words))
-                        rows.append(row)
-                        numbers.append(number)
-            keys, sizes = line_keys(tokens, np.array(counts, dtype=np.int64)) if counts else (np.empty(0, np.int64), np.empty(0, np.int64))
-            at = pa.array(rows, pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(numbers, pa.int32()), lists], names=["doc_id", "text_hash", "line", "keys"])
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with recurring lines taken out of ``text``, and __lines, __dropped: line counts before and dropped.
-
-    Null texts stay null with no line; an empty text has one empty line. A null id comes after
+        for part in pieces(batch, 2):
+            found = Words(part.column(2))
+            if not len(found.starts):
+                continue
+            breaks = np.flatnonzero(found.data == 10)
+            # A new line begins after every line feed and with every text.
+            row = np.searchsorted(found.offsets, found.starts, side="right") - 1
+            line = np.searchsorted(breaks, found.starts)
+            cuts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(line, prepend=-1) != 0))
+            counts = np.diff(np.append(cuts, len(row)))
+            number = line[cuts] - np.searchsorted(breaks, found.offsets[row[cuts]])
+            field = found.per_word(_DIGIT[found.data]) > 0
+            some = 2 * np.add.reduceat(field.astype(np.int64), cuts) <= counts
+            hashes = found.hashes(fold=False)
+            hashes[field & np.repeat(some, counts)] = _FIELD
+            leaf, whole, keys, sizes = line_keys(hashes, counts)
+            at = pa.array(row[cuts])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number, pa.int32()), pa.array(leaf), pa.array(whole), lists], names=["doc_id", "text_hash", "line", "leaf", "whole", "keys"])
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, open_docs: int = OPEN_DOCS, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with recurring lines taken out of ``text``; ``counts`` names two more columns for the lines before and dropped.
+
+    Null texts stay null with no line; an empty text has one empty line; lines without a token
+    always stay. A text that loses all its lines is empty, its row stays. A null id comes after
     every other id; rows that agree on id and text are the same document and keep or lose the
-    same lines. Lines of fewer than ``MIN_TOKENS`` tokens always stay. An empty table gives none.
+    same lines; of several texts under one id the one with the least hash comes first. An empty
+    table gives none. Names of other columns don't matter.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    own = [c for c in docs.columns if c not in ("__lines", "__dropped")]
-    keyed = docs.select(*own).withColumn("__hash", F.xxhash64(F.col(text_col)))
-    src = keyed.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col("__hash").alias("text_hash"), F.col(text_col).alias("text"))
-    lines = scratch.save(src.mapInArrow(_lines, "doc_id long, text_hash long, line int, keys array<long>"), "lines")
-    filed = lines.select("doc_id", "text_hash", "line", F.explode("keys").alias("key"))
-    # Most keys stand alone; places and documents are looked at for the rest only.
-    recurring = filed.groupBy("key").agg(F.count("*").alias("rows")).filter(f"rows >= {int(min_docs)}").select("key")
-    met = scratch.save(filed.join(recurring, "key"), "met")
-    spread = met.select("key", "doc_id", "text_hash").distinct().groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_hash")).alias("first")).filter(f"docs >= {int(min_docs)}")
-    dropped = met.join(spread.select("key", F.col("first.doc_id").alias("f_id"), F.col("first.text_hash").alias("f_hash")), "key").filter("doc_id <> f_id or text_hash <> f_hash")
-    by_doc = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("__gone"))
-    by_doc = by_doc.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), "__gone")
-    out = keyed.join(by_doc, (F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)) == F.col("__id")) & (F.col("__hash") == F.col("__text")), "left")
-    out = out.withColumn("__parts", F.split(F.col(text_col), "\n", -1))
-    parts = F.col("__parts")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
-    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in own), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__dropped"))
+    own = [c for c in docs.columns if c not in (counts or ())]
+    hash_, id_, text_, gone_, parts_ = (free_name(own, x) for x in ("line_hash", "line_id", "line_text", "line_gone", "line_parts"))
+    keyed = docs.select(*own, F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias(id_), F.xxhash64(F.col(text_col)).alias(hash_))
+    src = keyed.select(F.col(id_).alias("doc_id"), F.col(hash_).alias("text_hash"), F.col(text_col).alias("text"))
+    lines = scratch.save(src.mapInArrow(_lines, "doc_id long, text_hash long, line int, leaf long, whole long, keys array<long>"), "lines")
+
+    place = ["doc_id", "text_hash", "line"]
+
+    def met(filed: DataFrame, least: int, name: str) -> tuple[DataFrame, DataFrame]:
+        """(key, place) of the keys in at least so many documents, and the keys with their first document."""
+        # Most keys stand alone; places and documents are looked at for the rest only. Keys are
+        # written before they are joined, so that a hot one can be split.
+        often = scratch.save(filed.groupBy("key").agg(F.count("*").alias("rows")).filter(f"rows >= {int(least)}").select("key"), f"often_{name}")
+        places = scratch.save(filed.join(often, "key"), f"places_{name}")
+        spread = places.select("key", "doc_id", "text_hash").distinct().groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
+        spread = spread.filter(f"docs >= {int(least)}").select("key", F.col("first.doc_id").alias("f_id"), F.col("first.text_hash").alias("f_hash"))
+        return places, scratch.save(spread, f"spread_{name}")
+
+    leaves = scratch.save(lines.groupBy("leaf").agg(F.count("*").alias("rows")).filter(f"rows >= {int(open_docs)}").select("leaf"), "leaves")
+    opened = lines.join(leaves, "leaf").select(*place, F.explode("keys").alias("key"))
+    dropped = None
+    for name, filed, least in (("whole", lines.select(*place, F.col("whole").alias("key")), min_docs), ("open", opened, open_docs)):
+        places, spread = met(filed, least, name)
+        some = places.join(spread, "key").filter("doc_id <> f_id or text_hash <> f_hash").select(*place)
+        dropped = some if dropped is None else dropped.union(some)
+    by_doc = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias(gone_))
+    by_doc = by_doc.select(F.col("doc_id").alias(f"{id_}_2"), F.col("text_hash").alias(text_), gone_)
+    out = keyed.join(by_doc, (F.col(id_) == F.col(f"{id_}_2")) & (F.col(hash_) == F.col(text_)), "left").withColumn(parts_, F.split(F.col(text_col), "\n", -1))
+    parts = F.col(parts_)
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone_))
+    text = F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    more = [F.coalesce(F.size(c), F.lit(0)).cast("long").alias(n) for c, n in zip((parts, F.col(gone_)), counts or ())]
+    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in own), *more)
 
 
 def dedup_sql() -> str:
     """The same rows for DuckDB, with templates as token lists."""
-    edge = lambda i: f"({DEPTH} + ({i} * (n - {DEPTH})) // {PARTS})"
-    left_open = " union all ".join(f"select id, line, list_concat(list_concat(t[1:{edge(i)}], ['<{i}>']), t[{edge(i + 1)} + 1:n]) as template, n from tokens where n >= {MIN_OPEN}" for i in range(PARTS))
+    opened = []
+    for parts in range(1, PARTS + 1):
+        edge = lambda i, parts=parts: f"({DEPTH} + ({i} * (n - {DEPTH})) // {parts})"
+        for n_open in {open_parts(n)[1] for n in range(DEPTH + 1, DEPTH + PARTS + 1) if open_parts(n)[0] == parts}:
+            size = f"n >= {DEPTH + PARTS}" if parts == PARTS else f"n = {DEPTH + parts}"
+            for out in combinations(range(parts), n_open):
+                inside = " or ".join(f"(k > {edge(i)} and k <= {edge(i + 1)})" for i in out)
+                opened.append(f"select id, line, list_transform(t, lambda x, k: case when {inside} then '<{out}>' else x end) as template, n from tokens where {size}")
     return f"""
 with docs as (select row_number() over (order by coalesce(doc_id, 9223372036854775807), text) as id, * from documents),
 lines as (select id, i - 1 as line, parts[i] as raw from (select id, parts, unnest(range(1, len(parts) + 1)) as i from (select id, string_split(text, chr(10)) as parts from docs))),
-tokens as (
-  select id, line, list_transform(t, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as t, len(t) as n
-  from (select id, line, regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+') as t from lines) where len(t) >= {MIN_TOKENS}),
-templates as (select id, line, t as template, n from tokens union all {left_open}),
-recurring as (select template, n, min(id) as first from templates group by template, n having count(distinct id) >= {MIN_DOCS}),
-dropped as (select distinct t.id, t.line from templates t join recurring r on t.template = r.template and t.n = r.n where t.id <> r.first),
+words as (select id, line, t, list_transform(t, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as masked, len(t) as n
+  from (select id, line, regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+') as t from lines) where len(t) > 0),
+tokens as (select id, line, n, case when 2 * len(list_filter(masked, lambda x: x = '<*>')) <= n then masked else t end as t from words),
+whole as (select t as template, min(id) as first from tokens group by t having count(distinct id) >= {MIN_DOCS}),
+filed as ({' union all '.join(opened)}),
+open as (select template, min(id) as first from filed group by template having count(distinct id) >= {OPEN_DOCS}),
+dropped as (
+  select id, line from tokens t join whole w on t.t = w.template where t.id <> w.first
+  union select id, line from filed f join open o using (template) where f.id <> o.first),
 kept as (select l.id, string_agg(l.raw, chr(10) order by l.line) as text, count(*) as n from lines l anti join dropped d on l.id = d.id and l.line = d.line group by l.id),
 total as (select id, count(*) as n_lines from lines group by id)
 select d.doc_id, d.lang, d.source, case when d.text is null then null else coalesce(k.text, '') end as text,
