@@ -3,7 +3,8 @@
 Every source gets a target share of the mixture; its mean repetition rate is the share's size over
 the source's own. A document's count inverts the Poisson distribution of that mean at a hash of
 seed and id, so the draw is the same on every run and every partitioning. Documents are exploded
-by their counts and dealt out by another hash, a global shuffle in one exchange.
+by their counts and dealt out by another hash, a global shuffle in one exchange. The table of rates
+is a row a source and broadcast while it is small, so texts move once.
 """
 
 from __future__ import annotations
@@ -14,10 +15,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import Scratch, free_name
+
 #: Target shares are proportional to size ** ALPHA where no weights are given.
 ALPHA = 0.7
 SEED = 17
 _STEP = 2.0**48
+#: Most numbers of all sources' distributions that are broadcast (8 bytes each); beyond, rows meet them by salted keys.
+MAX_STEPS = 2_000_000
+_SALTS = 64
 
 
 def poisson_cdf(rate: float) -> list[float]:
@@ -42,35 +48,47 @@ def _draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("long")
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The columns of ``docs`` with __copy (from 1), __copies and __place, the hashed order, a row a copy.
+def mix_sources(
+    docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", counts: tuple[str, str, str] | None = None
+) -> DataFrame:
+    """The columns of ``docs``, a row a copy, in hashed order; ``counts`` names three more columns for
+    the number of copies, the copy (from 1) and its place in the order.
 
     Sizes are characters. With ``weights`` a source not named gets none, without them shares are
     ``size ** alpha``; the whole mixture is as large as ``docs``. Null sources are a source of
     their own, null ids draw alike, repeated rows draw alike, empty texts weigh nothing but are
-    drawn with their source's rate; a source of no characters has rate 1. Columns whose names
-    clash with the three new ones are replaced.
+    drawn with their source's rate; a source of no characters has rate 1. Equal places are ordered
+    by id and copy. An empty table gives none. Names of other columns don't matter.
     """
-    sized = docs.groupBy(F.col(source_col).alias("__source")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0))).cast("double").alias("__size"))
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sized = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0))).cast("double").alias("size"))
     if weights is None:
-        wanted = F.pow("__size", F.lit(alpha))
+        wanted = F.pow("size", F.lit(alpha))
     else:
         wanted = F.lit(0.0)
         for name, weight in weights.items():
-            wanted = F.when(F.col("__source") == name, float(weight)).otherwise(wanted)
-    sized = sized.withColumn("__wanted", F.when(F.col("__size") > 0, wanted).otherwise(0.0))
-    whole = sized.agg(F.sum("__size").alias("__all"), F.sum("__wanted").alias("__weights"))
-    rates = sized.crossJoin(F.broadcast(whole)).select("__source", F.when(F.col("__size") > 0, F.col("__wanted") / F.col("__weights") * F.col("__all") / F.col("__size")).otherwise(1.0).alias("rate"))  # one row beside each source
-    rates = rates.mapInPandas(_with_cdf, "__source string, rate double, cdf array<double>").drop("rate")
-
+            wanted = F.when(F.col("source") == name, float(weight)).otherwise(wanted)
+    sized = scratch.save(sized.withColumn("wanted", F.when(F.col("size") > 0, wanted).otherwise(0.0)), "sizes")
+    whole = sized.agg(F.sum("size").alias("all"), F.sum("wanted").alias("weights"))
+    rates = sized.crossJoin(F.broadcast(whole)).select("source", F.when(F.col("size") > 0, F.col("wanted") / F.col("weights") * F.col("all") / F.col("size")).otherwise(1.0).alias("rate"))  # one row beside each source
+    rates = scratch.save(rates.mapInPandas(_with_cdf, "source string, rate double, cdf array<double>").drop("rate"), "rates")
+
+    own = [c for c in docs.columns if c not in (counts or ())]
+    from_, cdf, salt, at_, copies, copy, place = (free_name(own, x) for x in ("mix_source", "mix_cdf", "mix_salt", "mix_at", "mix_copies", "mix_copy", "mix_place"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    own = [c for c in docs.columns if c not in ("__copy", "__copies", "__place")]
-    met = docs.select(*own).join(rates, F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    at = _draw(F.lit(str(seed)), key) / F.lit(_STEP)
-    counted = met.withColumn("__at", at).withColumn("__copies", F.expr("cast(size(filter(cdf, c -> c <= __at)) as long)")).filter("__copies > 0")
-    copies = counted.select(*own, "__copies", F.explode(F.expr("sequence(1L, __copies)")).alias("__copy"))
-    placed = copies.withColumn("__place", _draw(F.lit(str(seed)), key, F.col("__copy").cast("string")))
-    return placed.repartition("__place").sortWithinPartitions("__place", id_col, "__copy")
+    named = rates.select(F.col("source").alias(from_), F.col("cdf").alias(cdf))
+    same = F.col(source_col).eqNullSafe(F.col(from_))
+    steps = rates.agg(F.sum(F.size("cdf"))).first()[0] or 0
+    if steps <= MAX_STEPS:
+        met = docs.select(*own).join(F.broadcast(named), same)
+    else:  # a hot source is dealt out by salts
+        salted = named.withColumn(f"{salt}_2", F.explode(F.expr(f"sequence(0L, {_SALTS - 1}L)")))
+        met = docs.select(*own, F.pmod(F.xxhash64(key), F.lit(_SALTS)).alias(salt)).join(salted, same & (F.col(salt) == F.col(f"{salt}_2")))
+    drawn = met.withColumn(at_, _draw(F.lit(str(seed)), key) / F.lit(_STEP)).withColumn(copies, F.expr(f"cast(size(filter({cdf}, c -> c <= {at_})) as long)")).filter(F.col(copies) > 0)
+    dealt = drawn.select(*own, copies, F.explode(F.expr(f"sequence(1L, {copies})")).alias(copy))
+    placed = dealt.withColumn(place, _draw(F.lit(str(seed)), key, F.col(copy).cast("string")))
+    ordered = placed.repartition(place).sortWithinPartitions(place, id_col, copy)
+    return ordered.select(*own, *(F.col(c).alias(n) for c, n in zip((copies, copy, place), counts or ())))
 
 
 def mixed_sql() -> str:

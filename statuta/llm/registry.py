@@ -40,13 +40,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "text", "lang", "source", "n_chars", F.col("__copies").alias("copies"), F.col("__copy").alias("copy"), F.col("__place").alias("place"))
+    return mix_sources(table(spark, sf_dir, "documents"), counts=("copies", "copy", "place")).select("doc_id", "text", "lang", "source", "n_chars", "copies", "copy", "place")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "lang", "source", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
+    found = dedup_lines(table(spark, sf_dir, "documents"), counts=("n_lines", "n_dropped"))
+    return found.select("doc_id", "lang", "source", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "n_lines", "n_dropped")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
