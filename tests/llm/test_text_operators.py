@@ -1,14 +1,17 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from statuta.llm.license_scan import license_scan
-from statuta.llm.line_dedup import dedup_lines
+from statuta.llm.line_dedup import dedup_lines, open_parts
 from statuta.llm.mixing import mix_sources, poisson_cdf
 from statuta.llm.packing import hilbert_keys, pack_documents
 from statuta.llm.quality import chi2_cdf, chi2_quantile, keep_good, quality_verdicts, text_stats
@@ -32,7 +35,11 @@ def brute_stats(text):
 
 @pytest.mark.parametrize("text", [None, *ODD, "a b c a b c a", "x y\nx y\n\n\nx y", "# $ %|\n<>&*", "é è é è é è"])
 def test_text_stats(text):
-    assert text_stats(text)[:5] == brute_stats(text)
+    around = [None, "left, with words", text, "", "right"]
+    got = text_stats(pa.array(around, pa.string()))
+    assert tuple(got[2, :5]) == brute_stats(text)
+    words = (text or "").split() and [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    assert tuple(got[2, 6:]) == ((sum(c in "!?" for c in text), sum(map(str.isupper, text)), sum(c in "0123456789" for c in text), len(set(words))) if words else (0,) * 4)
 
 
 def test_chi2():
@@ -54,38 +61,78 @@ def test_outliers_go_and_clean_documents_stay(docs_of):
     assert keep_good(docs_of(rows[:3])).count() == 3 and quality_verdicts(docs_of([])).count() == 0
 
 
-def test_small_groups_are_judged_by_the_whole(docs_of):
+def test_small_groups_are_judged_by_the_whole(docs_of, monkeypatch):
+    from statuta.llm import quality
+
     junk = lambda k: " ".join(w + "###" for w in _prose(k).split())
     few = [(k, _prose(k, 80 + k % 90), "fr", None) for k in range(60)] + [(100 + k, junk(k), "fr", None) for k in range(3)]
     many = [(1000 + k, _prose(1000 + k, 80 + k % 90), "en", "s1") for k in range(250)]
-    for rows in (few, few + many):
+    for rows, limit in ((few, 0), (few + many, 10**6)):
+        monkeypatch.setattr(quality, "MAX_BROADCAST", limit)
         assert {r.doc_id for r in quality_verdicts(docs_of(rows)).collect() if not r.kept} == {100, 101, 102}
     assert keep_good(docs_of(few)).count() == 60 and keep_good(docs_of(few[:1])).count() == 1
 
 
-def test_quality_matches_a_plain_estimate(docs_of):
-    """One group: medians, absolute deviations and concentration steps in numpy."""
-    from statuta.llm import quality as q
-
-    texts = [_prose(k, 60 + k) for k in range(250)]
-    got = {r.doc_id: r.distance for r in quality_verdicts(docs_of([(k, t, "en", "s") for k, t in enumerate(texts)])).collect()}
-    names = [x.split()[0] for x in q.STATS.split(", ")]
-    scope = {"ln": math.log, "sqrt": math.sqrt}
-    x = np.array([[math.floor(abs(v) * q.SCALE + 0.5) * (1 if v >= 0 else -1) / q.SCALE for v in (eval(sql, scope, dict(zip(names, text_stats(t)))) for sql, _ in q.FEATURES.values())] for t in texts])
-    floor = np.array([s for _, s in q.FEATURES.values()]) ** 2
+def plain_estimate(x, q):
+    """Reweighted minimum covariance determinant of integer vectors x, by numpy alone: (centre, scatter)."""
+    x = np.array(x, dtype=np.float64) / q.SCALE
+    floor, d = q._LEAST, x.shape[1]
     centre = np.median(x, axis=0)
-    inverse = np.diag(1 / ((1.4826 * np.median(np.abs(x - centre), axis=0)) ** 2 + floor))
-    d = x.shape[1]
-    factor = q.COVERAGE / chi2_cdf(chi2_quantile(q.COVERAGE, d), d + 2)
-    for _ in range(q.STEPS):
-        d2 = np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
+    spread = np.sqrt((1.4826 * np.median(np.abs(x - centre), axis=0)) ** 2 + np.diag(floor))
+    z = (x - centre) / spread
+    shapes = [np.eye(d)]
+    for y in (np.tanh(z), z / np.maximum(1e-9, np.sqrt((z**2).sum(axis=1)))[:, None]):
+        y = np.round(16384 * y)
+        p = y.T @ y
+        unit = np.sqrt(np.maximum(np.diag(p), 1e-300))
+        shapes.append(p / unit[:, None] / unit[None, :])
+    square = lambda c, s: np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(s + floor), x - c)
+    found = [(math.inf, k, centre, s * spread[:, None] * spread[None, :], True) for k, s in enumerate(shapes)]
+
+    def step(before, k, c, s, open_):
+        d2 = square(c, s)
         bins = np.floor(64 * np.log2(d2 + 1e-6))
         order, counts = np.unique(bins, return_counts=True)
-        limit = order[np.flatnonzero(np.cumsum(counts) - counts < q.COVERAGE * len(x))[-1]]
-        near = x[bins <= limit]
-        centre, inverse = near.mean(axis=0), np.linalg.inv(np.cov(near.T, bias=True) * factor + np.diag(floor))
-    expected = np.sqrt(np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre))
-    assert max(abs(got[k] - expected[k]) for k in got) < 1e-6
+        near = x[bins <= order[np.flatnonzero(np.cumsum(counts) - counts < q.COVERAGE * len(x))[-1]]]
+        s = np.cov(near.T, bias=True) * q._factor(q.COVERAGE)
+        log_det = np.linalg.slogdet(s + floor)[1]
+        return log_det, k, near.mean(axis=0), s, before - log_det > q.SETTLED
+
+    for turn in range(q.MAX_STEPS):
+        found = [step(*f) if f[-1] else f for f in found]
+        if turn + 1 == q.TRIALS:
+            found = [min(found, key=lambda f: f[:2])]
+    _, _, c, s, _ = found[0]
+    near = x[square(c, s) <= q.chi2_quantile(q.REWEIGHT, d)]
+    return near.mean(axis=0), np.cov(near.T, bias=True) * q._factor(q.REWEIGHT)
+
+
+def test_quality_matches_a_plain_estimate(docs_of):
+    """Sources and languages of several sizes against numpy."""
+    from statuta.llm import quality as q
+
+    sizes = {("en", "a"): 260, ("en", "b"): 40, ("en", None): 9, ("fr", "a"): 30, (None, "c"): 1}
+    rows = [(1000 * g + k, _prose(977 * g + k, 60 + (7 * k) % (80 + 30 * g)) + " Z!" * (k % 3), *group) for g, (group, n) in enumerate(sizes.items()) for k in range(n)]
+    got = {r.doc_id: (r.distance, r.kept) for r in quality_verdicts(docs_of(rows)).collect()}
+    names, scope = [x.split()[0] for x in q.STATS.split(", ")], {"ln": math.log, "sqrt": math.sqrt}
+    stats = text_stats(pa.array([r[1] for r in rows]))
+    half_up = lambda v: math.floor(abs(v) * q.SCALE + 0.5) * (1 if v >= 0 else -1)
+    x = np.array([[half_up(eval(sql, scope, dict(zip(names, map(int, s))))) for sql, _ in q.FEATURES.values()] for s in stats])
+    of = lambda test: x[[k for k, r in enumerate(rows) if test(r)]]
+    whole = plain_estimate(x, q)
+    expected, limit = {}, math.sqrt(q.chi2_quantile(1 - q.TAIL, x.shape[1]))
+    for group in sizes:
+        centre, scatter = whole
+        for own in (of(lambda r: r[2] == group[0]), of(lambda r: r[2:] == group)):
+            c, s = plain_estimate(own, q) if len(own) > 1 else (own[0] / q.SCALE, np.zeros((x.shape[1],) * 2))
+            w = len(own) / (len(own) + q.SHRINK)
+            centre, scatter = w * c + (1 - w) * centre, w * s + (1 - w) * scatter
+        for k, r in enumerate(rows):
+            if r[2:] == group:
+                v = x[k] / q.SCALE - centre
+                expected[r[0]] = math.sqrt(v @ np.linalg.inv(scatter + q._LEAST) @ v)
+    assert max(abs(got[k][0] - expected[k]) for k in got) < 1e-6
+    assert all(kept == (expected[k] <= limit) for k, (_, kept) in got.items())
 
 
 def test_packing_round_trip(docs_of):
@@ -139,29 +186,82 @@ def test_license_scan(docs_of):
     assert license_scan(docs_of([])).count() == 0
 
 
-def test_line_dedup(docs_of):
-    line, other = "this line stands in many documents word for word and then ends here", "another line of text here"
-    near = lambda k: " ".join(["fixed", "lead", *["same"] * 16, f"v{k}"])
-    rows = [(k, f"{line}\nown {'pqrs'[k]} text stays here\n{near('abcdef'[k])}\nlog 12:0{k} of 7 items done") for k in range(4)] + [(9, None), (10, ""), (11, other), (12, other), (None, line)]
-    got = {r.doc_id: r for r in dedup_lines(docs_of(rows)).collect()}
-    assert got[0].text == rows[0][1] and got[0]["__dropped"] == 0
-    assert all(got[k].text == f"own {'pqrs'[k]} text stays here" for k in (1, 2, 3))
-    assert got[9].text is None and got[10].text == "" and got[12].text == other and got[None].text == ""
+def plain_line_dedup(rows):
+    """Every line against every other: doc -> numbers of the lines that go. Ids are unique."""
+    held = []
+    for doc, text in rows:
+        for number, line in enumerate((text or "").split("\n")):
+            tokens = [w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]
+            masked = ["<*>" if re.search("[0-9]", w) else w for w in tokens]
+            if tokens:
+                held.append((doc, number, masked if 2 * sum(w == "<*>" for w in masked) <= len(tokens) else tokens))
+
+    def template(tokens, out):
+        n, (parts, _) = len(tokens), open_parts(len(tokens))
+        edge = [2 + i * (n - 2) // parts for i in range(parts + 1)]
+        return out, *(None if any(edge[i] <= k < edge[i + 1] for i in out) else w for k, w in enumerate(tokens))
+
+    gone = defaultdict(set)
+    for make, least in ((lambda t: [tuple(t)], 2), (lambda t: [template(t, out) for out in combinations(range(open_parts(len(t))[0]), open_parts(len(t))[1])] if len(t) > 2 else [], 3)):
+        docs = defaultdict(set)
+        for doc, _, tokens in held:
+            for key in make(tokens):
+                docs[key].add(doc)
+        for doc, number, tokens in held:
+            if any(len(docs[key]) >= least and doc != min(docs[key]) for key in make(tokens)):
+                gone[doc].add(number)
+    return {doc: None if text is None else "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone[doc]) for doc, text in rows}
+
+
+def test_line_dedup_against_every_pair(docs_of):
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice(["aa", "bb", "cc", "dd", "e1", "7"]) for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 9, 13])))
+    rows = [(k, rng.choice(["", " ", "\n"]).join([""]) + "\n".join(line() for _ in range(rng.randrange(6)))) for k in range(120)] + [(500, None), (501, ""), (502, "\n\n"), (503, "one long line " * 9000)]
+    got = {r.doc_id: r.text for r in dedup_lines(docs_of(rows)).collect()}
+    assert got == plain_line_dedup(rows)
+    assert any(got[k] != t for k, t in rows) and any(got[k] == t and t for k, t in rows)
+
+
+def test_line_dedup(docs_of, spark):
+    names = ["anna", "bert", "carl", "dora", "emil", "fritz", "gerd", "hans", "ida", "jan"]
+    wide = lambda k: f"report of {names[k]} for this week was read out and {names[9 - k]} agreed again"
+    passage = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rows = [(k, f"Posted by {names[k]}\nAll rights reserved.\n{wide(k)}\nown {names[k] * 3} text stays here with {names[(3 * k) % 10]}\nlog 12:0{k} of 7 items done") for k in range(10)]
+    rows += [(20, passage), (21, f"{passage}\nown end"), (30, None), (31, ""), (None, passage)]
+    got = {r.doc_id: r for r in dedup_lines(docs_of(rows), counts=("n_lines", "gone")).collect()}
+    assert got[0].text == rows[0][1] and got[0].gone == 0 and got[0].n_lines == 5
+    # By similarity: a field in a short line, two fields far apart, a short line as it is, digits.
+    assert all(got[k].text == rows[k][1].split("\n")[3] for k in range(1, 10))
+    assert got[20].text == passage and got[21].text == "own end" and got[None].text == ""  # from two documents on
+    assert got[30].text is None and got[30].n_lines == 0 and got[31].text == ""
+    twice = dedup_lines(spark.createDataFrame([(1, "x y", "h", "i")] * 2 + [(2, "x y", "h", "i")], "doc_id long, text string, line_hash string, LINE_ID string"))
+    assert twice.columns == ["doc_id", "text", "line_hash", "LINE_ID"] and sorted(map(tuple, twice.collect())) == [(1, "x y", "h", "i")] * 2 + [(2, "", "h", "i")]
     assert dedup_lines(docs_of([])).count() == 0
 
 
-def test_mixing(docs_of):
+def test_mixing(docs_of, spark, monkeypatch):
+    from statuta.llm import mixing
+
     rows = [(k, "text " * 20, "en", "big") for k in range(900)] + [(1000 + k, "text " * 20, "en", None) for k in range(100)] + [(2000, None, None, "void")]
-    got = mix_sources(docs_of(rows)).collect()
+    counts = ("copies", "copy", "place")
+    got = mix_sources(docs_of(rows), counts=counts).collect()
     n = Counter(r.source for r in got)
     share = lambda s: s**0.7
     goal = 1000 * share(900) / (share(900) + share(100))
     assert abs(n["big"] - goal) < 5 * math.sqrt(goal)
     per = Counter(r.doc_id for r in got)
-    assert all(per[r.doc_id] == r["__copies"] for r in got)
-    again = mix_sources(docs_of(rows).repartition(7)).collect()
-    assert sorted((r.doc_id, r["__copy"]) for r in again) == sorted((r.doc_id, r["__copy"]) for r in got)
+    assert all(per[r.doc_id] == r.copies for r in got)
+    again = mix_sources(docs_of(rows).repartition(7), counts=counts).collect()
+    assert sorted((r.doc_id, r.copy, r.place) for r in again) == sorted((r.doc_id, r.copy, r.place) for r in got)
+    with monkeypatch.context() as m:  # the way for tables too large to broadcast
+        m.setattr(mixing, "MAX_STEPS", 0)
+        assert Counter(r.doc_id for r in mix_sources(docs_of(rows)).collect()) == per
     only = mix_sources(docs_of(rows), weights={"big": 1.0}).collect()
     assert {r.source for r in only} <= {"big", "void"}
     assert abs(poisson_cdf(2.0)[0] - math.exp(-2)) < 1e-12 and poisson_cdf(1000.0)[-1] > 1 - 1e-9
+    # Repeated rows draw alike; columns named like the operator's own come back as they were.
+    twice = mix_sources(spark.createDataFrame([(k // 2, "words " * 9, "s", "a", "b") for k in range(60)], "doc_id long, text string, source string, cdf string, mix_cdf string"))
+    per = Counter(r.doc_id for r in twice.collect())
+    assert twice.columns == ["doc_id", "text", "source", "cdf", "mix_cdf"] and per and all(v % 2 == 0 for v in per.values())
+    assert {(r.cdf, r.mix_cdf) for r in twice.collect()} == {("a", "b")}
     assert mix_sources(docs_of([])).count() == 0
