@@ -15,28 +15,33 @@ from statuta.llm.mixing import mix_sources
 from statuta.llm.near_dup import keep_one
 from statuta.llm.packing import pack_documents
 from statuta.llm.quality import keep_good
-from statuta.llm.shared import Scratch
+from statuta.llm.shared import Scratch, freed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: the documents that the rules keep. Null and empty texts go; repeated rows are judged alike."""
     return keep_good(docs).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: recurring lines out of all but their first document. No row goes; null texts stay null and have no n_chars."""
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1 at a similarity of 0.8: the least id of each group stays, and every null id or empty text."""
     return keep_one(docs).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: each document as often as its source's rate draws it, in hashed order. A null source is one of its own."""
     return mix_sources(docs).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: the pieces of all copies in sequences of 2,048 tokens. A null or empty text is its end id alone."""
     return pack_documents(docs)
 
 
@@ -47,11 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every stage's result is written and read again."""
+    """All stages over ``documents``; every stage's result is written and read again, and its
+    working tables and the result before it are freed then. An empty table gives no piece."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = scratch.save(docs, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with freed():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
+    return STAGES[-1][1](spark, docs, sf_dir)
