@@ -101,10 +101,9 @@ class Words:
 
 def pieces(batch: pa.RecordBatch, column: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``rows`` rows and about ``CHUNK`` bytes of text; one long text is a slice."""
-    sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
-    upto, low = np.cumsum(sizes), 0
-    while low < len(sizes):
-        high = int(np.searchsorted(upto, (upto[low - 1] if low else 0) + CHUNK, side="right"))
+    upto, low = text_bytes(batch.column(column))[1], 0
+    while low < batch.num_rows:
+        high = int(np.searchsorted(upto, upto[low] + CHUNK, side="right")) - 1
         high = min(max(high, low + 1), low + rows)
         yield batch.slice(low, high - low)
         low = high
