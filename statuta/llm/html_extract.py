@@ -1,36 +1,41 @@
 """Main text of web pages by site template removal.
 
-Each page is parsed once. Elements that never belong to an article (navigation, forms, scripts,
-adverts, comments and so on, by tag, role or class) are left out, as is text outside a marked
-``main``. The subtrees of all remaining block elements, within an article and outside it, and
-every run of text are hashed, with their tags and texts; Spark counts on how many different pages
-of a host each hash stands, and subtrees that recur on enough of them are deleted: on half of the
-host's different pages, on two at least, and on ``MIN_PAGES`` whatever the host's size. Pages that
-are copies of each other hold the same article and count once, so a copied article is not taken
-for a template.
-
-Parsed blocks are stored; only hashes are counted.
+Elements that never belong to an article (navigation, forms, scripts, adverts, comments and so on,
+by tag, role or class) are left out, as is text outside a marked ``main``. The subtrees of all
+remaining block elements, within an article and outside it, and the runs of text beside them are
+hashed, with their tags and texts; Spark counts on how many different pages of a host each hash
+stands, and subtrees that recur on enough of them are deleted: on half of the host's different
+pages, on two at least, and on ``MIN_PAGES`` whatever the host's size. Pages that are copies of each
+other hold the same article and count once, so a copied article is not taken for a template.
+
+Hashes are mixed with the host, so that counting moves 8-byte keys. Pages are parsed twice: the
+first time only hashes are stored, the second time a page's blocks go, compressed, to meet the
+hashes that are templates.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import Scratch
 from .url_filter import host_and_path
+from .words import pieces
 
 #: Different pages of a host that make a subtree its template; fewer where the host has less than twice as many.
 MIN_PAGES = 10
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_OUT = frozenset("head title nav footer aside form script style noscript template iframe svg button select textarea input label dialog menu object canvas audio video map datalist xmp noembed noframes".split())
+_OUT = frozenset("head title nav footer aside form script style noscript template iframe svg button select textarea input dialog menu canvas audio video datalist xmp noembed noframes".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _OUT_NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
@@ -41,6 +46,8 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that carry an article's sentences: within an article their class or id alone doesn't leave them out.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption td th tr table".split())
 #: Open elements that a start tag ends.
 _ENDS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -69,7 +76,7 @@ def _left_out(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name == "role" and value.strip() in _OUT_ROLES:
             return True
-        if name in ("class", "id") and not _OUT_NAMES.isdisjoint(_NAME.findall(value)):
+        if name in ("class", "id") and not (inside and tag in _PROSE) and not _OUT_NAMES.isdisjoint(_NAME.findall(value)):
             return True
     return False
 
@@ -197,29 +204,76 @@ class Page:
         self._pop_to(1)
 
 
-def _signed(said: str) -> int:
-    digest = xxhash.xxh64_intdigest(said)
+def _signed(said: str, seed: int = 0) -> int:
+    digest = xxhash.xxh64_intdigest(said, seed)
     return digest - (1 << 64) if digest >= 1 << 63 else digest
 
 
-_SCHEMA = "blocks array<struct<text string, around array<long>>>, hashes array<long>, main long"
+def parsed(source: str | None, host: str) -> tuple[list[tuple[str, list[int]]], int]:
+    """(blocks with the hashes around them, hash of the page's own text); hashes are the host's."""
+    page, site = Page(source or ""), xxhash.xxh64_intdigest(host)
+    # A run that is all of its element needs no hash beside the element's.
+    held = Counter(n for _, around, _ in page.blocks for n in around)
+    blocks = []
+    for text, around, _ in page.blocks:
+        hashes = [_signed(str(page.subtrees[n]), site) for n in around]
+        if not around or held[around[-1]] > 1:
+            hashes.append(_signed("\x01\x01" + text, site))
+        blocks.append((text, hashes))
+    return blocks, _signed("\n".join(page.own()), site)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column is the markup, which the parsed page replaces."""
-    kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, host, html) -> (key, site, main, hashes)."""
     for batch in batches:
-        for low in range(0, batch.num_rows, 128):
-            part = batch.slice(low, 128)
-            blocks, hashes, mains = [], [], []
-            for source in part.column(part.num_columns - 1).to_pylist():
-                page = Page(source or "")
-                own = [{"text": t, "around": [*(page.subtrees[n] for n in around), _signed("\x01\x01" + t)]} for t, around, _ in page.blocks]
-                blocks.append(own)
-                hashes.append(sorted({h for b in own for h in b["around"]}))
-                mains.append(_signed("\n".join(page.own())))
-            columns = [*part.columns[:-1], pa.array(blocks, kind), pa.array(hashes, pa.list_(pa.int64())), pa.array(mains, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], "blocks", "hashes", "main"])
+        for part in pieces(batch, 2, 128):
+            rows = []
+            for host, source in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                blocks, main = parsed(source, host)
+                rows.append((_signed(host), main, sorted({h for _, around in blocks for h in around})))
+            site, main, hashes = zip(*rows)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(site, pa.int64()), pa.array(main, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "site", "main", "hashes"])
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns are host and markup, which the compressed blocks replace."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for part in pieces(batch, batch.num_columns - 1, 128):
+            made = []
+            for host, source in zip(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
+                blocks, _ = parsed(source, host)
+                number = {h: k for k, h in enumerate(dict.fromkeys(h for _, around in blocks for h in around))}
+                made.append(packer.compress(json.dumps([list(number), [(text, [number[h] for h in around]) for text, around in blocks]], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace")))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(made, pa.binary())], names=[*part.schema.names[:-2], "blocks"])
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns are blocks and template hashes, which the text that is left replaces."""
+    unpacker = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts = []
+        for packed, gone in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            hashes, blocks = json.loads(unpacker.decompress(packed))
+            templates = set(gone or ())
+            out = {k for k, h in enumerate(hashes) if h in templates}
+            texts.append("\n".join(text for text, around in blocks if out.isdisjoint(around)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], names=[*batch.schema.names[:-2], "text"])
+
+
+def site_templates(found: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(key, gone): the template hashes on each page of ``found`` (key, site, main, hashes) that has any."""
+    stands = found.select("key", "site", "main", F.explode("hashes").alias("hash"))
+    # Most hashes stand on one page; places are looked at for the rest only. Tables are written
+    # before they are joined, so that a hot hash or page can be split.
+    often = scratch.save(stands.groupBy("hash").agg(F.count("*").alias("n"), F.min("site").alias("site")).filter("n > 1"), "often")
+    places = scratch.save(stands.select("key", "main", "hash").join(often.select("hash"), "hash"), "places")
+    counted = places.select("hash", "main").distinct().groupBy("hash").agg(F.count("*").alias("pages")).filter("pages > 1")
+    hosts = found.select("site", "main").distinct().groupBy("site").agg(F.count("*").alias("n"))
+    need = hosts.filter(F.col("n") < 2 * min_pages).select("site", F.greatest(F.lit(2), F.ceil(F.col("n") / 2)).alias("need"))
+    named = counted.join(often.select("hash", "site"), "hash").join(need, "site", "left")
+    template = scratch.save(named.filter(F.col("pages") >= F.coalesce(F.least("need", F.lit(min_pages)), F.lit(min_pages))).select("hash"), "template")
+    return scratch.save(places.join(template, "hash").groupBy("key").agg(F.collect_set("hash").alias("gone")), "gone")
 
 
 def extract_text(pages: DataFrame, keep: list[str] = ("page_id", "url"), url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
@@ -228,21 +282,18 @@ def extract_text(pages: DataFrame, keep: list[str] = ("page_id", "url"), url_col
     Null and empty markup give an empty text. A null URL has the empty host, like one without
     ``://``. A host's subtrees are its templates from half of its different pages on, from two
     pages at least and from ``min_pages`` at most; a page that holds nothing else has no text.
-    Repeated rows give equal rows; an empty table gives none.
+    Repeated rows give equal rows; an empty table gives none. Names of other columns don't matter.
     """
     scratch = Scratch(pages.sparkSession, "pages")
     host, _ = host_and_path(F.col(url_col))
-    src = pages.select(*(F.col(c).alias(f"k_{c}") for c in keep), host.alias("host"), F.col(html_col).alias("html"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", " + _SCHEMA
-    parsed = scratch.save(src.mapInArrow(_parsed, schema).withColumn("row", F.monotonically_increasing_id()), "parsed")
-
-    stands = parsed.select("row", "host", "main", F.explode("hashes").alias("hash"))
-    counted = stands.select("host", "hash", "main").distinct().groupBy("host", "hash").agg(F.count("*").alias("pages")).filter("pages > 1")
-    hosts = parsed.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("n"))
-    need = hosts.filter(F.col("n") < 2 * min_pages).select("host", F.greatest(F.lit(2), F.ceil(F.col("n") / 2)).alias("need"))
-    template = counted.join(need, "host", "left").filter(F.col("pages") >= F.coalesce(F.least("need", F.lit(min_pages)), F.lit(min_pages)))
-    gone = stands.join(template.select("host", "hash"), ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
-    left = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.expr("filter(blocks, b -> not arrays_overlap(b.around, gone))"))
-    text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
-    out = parsed.join(gone, "row", "left").select(*(F.col(f"k_{c}").alias(c) for c in keep), text.alias("text"))
+    # Rows of one address and markup have one key and the same templates.
+    key = F.xxhash64(url_col, html_col).alias("key")
+    found = pages.select(key, host.alias("host"), F.col(html_col).alias("html")).mapInArrow(_hashed, "key long, site long, main long, hashes array<long>")
+    gone = site_templates(scratch.save(found, "hashes"), scratch, min_pages)
+
+    src = pages.select(*(F.col(c).alias(f"k_{c}") for c in keep), key, host.alias("host"), F.col(html_col).alias("html"))
+    fields = lambda df, n: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:n])
+    stored = src.mapInArrow(_stored, fields(src, -2) + ", blocks binary")
+    met = stored.join(gone, "key", "left").select(*(f"k_{c}" for c in keep), "blocks", "gone")
+    out = met.mapInArrow(_left, fields(met, -2) + ", text string").select(*(F.col(f"k_{c}").alias(c) for c in keep), "text")
     return out.select(*keep, "text", F.length("text").cast("long").alias("n_chars"))
