@@ -1,5 +1,7 @@
 import math
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -46,6 +48,40 @@ def test_counts_decide_within_and_outside_articles(spark):
     assert got[200] == "page 0\nseldom" and got[209] == "page 9" and got[302] == "2"
 
 
+def test_templates_against_plain_counts(spark):
+    """Generated hosts: blocks of every page against counts of element sources, by a stack of tags alone."""
+    rng = random.Random(11)
+    shared = {h: [f"<p>host {h} notice {k}</p>" for k in range(4)] for h in "ab"}
+
+    def source(h, k):
+        parts = [f"<p>text {k} {j} {rng.random()}</p>" for j in range(3)] + [x for x in shared[h] if rng.random() < 0.45] + [f"<div><h2>box {h}</h2><p>{rng.choice('xy')}</p></div>"]
+        rng.shuffle(parts)
+        return f"<body>{'<ul>' + ''.join(f'<li>menu {h} {j}</li>' for j in range(30)) + '</ul>'}<article>{''.join(parts)}</article></body>" if h == "a" else f"<body>{''.join(parts)}</body>"
+
+    rows = [(100 * n + k, f"http://{h}.x/{k}", source(h, k)) for n, (h, size) in enumerate({"a": 24, "b": 7}.items()) for k in range(size)]
+    rows += rows[:2] + [(900, "http://a.x/long", "<p>" + "very long " * 60_000 + "</p>")]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, hashes string")).collect()}
+    on = {"a": 25, "b": 7}
+    element = re.compile(r"<(p|li|h2)>(.*?)</\1>|<(/?)(div|ul)>")
+    count = Counter()
+    for host, unique in ((h, {r[2] for r in rows if f"//{h}." in r[1]}) for h in on):
+        for page in unique:
+            count.update((host, x) for x in set(re.findall(r"<ul>.*?</ul>|<div>.*?</div>|<(?:p|li|h2)>[^<]*</(?:p|li|h2)>", page)) | {m[0] for m in element.finditer(page) if m[2]})
+    removed = 0
+    for page_id, url, page in rows:
+        host = url[7]
+        often = lambda x: count[host, x] >= max(2, min(10, math.ceil(on[host] / 2)))
+        kept, box = [], ""
+        for m in re.finditer(r"<ul>.*?</ul>|<div>.*?</div>|<(?:p|li|h2)>[^<]*</(?:p|li|h2)>", page):
+            for block in re.findall(r"<(?:p|li|h2)>[^<]*</(?:p|li|h2)>", m[0]):
+                if not often(m[0]) and not often(block):
+                    kept.append(re.sub("<[^>]*>", "", block).strip())
+                else:
+                    removed += 1
+        assert got[page_id] == "\n".join(kept), page_id
+    assert removed > 100 and extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_url_rules(spark):
     cases = {
         "http://x.net/a": ("x.net", "/a", "net/", "block"),
