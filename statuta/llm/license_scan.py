@@ -1,20 +1,28 @@
 """License scan: fixed phrases, and an exact containment join of text blocks with templates.
 
-A block is a line. A template matches a block that holds at least ``THRESHOLD`` of its distinct
-words. Template words are ordered by the number of blocks that hold them over the whole corpus,
-rarest first. With ``need`` words to share, a matching block must hold one of the template's first
-``size - need + 1`` words (prefix filter), have ``need`` distinct words itself (length filter), and
-a first shared word at place ``i`` leaves at most ``size - i`` to share (positional filter). What
-passes is compared exactly. Templates are a parameter of bounded size and live in the plan as
-literals: the corpus is neither shuffled nor expanded, and only DataFrame functions run.
+A block is any line with the lines after it, up to a blank one, until these have as many words as
+the longest template, so a notice wrapped over lines lies in one block. A template matches a block
+that holds at least ``THRESHOLD`` of its distinct words. Template words are ordered by the
+number of lines that hold them over the whole corpus, rarest first. With ``need`` words to share, a
+matching block must hold one of the template's first ``size - need + 1`` words (prefix filter: only
+these are filed in the index that a block's words are joined with), have ``need`` distinct words
+itself (length filter), and a first shared word at place ``i`` leaves at most ``size - i`` to share
+(positional filter). What passes is compared exactly.
+
+Only DataFrame functions run. The texts are read twice and never shuffled; index and templates are
+tables, which Spark broadcasts while they are below its threshold, and only blocks around a line
+with a prefix word are expanded.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import Scratch
 from .url_filter import _LOWER, _UPPER, _text_array, ascii_lower
 
 #: (phrase, label): a label's phrase stands in consecutive words.
@@ -32,8 +40,10 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
 THRESHOLD = 0.8
-MAX_TEMPLATES = 2_000
+#: Prefix words that are looked for by one regular expression over a line; of more, every line is a candidate.
+MAX_GUARD = 5_000
 _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def _words(text: Column) -> Column:
@@ -41,104 +51,139 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, _SEPARATOR), lambda w: w != "")
 
 
+def plain_words(text: str) -> list[str]:
+    """A template's or phrase's words by the rule for texts."""
+    return [w for w in re.split(_SEPARATOR, text.translate(str.maketrans(_UPPER, _LOWER))) if w]
+
+
 def _need(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
+def _span(templates: list) -> int:
+    """Words after its first line from which on a block takes no more lines."""
+    return max([1, *(len(plain_words(notice)) for _, notice in templates)])
+
+
+def _quoted(word: str) -> str:
+    return "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in word)
+
+
+def _blocks(span: int) -> Column:
+    """Distinct words of each block near a line of ``__at``, from the lines' words ``__lists``."""
+    grown = lambda s, w: F.when(
+        s["more"] & (F.size(w) > 0), F.struct(F.concat(s["held"], w).alias("held"), (s["after"] + F.size(w)).alias("after"), (s["after"] + F.size(w) < span).alias("more"))
+    ).otherwise(F.struct(s["held"].alias("held"), s["after"].alias("after"), F.lit(False).alias("more")))
+    first = lambda w: F.struct(w.alias("held"), F.lit(0).alias("after"), (F.size(w) > 0).alias("more"))
+    starts = F.sequence(F.lit(0), F.size("__lists") - 1)
+    # A block has a word a line at least, so ``span`` lines after the first at most.
+    near = F.filter(starts, lambda i: F.exists(F.col("__at"), lambda p: (p >= i) & (p <= i + span)))
+    blocks = F.transform(near, lambda i: F.array_distinct(F.aggregate(F.slice(F.col("__lists"), i + 2, span), first(F.get(F.col("__lists"), i)), grown)["held"]))
+    return F.filter(blocks, lambda w: F.size(w) > 0)
+
+
 def license_scan(docs: DataFrame, keep: list[str] = ("doc_id",), text_col: str = "text", phrases: list = PHRASES, templates: list = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``keep`` columns, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
     ``score`` is 1 where a phrase stands, else the largest share of a template's words held by
-    one line that reaches the threshold, else 0. Null text counts as empty: no words, empty
-    labels, null places. Repeated rows give equal rows; an empty table gives none.
+    one block that reaches the threshold, else 0. Null text counts as empty: no words, empty
+    labels, null places. Repeated rows give equal rows; an empty table gives none. Templates and
+    phrases are cut into words like texts; one without a word matches nothing. ``keep`` may name
+    any column but those that are added here; other columns don't matter.
     """
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    sets = [(label, list(dict.fromkeys(notice.split()))) for label, notice in templates]
-    vocabulary = sorted({w for _, words in sets for w in words})
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "licenses")
+    sets = [(label, found) for label, notice in templates if (found := list(dict.fromkeys(plain_words(notice))))]
+    phrases = [(found, label) for phrase, label in phrases if (found := plain_words(phrase))]
+    vocabulary, span = sorted({w for _, words in sets for w in words}), _span(templates)
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    # Blocks that hold each template word; one row a word at most comes back.
+    # Lines that hold each template word; one row a word at most comes back.
     lines = docs.select(F.explode(F.split(text, "\n")).alias("line"))
     held = lines.select(F.explode(F.array_intersect(F.split(ascii_lower(F.col("line")), _SEPARATOR), _text_array(vocabulary))).alias("word"))
-    count = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    order = lambda w: (count.get(w, 0), w)
-
-    plans = []
-    for label, words in sets:
-        ranked = sorted(words, key=order)
+    count = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()} if vocabulary else {}
+    index, known = [], []
+    for k, (label, words) in enumerate(sets):
+        ranked = sorted(words, key=lambda w: (count.get(w, 0), w))
         need = _need(len(ranked), threshold)
-        plans.append((label, ranked, need, ranked[: len(ranked) - need + 1]))
-    prefixes = sorted({w for *_, prefix in plans for w in prefix})
-
-    # A line can only match if it holds a prefix word: one regular expression over the line.
-    guard = r"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(" + "|".join(prefixes) + r")(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])" if prefixes else "(?!)"
-    joined = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    phrase_guard = "(?i)" + "|".join(joined.join(p.split()) for p, _ in phrases)
-
-    known = F.array(
-        *(F.struct(F.lit(label).alias("label"), _text_array(ranked).alias("words"), _text_array(prefix).alias("prefix"), F.lit(need).alias("need")) for label, ranked, need, prefix in plans)
-    )
-
-    def matches(words: Column) -> Column:
-        """(label, shared, need, size) of the templates that a line's distinct words may match."""
-        first = lambda t: F.array_min(F.transform(F.array_intersect(words, t["prefix"]), lambda w: F.array_position(t["prefix"], w)))
-        passed = F.filter(known, lambda t: (F.size(words) >= t["need"]) & F.arrays_overlap(words, t["prefix"]) & (F.size(t["words"]) - first(t) + 1 >= t["need"]))
-        return F.transform(passed, lambda t: F.struct(t["label"].alias("label"), F.size(F.array_intersect(words, t["words"])).alias("shared"), t["need"].alias("need"), F.size(t["words"]).alias("size")))
-
-    base = docs.select(*keep, text.alias("__text"))
-    rows = base.select(
-        *keep,
-        F.size(_words(F.col("__text"))).cast("long").alias("n_words"),
-        F.when(F.col("__text").rlike(phrase_guard), _words(ascii_lower(F.col("__text")))).alias("__words"),
-        F.filter(F.split(F.col("__text"), "\n"), lambda x: F.rlike(x, F.lit(guard))).alias("__lines"),
-    )
-
-    def places(phrase: str) -> Column:
-        parts = phrase.split()
-        words = F.col("__words")
-        test = " and ".join(f"get(__words, cast(i + {k} as int)) = '{w}'" for k, w in enumerate(parts))
-        return F.when(F.size(words) >= len(parts), F.expr(f"filter(sequence(0L, cast(size(__words) - {len(parts)} as bigint)), i -> {test})"))
-
-    rows = rows.withColumns({f"__at{k}": F.coalesce(places(p), F.array().cast("array<bigint>")) for k, (p, _) in enumerate(phrases)})
-    everywhere = F.concat(*(F.col(f"__at{k}") for k in range(len(phrases))))
-    base_labels = F.array_distinct(F.array_compact(F.array(*(F.when(F.size(f"__at{k}") > 0, label) for k, (_, label) in enumerate(phrases)))))
-    sets_ = F.transform(F.col("__lines"), lambda x: F.array_distinct(_words(ascii_lower(x))))
-    hits = F.filter(F.flatten(F.transform(sets_, matches)), lambda h: h["shared"] >= h["need"])
-    rows = rows.select(*keep, "n_words", everywhere.alias("__at"), base_labels.alias("__base"), hits.alias("__hits"))
-    labels = F.array_union(F.col("__base"), F.transform("__hits", lambda h: h["label"]))
-    return rows.select(
-        *keep,
+        index += [(w, k, place) for place, w in enumerate(ranked[: len(ranked) - need + 1])]
+        known.append((k, label, ranked, need))
+    index = spark.createDataFrame(index, "word string, template int, place int")
+    known = spark.createDataFrame(known, "template int, label string, ranked array<string>, need int")
+
+    # A block can only match if one of its lines holds a prefix word.
+    prefixes = sorted({r["word"] for r in index.collect()})  # made above on the driver
+    some = "|".join(map(_quoted, prefixes))
+    guard = rf"(?i)(?<!{_WORD})(?:{some})(?!{_WORD})" if len(prefixes) <= MAX_GUARD else ""
+    guard = guard if prefixes else "(?!)"
+    phrase_guard = "(?i)" + "|".join(_SEPARATOR.join(map(_quoted, p)) for p, _ in phrases) if phrases else "(?!)"
+
+    base = docs.select(*(F.col(c).alias(f"k_{c}") for c in keep), text.alias("__text"))
+    base = base.withColumns({
+        "n_words": F.size(_words(F.col("__text"))).cast("long"),
+        "__words": F.when(F.col("__text").rlike(phrase_guard), _words(ascii_lower(F.col("__text")))),
+        "__lines": F.when(F.col("__text").rlike(guard), F.split("__text", "\n")),
+    })
+    base = base.withColumns({
+        "__at": F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: F.rlike(F.get(F.col("__lines"), i), F.lit(guard))),
+        "__lists": F.transform("__lines", lambda x: _words(ascii_lower(x))),
+    })
+    base = base.withColumn("blocks", F.when(F.col("__lines").isNotNull(), _blocks(span)))
+
+    def places(words: list[str]) -> Column:
+        stands = lambda i: reduce(Column.__and__, [F.get(F.col("__words"), (i + k).cast("int")) == w for k, w in enumerate(words)])
+        return F.when(F.size("__words") >= len(words), F.filter(F.sequence(F.lit(0).cast("long"), (F.size("__words") - len(words)).cast("long")), stands))
+
+    found = {f"at_{k}": F.coalesce(places(p), F.array().cast("array<bigint>")) for k, (p, _) in enumerate(phrases)}
+    base = base.withColumns(found) if found else base
+    everywhere = F.concat(*map(F.col, found)) if found else F.array().cast("array<bigint>")
+    labelled = F.array_distinct(F.array_compact(F.array(*(F.when(F.size(f"at_{k}") > 0, label) for k, (_, label) in enumerate(phrases))))) if found else F.array().cast("array<string>")
+    base = base.select(*(f"k_{c}" for c in keep), "n_words", everywhere.alias("at"), labelled.alias("base"), "blocks")
+    base = scratch.save(base.withColumn("row", F.monotonically_increasing_id()), "base")
+
+    blocks = base.select("row", F.posexplode("blocks").alias("block", "words"))
+    filed = blocks.select("row", "block", "words", F.explode("words").alias("word")).join(index, "word")
+    met = filed.groupBy("row", "block", "template").agg(F.min("place").alias("place"), F.first("words").alias("words")).join(known, "template")
+    fits = met.filter((F.size("words") >= F.col("need")) & (F.size("ranked") - F.col("place") >= F.col("need")))
+    shared = fits.select("row", "label", "need", F.size(F.array_intersect("words", "ranked")).alias("shared"), F.size("ranked").alias("size")).filter("shared >= need")
+    hits = scratch.save(shared.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("share")), "hits")
+    labels = F.array_union("base", F.coalesce("found", F.array().cast("array<string>")))
+    return base.join(hits, "row", "left").select(
+        *(F.col(f"k_{c}").alias(c) for c in keep),
         "n_words",
-        F.size("__at").cast("long").alias("n_base"),
-        F.array_min("__at").alias("first_word"),
-        F.array_max("__at").alias("last_word"),
-        F.array_join(F.array_sort("__base"), ",").alias("base_labels"),
+        F.size("at").cast("long").alias("n_base"),
+        F.array_min("at").alias("first_word"),
+        F.array_max("at").alias("last_word"),
+        F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(labels), ",").alias("labels"),
-        F.when(F.size("__at") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("__hits", lambda h: h["shared"] / h["size"])), F.lit(0.0))).alias("score"),
+        F.when(F.size("at") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
 
 
 def scan_sql() -> str:
-    """The same rows for DuckDB, with every template held against every line."""
+    """The same rows for DuckDB, with every template held against every block."""
     low = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
     words = lambda x: f"regexp_extract_all({low(x)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     at = []
     for phrase, label in PHRASES:
-        parts = phrase.split()
+        parts = plain_words(phrase)
         test = " and ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(parts))
         at.append(f"select id, '{label}' as label, i as place from (select id, w, unnest(range(len(w) - {len(parts) - 1})) as i from words) where {test}")
-    sets = ", ".join(f"({k}, '{label}', {list(dict.fromkeys(notice.split()))}, {_need(len(set(notice.split())), THRESHOLD)})" for k, (label, notice) in enumerate(TEMPLATES))
+    sets = ", ".join(f"({k}, '{label}', {list(dict.fromkeys(plain_words(notice)))}, {_need(len(set(plain_words(notice))), THRESHOLD)})" for k, (label, notice) in enumerate(TEMPLATES))
     return f"""
 with numbered as (select row_number() over () as id, doc_id, coalesce(text, '') as text from documents),
 words as (select id, doc_id, {words('text')} as w from numbered),
 places as ({' union all '.join(at)}),
 base as (select id, count(*) as n_base, min(place) as first_word, max(place) as last_word, list_sort(list_distinct(list(label))) as found from places group by id),
 templates(k, label, ts, need) as (values {sets}),
-lines as (select id, {words('line')} as w from (select id, unnest(string_split(text, chr(10))) as line from numbered)),
+lines as (select id, ln, {words('lines[ln]')} as w from (select id, lines, unnest(range(1, len(lines) + 1)) as ln from (select id, string_split(text, chr(10)) as lines from numbered))),
+placed as (
+  select id, ln, w, sum(len(w)) over (partition by id order by ln) - len(w) as before, count(*) filter (len(w) = 0) over (partition by id order by ln) as para from lines),
+blocks as (
+  select a.id, a.ln, list_distinct(flatten(list(b.w))) as w
+  from placed a join placed b on a.id = b.id and a.para = b.para and b.ln >= a.ln and b.before - a.before - len(a.w) < {_span(TEMPLATES)} where len(a.w) > 0 and len(b.w) > 0 group by a.id, a.ln),
 hits as (
-  select id, label, len(list_intersect(list_distinct(w), ts)) / cast(len(ts) as double) as share
-  from lines, templates where len(list_intersect(list_distinct(w), ts)) >= need),
+  select id, label, len(list_intersect(w, ts)) / cast(len(ts) as double) as share
+  from blocks, templates where len(list_intersect(w, ts)) >= need),
 own as (select id, list_distinct(list(label)) as found, max(share) as share from hits group by id)
 select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(b.n_base, 0) as n_base, b.first_word, b.last_word,
   coalesce(array_to_string(b.found, ','), '') as base_labels,
