@@ -1,16 +1,19 @@
 """URL rules with a literal-token index, in DataFrame functions only.
 
-Host rules (host and path prefix, longest wins) judge first. The rest meets pattern rules: every
-rule lists the literal tokens that any URL it matches must hold, and is filed under the one of
-them that is rarest over all URLs. A URL's tokens fetch the rules filed under them, and only those
-run their regular expression. Rules are a parameter of bounded size; they live in the plan as
-literals, so URLs are judged in one pass without a shuffle.
+Host rules (host and path prefix, longest wins) judge first: a URL's host and its parent domains
+are joined with the rules' hosts. The rest meets pattern rules: every rule lists the literal tokens
+that any URL it matches must hold, and is filed under the one of them that is rarest over all URLs.
+A URL's tokens fetch the rules filed under them by a join, and only those run their regular
+expression. Rules are tables of any size, which Spark broadcasts while they are below its
+threshold; only addresses are moved, never markup.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import Scratch
+
 #: (action, host, path)
 HOST_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: (action, literal tokens, pattern over the lower-cased URL); an allow outweighs every block.
@@ -26,8 +29,6 @@ PATTERN_RULES = [
     ("block", ["utm", "campaign", "popunder"], r"[?&]utm_campaign=popunder(&|#|$)"),
     ("allow", ["ads", "track", "optout"], r"://([^/?#]*\.)?ads-track\.[^?#]*/optout(/|$)"),
 ]
-#: Most rules that are put into the plan.
-MAX_RULES = 5_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -53,37 +54,34 @@ def _text_array(values: list[str]) -> Column:
 def url_verdicts(pages: DataFrame, keep: list[str] = ("page_id",), url_col: str = "url", host_rules: list = HOST_RULES, pattern_rules: list = PATTERN_RULES) -> DataFrame:
     """``keep`` columns, host, path, rule, verdict of every row.
 
-    ``rule`` is the host rule that decided, else null; ``verdict`` is its action, else that of
-    the pattern rules, else allow. Null and empty URLs have an empty host and path and are
-    allowed. Repeated rows are judged alike; an empty table gives none.
+    ``rule`` is the host rule that decided, else null; of two as long as each other the one listed
+    first. ``verdict`` is its action, else that of the pattern rules, else allow. Null and empty
+    URLs have an empty host and path and are allowed. Repeated rows are judged alike; an empty
+    table gives none. ``keep`` may name any column but those added here; others don't matter.
     """
-    if len(host_rules) + len(pattern_rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    words = sorted({w for _, tokens, _ in pattern_rules for w in tokens})
-    url = F.col(url_col)
+    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "urls")
+    host, path = host_and_path(F.col(url_col))
+    base = pages.select(*(F.col(c).alias(f"k_{c}") for c in keep), F.coalesce(url_col, F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
+    base = scratch.save(base.withColumn("row", F.monotonically_increasing_id()), "base")
+
+    words = spark.createDataFrame(sorted({(w,) for _, tokens, _ in pattern_rules for w in tokens}), "token string")
+    tokens = base.select("row", "url", F.explode(url_tokens(F.col("url"))).alias("token"))
     # Rows: one for each literal of the rules at most.
-    met = pages.select(F.explode(F.array_intersect(url_tokens(url), _text_array(words))).alias("token"))
-    seen = {r["token"]: r["n"] for r in met.groupBy("token").agg(F.count("*").alias("n")).collect()}
-    filed: dict[str, list[tuple[str, str]]] = {}
-    for action, tokens, pattern in pattern_rules:
-        filed.setdefault(min(tokens, key=lambda w: (seen.get(w, 0), w)), []).append((action, pattern))
-
-    host, path = host_and_path(url)
-    out = pages.select(*keep, url.alias("__url"), host.alias("host"), path.alias("path"))
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for action, name, prefix in sorted(host_rules, key=lambda r: len(r[1] + r[2])):
-        fits = ((F.col("host") == name) | F.col("host").endswith("." + name)) & F.col("path").startswith(prefix)
-        rule, verdict = F.when(fits, name + prefix).otherwise(rule), F.when(fits, action).otherwise(verdict)
-    if filed:
-        index = F.map_from_arrays(_text_array(list(filed)), F.array(*(F.array(*(F.struct(F.lit(a).alias("action"), F.lit(p).alias("pattern")) for a, p in rules)) for rules in filed.values())))
-        hits = F.array_intersect(url_tokens(F.col("__url")), _text_array(list(filed)))
-        fetched = F.flatten(F.transform(hits, lambda t: F.element_at(index, t)))
-        lowered = ascii_lower(F.coalesce(F.col("__url"), F.lit("")))
-        matched = F.transform(F.filter(fetched, lambda r: F.rlike(lowered, r["pattern"])), lambda r: r["action"])
-        by_pattern = F.when(F.size(hits) == 0, "allow").when(F.array_contains(matched, "allow"), "allow").when(F.array_contains(matched, "block"), "block").otherwise("allow")
-    else:
-        by_pattern = F.lit("allow")
-    return out.select(*keep, "host", "path", rule.alias("rule"), F.coalesce(verdict, by_pattern).alias("verdict"))
+    seen = {r["token"]: r["n"] for r in tokens.join(words, "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
+    filed = [(min(literals, key=lambda w: (seen.get(w, 0), w)), action, pattern) for action, literals, pattern in pattern_rules]
+    index = spark.createDataFrame(filed, "token string, action string, pattern string")
+    matched = tokens.join(index, "token").filter(F.rlike(ascii_lower(F.col("url")), F.col("pattern")))
+    by_pattern = matched.groupBy("row").agg(F.when(F.bool_or(F.col("action") == "allow"), "allow").otherwise("block").alias("by_pattern"))
+
+    rules = spark.createDataFrame([(name, prefix, name + prefix, action, -len(name + prefix), k) for k, (action, name, prefix) in enumerate(host_rules)], "name string, prefix string, rule string, action string, longest int, listed int")
+    parts = F.split("host", r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    fits = base.select("row", "path", F.explode(domains).alias("name")).join(rules, "name").filter(F.col("path").startswith(F.col("prefix")))
+    by_host = fits.groupBy("row").agg(F.min_by(F.struct("rule", "action"), F.struct("longest", "listed")).alias("by_host"))
+
+    out = base.join(by_host, "row", "left").join(by_pattern, "row", "left")
+    verdict = F.coalesce("by_host.action", "by_pattern", F.lit("allow"))
+    return out.select(*(F.col(f"k_{c}").alias(c) for c in keep), "host", "path", F.col("by_host.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def verdicts_sql() -> str:
