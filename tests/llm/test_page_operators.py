@@ -100,6 +100,13 @@ def test_url_rules(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_verdicts(pages).collect()}
     assert got == dict(enumerate(cases.values()))
     assert url_verdicts(pages.limit(0)).count() == 0
+    # Repeated rows, a very long address, thousands of rules.
+    long = "http://casino." + "x" * 100_000 + ".net/"
+    pages = spark.createDataFrame([(1, long), (1, long), (2, "http://h77.org/p/1"), (3, "http://a.h78.org/q/")], "page_id int, url string")
+    many = [("block" if k % 2 else "allow", f"h{k}.org", "/p/") for k in range(6000)] + [("allow", "org", "/")]
+    patterns = [("block", [f"t{k}"], f"t{k}") for k in range(6000)] + [("block", ["casino"], "casino")]
+    got = Counter((r.page_id, r.rule, r.verdict) for r in url_verdicts(pages, host_rules=many, pattern_rules=patterns).collect())
+    assert got == {(1, None, "block"): 2, (2, "h77.org/p/", "block"): 1, (3, "org/", "allow"): 1}
 
 
 def brute_top_k(rows, k):

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from statuta.llm.license_scan import license_scan
+from statuta.llm.license_scan import TEMPLATES, license_scan
 from statuta.llm.line_dedup import dedup_lines, open_parts
 from statuta.llm.mixing import mix_sources, poisson_cdf
 from statuta.llm.packing import hilbert_keys, pack_documents
@@ -176,16 +176,50 @@ def test_token_counts_and_cache(spark, docs_of, tmp_path):
 
 
 def test_license_scan(docs_of):
+    notice = dict((label, text) for label, text in TEMPLATES)["bsd"].split()
+    wrapped = "\n".join(" ".join(notice[k : k + 6]) for k in range(0, len(notice), 6))
+    apart = "\n\n".join(" ".join(notice[k : k + 6]) for k in range(0, len(notice), 6))
     rows = [(1, "Licensed under CC BY-NC 4.0."), (2, None), (3, "ALL\nrights, reserved all rights reserved"), (4, "Licensed under the Apache License, Version 2.0."), (5, "License the apache plain"), (6, "accby all rights reservedx")]
-    got = {r.doc_id: r for r in license_scan(docs_of(rows), keep=["doc_id"]).collect()}
-    assert (got[1].labels, got[1].base_labels, got[1].n_words, got[1].first_word, got[1].score) == ("cc-by,cc-by-nc", "cc-by", 7, 2, 1.0)
-    assert (got[2].n_words, got[2].labels, got[2].first_word, got[2].score) == (0, "", None, 0.0)
-    assert (got[3].n_base, got[3].first_word, got[3].last_word) == (2, 0, 3)
-    assert (got[4].labels, got[4].n_base, got[4].score) == ("apache", 0, 1.0)
-    assert got[5].labels == "" and got[6].labels == ""
+    rows += [(7, f"Head line\n{wrapped}\ntail"), (8, apart), (9, "w " * 30_000 + wrapped), (9, "\n".join(["some line"] * 2000) + "\n" + wrapped), (9, "Redistribution\n" * 500)] + [(10, wrapped)] * 2
+    got = defaultdict(list)
+    for r in license_scan(docs_of(rows)).collect():
+        got[r.doc_id].append(r)
+    one = {k: v[0] for k, v in got.items()}
+    assert (one[1].labels, one[1].base_labels, one[1].n_words, one[1].first_word, one[1].score) == ("cc-by,cc-by-nc", "cc-by", 7, 2, 1.0)
+    assert (one[2].n_words, one[2].labels, one[2].first_word, one[2].score) == (0, "", None, 0.0)
+    assert (one[3].n_base, one[3].first_word, one[3].last_word) == (2, 0, 3)
+    assert (one[4].labels, one[4].n_base, one[4].score) == ("apache", 0, 1.0)
+    assert one[5].labels == "" and one[6].labels == ""
+    assert one[7].labels == "bsd" and one[8].labels == "" and sorted(r.labels for r in got[9]) == ["", "bsd", "bsd"]
+    assert [r.labels for r in got[10]] == ["bsd", "bsd"] and one[10].score == 1.0
     assert license_scan(docs_of([])).count() == 0
 
 
+def test_license_templates_are_cut_like_texts(spark, docs_of):
+    """Templates with capitals, points and signs, against every template held with every block."""
+    rng, letters = random.Random(2), "abcdefgh"
+    templates = [(f"t{k}", " ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 8)))) for k in range(60)] + [("full", "Apache License, Version 2.0 (c++)"), ("none", "...")]
+    rows = [(k, "".join(rng.choice(letters + "  \n") for _ in range(rng.randrange(200)))) for k in range(60)] + [(100, "the apache LICENSE version 2 0 C"), (101, "A.B.")]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan(docs_of(rows), templates=templates, phrases=[("A.B", "dots")]).collect()}
+    words = lambda x: [w for w in re.split(r"[^a-z0-9]+", x.lower()) if w]
+    span = max(len(words(t)) for _, t in templates)
+    for doc, text in rows:
+        lines, best, found = [words(x) for x in text.split("\n")], 0.0, set()
+        for i in range(len(lines)):
+            after, j = [], i + 1
+            while lines[i] and j < len(lines) and lines[j] and len(after) < span:
+                after, j = after + lines[j], j + 1
+            held = lines[i] + after
+            for label, notice in templates:
+                if (t := set(words(notice))) and len(t & set(held)) >= max(1, math.ceil(0.8 * len(t) - 1e-9)):
+                    found.add(label)
+                    best = max(best, len(t & set(held)) / len(t))
+        flat = sum(lines, [])
+        dots = any(flat[k : k + 2] == ["a", "b"] for k in range(len(flat)))
+        assert got[doc] == (",".join(sorted(found | ({"dots"} if dots else set()))), 1.0 if dots else best), doc
+    assert "full" in got[100][0] and "dots" in got[101][0]
+
+
 def plain_line_dedup(rows):
     """Every line against every other: doc -> numbers of the lines that go. Ids are unique."""
     held = []
