@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from statuta.llm.ball_tree import top_k
@@ -131,3 +132,24 @@ def test_top_k_is_exact(spark):
     clip = lambda s: max(-(2**63), min(2**63 - 1, s))
     assert got == [(q, r, i, clip(s)) for q, r, i, s in brute_top_k(rows, 5)]
     assert top_k(frame.limit(0), F.lit(True)).count() == 0
+
+
+def test_top_k_leaves_shards_out(spark):
+    """Far clusters and a third of equal rows: exact, with rows of one id as candidates each, whatever the partitioning."""
+    from statuta.llm.ball_tree import Space
+
+    rng = random.Random(4)
+    rows = [(k, [rng.gauss(20 * (k % 4 == d), 1) for d in range(4)]) for k in range(1200)] + [(k, [30.0, 0.0, 0.0, 0.0]) for k in range(1200, 1800)]
+    extra = [(50, [0.1, 0.2, 0.3, 0.4]), (77, [1.0, 2.0, 3.0, 4.0]), (77, [1.0, 2.0, 3.0, 4.0])]
+    frame = spark.createDataFrame(rows + extra, "vec_id long, embedding array<double>").repartition(5)
+    got = sorted(map(tuple, top_k(frame, F.col("vec_id") % 50 == 0, k=7, shard_rows=100).collect()))
+    made = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows + extra]
+    asked = {q: min(v for i, v in made if i == q) for q in {i for i, _ in made if i % 50 == 0}}
+    expected = []
+    for q, v in asked.items():
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in made if i != q)[:7]
+        expected += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(expected)
+    sample = np.array([v for _, v in made])
+    space = Space(sample, 16)
+    assert 8 <= len(space.centres) <= 16 and set(space.ball(sample)) <= set(range(len(space.centres)))
