@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import Scratch
 from .tokens import text_counts, tokenizer_path
+from .words import pieces
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
 
@@ -25,8 +26,7 @@ def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = text_counts(path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for part in pieces(batch, 1, 256):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counter.count_all(part.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
     return run
@@ -57,7 +57,8 @@ def token_counts(docs: DataFrame, cache: str | None = None, id_col: str = "doc_i
     distinct = missing.groupBy("digest").agg(F.first("text").alias("text"))
     distinct.mapInArrow(_counted(path), CACHE_SCHEMA).write.mode("append").parquet(stored)
 
-    # Two calls at once may both append a text; their counts are equal.
-    known = spark.read.schema(CACHE_SCHEMA).parquet(stored).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    # Two calls at once may both append a text; their counts are equal. Written before it is
+    # joined, so that the rows of a very common text can be dealt out over several tasks.
+    known = scratch.save(spark.read.schema(CACHE_SCHEMA).parquet(stored).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "known")
     keys = src.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return keys.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
