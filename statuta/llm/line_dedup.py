@@ -10,9 +10,10 @@ Templates are counted by the documents that hold them. A line that stands in ``M
 as it is, or matches a generalised template in ``OPEN_DOCS``, is dropped from every document but the
 template's first (the least id), so no content is lost as a whole.
 
-Only 8-byte template keys are shuffled and counted with partial sums, so a line that is in a third
-of all documents costs a row a partition; keys of generalised templates are made for lines of leaves
-with enough lines only. Texts move once, to meet their dropped line numbers.
+Only 8-byte keys are shuffled and counted with partial sums, so a line that is in a third of all
+documents costs a row a partition. Two lines that agree on three parts of five agree on one of four
+pairs of parts; keys of those pairs pick the lines that can share a generalised template at all, and
+only these make all their template keys. Texts move once, to meet their dropped line numbers.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ MIN_DOCS, OPEN_DOCS = 2, 3
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _FIELD = mix(np.array([42], dtype=_U))[0]
-_MASKS = [sum(1 << k for k in open_) for n in (1, OPEN) for open_ in combinations(range(PARTS), n)]
+#: Pairs of five parts of which any three parts hold one.
+_PAIRS = [(0, 1), (2, 3), (2, 4), (3, 4)]
 
 
 def open_parts(n: int) -> tuple[int, int]:
@@ -43,29 +45,21 @@ def open_parts(n: int) -> tuple[int, int]:
     return parts, min(parts, OPEN if n >= 5 else 1)
 
 
-def line_keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of lines that follow each other in ``hashes``: leaf, whole line, and the generalised
-    templates of all lines with how many each line has.
+def line_parts(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves, hashes of the parts and numbers of parts of lines that follow each other in ``hashes``.
 
-    Keys are sums of place-dependent hashes, so parts are left open by taking their sums out.
+    A part is a sum of place-dependent hashes, so all are read off one running sum.
     """
     starts = np.cumsum(counts) - counts
     place = np.arange(len(hashes)) - np.repeat(starts, counts) + 1
     running = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(mix(hashes + place.astype(_U) * _U(0x9E3779B97F4A7C15)), dtype=_U)])
     upto = lambda within: running[starts + within]
-    whole = upto(counts) - running[starts]
-    leaf = mix(counts.astype(_U) * _U(0xD6E8FEB86659FD93) + upto(np.minimum(DEPTH, counts)) - running[starts])
+    lead = np.minimum(DEPTH, counts)
+    leaf = mix(counts.astype(_U) * _U(0xD6E8FEB86659FD93) + upto(lead) - running[starts])
     parts = np.clip(counts - DEPTH, 0, PARTS)
-    opened = np.minimum(parts, np.where(counts >= 5, OPEN, 1))
-    edges = [np.minimum(DEPTH, counts) + (i * np.maximum(counts - DEPTH, 0)) // np.maximum(parts, 1) for i in range(PARTS + 1)]
-    sums = [np.where(i < parts, upto(np.minimum(edges[i + 1], counts)) - upto(np.minimum(edges[i], counts)), _U(0)) for i in range(PARTS)]
-    used = np.zeros((len(counts), len(_MASKS)), dtype=bool)
-    keys = np.empty((len(counts), len(_MASKS)), dtype=_U)
-    for k, mask in enumerate(_MASKS):
-        own = [i for i in range(PARTS) if mask >> i & 1]
-        used[:, k] = (len(own) == opened) & (own[-1] < parts)
-        keys[:, k] = mix((whole - sum(sums[i] for i in own)) ^ mix(leaf + _U(mask)))
-    return leaf.view(np.int64), mix(whole ^ leaf).view(np.int64), keys[used].view(np.int64), used.sum(axis=1)
+    edges = [np.minimum(lead + (i * np.maximum(counts - DEPTH, 0)) // np.maximum(parts, 1), counts) for i in range(PARTS + 1)]
+    sums = np.stack([upto(edges[i + 1]) - upto(edges[i]) for i in range(PARTS)], axis=1)
+    return leaf.view(np.int64), mix(sums)[np.arange(PARTS) < parts[:, None]].view(np.int64), parts
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +79,23 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = 2 * np.add.reduceat(field.astype(np.int64), cuts) <= counts
             hashes = found.hashes(fold=False)
             hashes[field & np.repeat(some, counts)] = _FIELD
-            leaf, whole, keys, sizes = line_keys(hashes, counts)
+            leaf, parts, sizes = line_parts(hashes, counts)
             at = pa.array(row[cuts])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number, pa.int32()), pa.array(leaf), pa.array(whole), lists], names=["doc_id", "text_hash", "line", "leaf", "whole", "keys"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(parts))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number, pa.int32()), pa.array(leaf), lists], names=["doc_id", "text_hash", "line", "leaf", "parts"])
+
+
+def _keys(sizes: dict[int, list[tuple[int, ...]]]) -> F.Column:
+    """Keys of a line: of its leaf with each listed set of parts, by its number of parts."""
+    out = F.array().cast("array<long>")
+    for n, sets in sizes.items():
+        made = F.array(*(F.xxhash64("leaf", F.lit(" ".join(map(str, kept))), *(F.get("parts", F.lit(i)) for i in kept)) for kept in sets))
+        out = F.when(F.size("parts") == n, made).otherwise(out)
+    return out
+
+
+#: number of parts -> sets of parts that a template keeps.
+TEMPLATES = {parts: list(combinations(range(parts), parts - open_)) for parts, open_ in map(open_parts, range(DEPTH + 1, DEPTH + PARTS + 1))}
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, open_docs: int = OPEN_DOCS, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None) -> DataFrame:
@@ -105,24 +112,27 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, open_docs: int = OPEN
     hash_, id_, text_, gone_, parts_ = (free_name(own, x) for x in ("line_hash", "line_id", "line_text", "line_gone", "line_parts"))
     keyed = docs.select(*own, F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias(id_), F.xxhash64(F.col(text_col)).alias(hash_))
     src = keyed.select(F.col(id_).alias("doc_id"), F.col(hash_).alias("text_hash"), F.col(text_col).alias("text"))
-    lines = scratch.save(src.mapInArrow(_lines, "doc_id long, text_hash long, line int, leaf long, whole long, keys array<long>"), "lines")
+    lines = scratch.save(src.mapInArrow(_lines, "doc_id long, text_hash long, line int, leaf long, parts array<long>").withColumn("at", F.monotonically_increasing_id()), "lines")
 
     place = ["doc_id", "text_hash", "line"]
 
+    def frequent(filed: DataFrame, least: int, name: str) -> DataFrame:
+        """``filed`` with a key on so many lines. Keys are written before they are joined, so that a hot one can be split."""
+        return filed.join(scratch.save(filed.groupBy("key").agg(F.count("*").alias("rows")).filter(f"rows >= {int(least)}").select("key"), name), "key")
+
     def met(filed: DataFrame, least: int, name: str) -> tuple[DataFrame, DataFrame]:
         """(key, place) of the keys in at least so many documents, and the keys with their first document."""
-        # Most keys stand alone; places and documents are looked at for the rest only. Keys are
-        # written before they are joined, so that a hot one can be split.
-        often = scratch.save(filed.groupBy("key").agg(F.count("*").alias("rows")).filter(f"rows >= {int(least)}").select("key"), f"often_{name}")
-        places = scratch.save(filed.join(often, "key"), f"places_{name}")
+        # Most keys stand alone; documents are looked at for the rest only.
+        places = scratch.save(frequent(filed, least, f"often_{name}"), f"places_{name}")
         spread = places.select("key", "doc_id", "text_hash").distinct().groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
         spread = spread.filter(f"docs >= {int(least)}").select("key", F.col("first.doc_id").alias("f_id"), F.col("first.text_hash").alias("f_hash"))
         return places, scratch.save(spread, f"spread_{name}")
 
-    leaves = scratch.save(lines.groupBy("leaf").agg(F.count("*").alias("rows")).filter(f"rows >= {int(open_docs)}").select("leaf"), "leaves")
-    opened = lines.join(leaves, "leaf").select(*place, F.explode("keys").alias("key"))
+    paired = lines.select("at", F.explode(_keys(TEMPLATES | {PARTS: _PAIRS})).alias("key"))
+    near = scratch.save(frequent(paired, open_docs, "pairs").select("at").distinct(), "near")
+    opened = lines.join(near, "at").select(*place, F.explode(_keys(TEMPLATES)).alias("key"))
     dropped = None
-    for name, filed, least in (("whole", lines.select(*place, F.col("whole").alias("key")), min_docs), ("open", opened, open_docs)):
+    for name, filed, least in (("whole", lines.select(*place, F.xxhash64("leaf", "parts").alias("key")), min_docs), ("open", opened, open_docs)):
         places, spread = met(filed, least, name)
         some = places.join(spread, "key").filter("doc_id <> f_id or text_hash <> f_hash").select(*place)
         dropped = some if dropped is None else dropped.union(some)
