@@ -69,17 +69,19 @@ def _quoted(word: str) -> str:
     return "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in word)
 
 
-def _blocks(span: int) -> Column:
-    """Distinct words of each block near a line of ``__at``, from the lines' words ``__lists``."""
-    grown = lambda s, w: F.when(
-        s["more"] & (F.size(w) > 0), F.struct(F.concat(s["held"], w).alias("held"), (s["after"] + F.size(w)).alias("after"), (s["after"] + F.size(w) < span).alias("more"))
-    ).otherwise(F.struct(s["held"].alias("held"), s["after"].alias("after"), F.lit(False).alias("more")))
-    first = lambda w: F.struct(w.alias("held"), F.lit(0).alias("after"), (F.size(w) > 0).alias("more"))
+def _blocks(span: int, least: int) -> Column:
+    """Template words of each block that holds a line of ``__at`` and ``least`` such words, from the
+    lines' sizes and template words ``__lists``."""
+    grown = lambda s, x: F.when(
+        s["more"] & (x["n"] > 0), F.struct(F.concat(s["held"], x["words"]).alias("held"), (s["after"] + x["n"]).alias("after"), (s["last"] + 1).alias("last"), (s["after"] + x["n"] < span).alias("more"))
+    ).otherwise(F.struct(s["held"].alias("held"), s["after"].alias("after"), s["last"].alias("last"), F.lit(False).alias("more")))
+    first = lambda i, x: F.struct(x["words"].alias("held"), F.lit(0).alias("after"), i.alias("last"), (x["n"] > 0).alias("more"))
     starts = F.sequence(F.lit(0), F.size("__lists") - 1)
     # A block has a word a line at least, so ``span`` lines after the first at most.
     near = F.filter(starts, lambda i: F.exists(F.col("__at"), lambda p: (p >= i) & (p <= i + span)))
-    blocks = F.transform(near, lambda i: F.array_distinct(F.aggregate(F.slice(F.col("__lists"), i + 2, span), first(F.get(F.col("__lists"), i)), grown)["held"]))
-    return F.filter(blocks, lambda w: F.size(w) > 0)
+    blocks = F.transform(near, lambda i: F.struct(i.alias("i"), F.aggregate(F.slice(F.col("__lists"), i + 2, span), first(i, F.get(F.col("__lists"), i)), grown).alias("s")))
+    held = F.filter(blocks, lambda b: F.exists(F.col("__at"), lambda p: (p >= b["i"]) & (p <= b["s"]["last"])))
+    return F.array_distinct(F.filter(F.transform(held, lambda b: F.array_distinct(b["s"]["held"])), lambda w: F.size(w) >= least))
 
 
 def license_scan(docs: DataFrame, keep: list[str] = ("doc_id",), text_col: str = "text", phrases: list = PHRASES, templates: list = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -108,6 +110,7 @@ def license_scan(docs: DataFrame, keep: list[str] = ("doc_id",), text_col: str =
         index += [(w, k, place) for place, w in enumerate(ranked[: len(ranked) - need + 1])]
         known.append((k, label, ranked, need))
     index = spark.createDataFrame(index, "word string, template int, place int")
+    least = min([n for *_, n in known], default=1)
     known = spark.createDataFrame(known, "template int, label string, ranked array<string>, need int")
 
     # A block can only match if one of its lines holds a prefix word.
@@ -125,9 +128,9 @@ def license_scan(docs: DataFrame, keep: list[str] = ("doc_id",), text_col: str =
     })
     base = base.withColumns({
         "__at": F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: F.rlike(F.get(F.col("__lines"), i), F.lit(guard))),
-        "__lists": F.transform("__lines", lambda x: _words(ascii_lower(x))),
+        "__lists": F.transform("__lines", lambda x: F.struct(F.size(_words(x)).alias("n"), F.array_intersect(F.split(ascii_lower(x), _SEPARATOR), _text_array(vocabulary)).alias("words"))),
     })
-    base = base.withColumn("blocks", F.when(F.col("__lines").isNotNull(), _blocks(span)))
+    base = base.withColumn("blocks", F.when(F.col("__lines").isNotNull(), _blocks(span, least)))
 
     def places(words: list[str]) -> Column:
         stands = lambda i: reduce(Column.__and__, [F.get(F.col("__words"), (i + k).cast("int")) == w for k, w in enumerate(words)])
@@ -143,6 +146,7 @@ def license_scan(docs: DataFrame, keep: list[str] = ("doc_id",), text_col: str =
     blocks = base.select("row", F.posexplode("blocks").alias("block", "words"))
     filed = blocks.select("row", "block", "words", F.explode("words").alias("word")).join(index, "word")
     met = filed.groupBy("row", "block", "template").agg(F.min("place").alias("place"), F.first("words").alias("words")).join(known, "template")
+    # Words beside those of any template can't be shared, so they don't count for the length.
     fits = met.filter((F.size("words") >= F.col("need")) & (F.size("ranked") - F.col("place") >= F.col("need")))
     shared = fits.select("row", "label", "need", F.size(F.array_intersect("words", "ranked")).alias("shared"), F.size("ranked").alias("size")).filter("shared >= need")
     hits = scratch.save(shared.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("share")), "hits")
