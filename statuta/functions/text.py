@@ -160,20 +160,21 @@ def has_clear_sentence_end(line: Column) -> Column:
     return F.rlike(python_strip(F.regexp_replace(python_strip(line), r"[\"']+$", "")), F.lit(r"[.?!][)\]]?$"))
 
 
-def split_title(c: Column | str, least: int = 10) -> tuple[Column, Column]:
-    """(title, body): cut before the first capitalised function word after ``least`` characters of title."""
-    value = clean_title_separator(c)
+def split_title(c: Column | str, least: int = 10, cleaned: bool = False) -> tuple[Column, Column]:
+    """(title, body): cut before the first capitalised function word after ``least`` characters of
+    title; ``cleaned``: the separator is gone already."""
+    value = _col(c) if cleaned else clean_title_separator(c)
     found = rf"(?U)^(.{{{least},}}?)\s+({P.TITLE_BREAK}.*)$"
     cut = F.coalesce(F.rlike(value, F.lit(found)), F.lit(False))
     return F.when(cut, F.regexp_extract(value, found, 1)).otherwise(value), F.when(cut, F.regexp_extract(value, found, 2))
 
 
-def split_visual_title(c: Column | str) -> tuple[Column, Column]:
+def split_visual_title(c: Column | str, cleaned: bool = False) -> tuple[Column, Column]:
     """Notes and legends cut first, from 8 characters of title on; then as above from 12."""
-    value = clean_title_separator(c)
+    value = _col(c) if cleaned else clean_title_separator(c)
     found = rf"(?iU)^(.*?)\s+({P.VISUAL_NOTE}.*)$"
     noted = F.coalesce(F.rlike(value, F.lit(found)), F.lit(False)) & (F.length(F.regexp_extract(value, found, 1)) >= 8)
-    title, body = split_title(value, 12)
+    title, body = split_title(value, 12, cleaned=True)
     return F.when(noted, F.regexp_extract(value, found, 1)).otherwise(title), F.when(noted, F.regexp_extract(value, found, 2)).otherwise(body)
 
 
