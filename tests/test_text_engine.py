@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import random
 
 import pytest
@@ -108,30 +110,40 @@ def test_splits(spark):
         S.stratified_split(data, "label", "id", test_size=1.0)
 
 
+def every_choice(sizes, share):
+    """(distance to the goal, summed distance to the shares, total) of the best choice, by trying all."""
+    options = []
+    for found in (sizes[k] for k in sorted(sizes)):
+        sums = {0}
+        for size, n in found.items():
+            sums = {x + size * k for x in sums for k in range(n + 1)}
+        rows = max(sums)
+        options.append((rows, [x for x in sums if 0 < x < rows]))
+    goal = math.ceil(sum(rows for rows, _ in options) * share)
+    return goal, min((abs(sum(c) - goal), round(sum(abs(x - rows * share) for x, (rows, _) in zip(c, options)), 6), sum(c)) for c in itertools.product(*(o for _, o in options)))
+
+
 def test_choose_groups_is_best():
-    sizes = {"a": {1: 3, 4: 2}, "b": {3: 4}}
-    chosen = S.choose_groups(sizes, 0.3)
-    total = sum(s * n for found in chosen.values() for s, n in found.items())
-    assert total in (6, 7, 8) and all(found for found in chosen.values())
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = {k: {1: 1, 41: 1} | {rng.choice([1, 2, 3, 5, 8, 13, 40]): rng.randint(1, 3) for _ in range(rng.randint(1, 3))} for k in "abc"[: rng.randint(1, 3)]}
+        share = rng.choice([0.01, 0.1, 0.2, 0.5, 0.99])
+        chosen = S.choose_groups(sizes, share)
+        held = {k: sum(s * n for s, n in found.items()) for k, found in chosen.items()}
+        assert all(0 < n <= sizes[k][s] for k, found in chosen.items() for s, n in found.items())
+        goal, best = every_choice(sizes, share)
+        apart = sum(abs(held[k] - share * sum(s * n for s, n in sizes[k].items())) for k in sizes)
+        assert (abs(sum(held.values()) - goal), round(apart, 6), sum(held.values())) == best
 
 
-def test_choose_groups_above_the_search(monkeypatch):
-    held = lambda found: sum(s * n for s, n in found.items())
-    sizes = {"a": {1: 150_000, 7: 9_000}, "b": {3: 4, 1000: 1}, "c": {5: 2}, "d": {100_000: 1, 1: 1}}
+def test_choose_groups_of_many_rows():
+    sizes = {"a": {1: 900_000, 7: 9_000}, "b": {3: 4, 1000: 1}, "c": {5: 2}, "d": {100_000: 1, 1: 1}}
     chosen = S.choose_groups(sizes, 0.2)
-    assert held(chosen["a"]) == 42_600 and chosen["b"] == {3: 4} and chosen["c"] == {5: 1} and chosen["d"] == {1: 1}
+    held = {k: sum(s * n for s, n in found.items()) for k, found in chosen.items()}
+    assert sum(held.values()) == math.ceil(0.2 * sum(s * n for found in sizes.values() for s, n in found.items()))
+    assert held["c"] == 5 and held["d"] in (1, 100_000) and all(chosen["a"].get(s, 0) <= n for s, n in sizes["a"].items())
     with pytest.raises(ValueError):
         S.choose_groups(sizes | {"e": {9: 1}}, 0.2)
-    rng = random.Random(3)
-    monkeypatch.setattr(S, "MAX_SEARCH_ROWS", 0)
-    for _ in range(300):
-        sizes = {k: {rng.randint(1, 40): rng.randint(1, 9) for _ in range(rng.randint(2, 5))} | {41: 1, 42: 1} for k in "ab"}
-        share = rng.choice([0.01, 0.2, 0.5, 0.99])
-        chosen = S.choose_groups(sizes, share)
-        goals = S.class_test_counts({k: held(found) for k, found in sizes.items()}, share)
-        for k, found in sizes.items():
-            assert 0 < held(chosen[k]) < held(found) and all(0 < n <= found[s] for s, n in chosen[k].items())
-            assert abs(held(chosen[k]) - goals[k]) <= 42
 
 
 def test_tokenizer_and_features(spark):
