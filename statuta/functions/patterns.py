@@ -3,6 +3,8 @@
 ``(?U)`` makes ``\\s \\w \\b`` follow Unicode and ``(?iu)`` folds accented letters.
 """
 
+import re
+
 # Labels, word lists and markers that results depend on.
 CLASSES = ["regulative", "constitutive", "non_institutional"]
 MONTHS = {
@@ -34,15 +36,21 @@ METADATA_LINE = r"(?iU)^\s*(Tipo\s+Norma|Fecha\s+Publicaci[oóÓ]n|Fecha\s+Promu
 CONTINUABLE_MARKER = r"(?iU)^\s*(CAP[IÍí]TULO\b|T[IÍí]TULO\b|SECCI[OÓó]N\b|SUBSECCI[OÓó]N\b|P[ÁAá]RRAFO\b|[IVXLCDM]+\.\d+(\.\d+)*\b|Tabla\b|Gr[áaÁ]fico\b|Figura\b|Anexo\b|Fuente:)"
 ARTICLE_ONLY = r"(?iU)^\s*Art[íiÍ]culo\s+\d+\s*$"
 TERMINAL_MARKS = r"""[.;:?!)\]}"']$"""
-#: One for one, then deletions, then expansions; the order doesn't matter, no output is another's input.
-CHARACTER_SWAPS = ("   “”„‟«»‘’‚‛—–−‐‑‒―", "   \"\"\"\"\"\"''''-------")
-CHARACTER_DROPS = "​‌‍﻿­"
+#: character -> what it becomes: spaces, double quotes, single quotes, dashes.
+CHARACTER_SWAPS = {
+    "\u00a0": " ", "\u2007": " ", "\u202f": " ",
+    "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u201f": '"', "\u00ab": '"', "\u00bb": '"',
+    "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201b": "'",
+    "\u2014": "-", "\u2013": "-", "\u2212": "-", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2015": "-",
+}
+#: Zero-width characters and soft hyphens go.
+CHARACTER_DROPS = "\u200b\u200c\u200d\ufeff\u00ad"
 CHARACTER_EXPANSIONS = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "..."}
-TITLE_BREAK_WORDS = (
-    "El La Los Las Un Una Unos Unas Este Esta Estos Estas Dicho Dicha Dichos Dichas Al Del "
-    "A Ante Bajo Cabe Con Contra De Desde Durante En Entre Hacia Hasta Mediante Para Por Según Sin So Sobre Tras Vía "
-    "Que Si Aunque Cuando Mientras Como Donde Porque Pues Asimismo Además Se"
-).split()
+TITLE_BREAK_WORDS = [
+    "El", "La", "Los", "Las", "Un", "Una", "Unos", "Unas", "Este", "Esta", "Estos", "Estas", "Dicho", "Dicha", "Dichos", "Dichas", "Al", "Del", "A",
+    "Ante", "Bajo", "Cabe", "Con", "Contra", "De", "Desde", "Durante", "En", "Entre", "Hacia", "Hasta", "Mediante", "Para", "Por", "Según", "Sin",
+    "So", "Sobre", "Tras", "Vía", "Que", "Si", "Aunque", "Cuando", "Mientras", "Como", "Donde", "Porque", "Pues", "Asimismo", "Además", "Se",
+]
 TITLE_BREAK_PHRASES = [r"No\s+obstante", r"Sin\s+embargo", r"Tal\s+como", r"Cabe\s+señalar"]
 TITLE_BREAK = "(?:" + "|".join(TITLE_BREAK_WORDS + TITLE_BREAK_PHRASES) + r")\b"
 VISUAL_NOTE = r"(?:PI\s*=|CI\s*=|\(\*+\)|Nota\s*:|Observaci[oóÓ]n\b|Fuente\s*:)"
@@ -55,3 +63,10 @@ SENTENCE_WARNINGS = {
     "possible_abbreviation_split": "An accepted boundary follows a known abbreviation and should be reviewed.",
     "missing_terminal_punctuation": "Candidate lacks final period, question mark, or exclamation mark; list items may be legitimate.",
 }
+
+
+def compiled(pattern: str) -> re.Pattern:
+    """The same pattern for Python, whose classes follow Unicode anyway."""
+    flags = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
+    ignore = re.IGNORECASE if flags and "i" in flags[1] else 0
+    return re.compile(pattern[flags.end() :] if flags else pattern, ignore)

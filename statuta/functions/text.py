@@ -74,7 +74,7 @@ def document_type_parts(c: Column | str) -> tuple[Column, Column, Column]:
 def title_case(c: Column | str) -> Column:
     """Every run of letters starts upper and goes on lower, as in the corpus; two words stay small."""
     parts = F.regexp_extract_all(normalize_whitespace(c), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    cased = F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 10_000_000)))), "")
+    cased = F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
     return F.replace(F.replace(cased, F.lit("Atmosférica Para"), F.lit("Atmosférica para")), F.lit("La Región"), F.lit("la Región"))
 
 
@@ -113,7 +113,7 @@ def replacement_char_count(c: Column | str, doubled: bool = False) -> Column:
 
 def replace_characters(c: Column | str) -> Column:
     """Ligatures, spaces, zero-width characters, quotes, dashes and the ellipsis in plain form."""
-    out = F.translate(_col(c), P.CHARACTER_SWAPS[0] + P.CHARACTER_DROPS, P.CHARACTER_SWAPS[1])
+    out = F.translate(_col(c), "".join(P.CHARACTER_SWAPS) + P.CHARACTER_DROPS, "".join(P.CHARACTER_SWAPS.values()))
     for old, new in P.CHARACTER_EXPANSIONS.items():
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
@@ -255,8 +255,14 @@ def stable_json(**fields: Column) -> Column:
 
 
 def relative_path(c: Column, root: str) -> Column:
+    """A path below ``root`` without it; another as it is."""
     base = root.rstrip("/") + "/"
-    return F.when(c.startswith(base), F.substring(c, len(base) + 1, 10_000)).otherwise(c)
+    return F.when(c.startswith(base), F.substr(c, F.lit(len(base) + 1))).otherwise(c)
+
+
+def resolve_path(c: Column, root: str) -> Column:
+    """A relative path below ``root``; an absolute one, or one with a scheme, as it is."""
+    return F.when(F.rlike(c, F.lit(r"^(?:/|[A-Za-z][A-Za-z0-9+.\-]*:)")), c).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(c, r"^(?:\./)+", "")))
 
 
 def seeded_digest(seed: int, c: Column) -> Column:

@@ -2,46 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import patterns as P, text as X
 from ..functions.unicode import html_unescape, matching_text, nfc
 
+# Fixed value: the warning of the output.
 WARNING = "Replacement character detected in raw_text; it was flagged but not automatically corrected."
 
 
-def reflow(c: Column) -> Column:
-    """Lines joined where a sentence was only wrapped.
-
-    A fold over the lines with the accumulated last line as state: markers, metadata and lines
-    after a closing mark begin anew, captions and headings go on until a sentence ends, all else
-    is one sentence with the line before.
-    """
-    unified = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    lines = F.transform(F.split(unified, "\n", -1), lambda x: X.python_strip(F.regexp_replace(x, r"[ \t]+", " ")))
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("last"))
-
-    def close(acc: Column) -> Column:
-        return F.when(acc["last"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["last"]))
-
-    def step(acc: Column, line: Column) -> Column:
-        last = acc["last"]
-        begin = F.struct(close(acc).alias("done"), line.alias("last"))
-        joined = F.struct(acc["done"].alias("done"), F.concat(last, F.lit(" "), line).alias("last"))
-        own_line = X.is_structural_marker(line) | X.is_metadata_line(line)
-        goes_on = X.is_continuable_marker(last) & ~X.has_clear_sentence_end(last)
-        bare_article = F.rlike(X.python_strip(last), F.lit(P.ARTICLE_ONLY)) & F.rlike(line, F.lit(r"^(:|-|\.-)"))
-        return (
-            F.when((line == "") & (last.isNull() | (last == "")), acc)
-            .when((line == "") | last.isNull() | (last == "") | own_line, begin)
-            .when(goes_on | bare_article, joined)
-            .when(F.rlike(last, F.lit(P.TERMINAL_MARKS)), begin)
-            .otherwise(joined)
-        )
-
-    text = F.array_join(F.aggregate(lines, state, step, close), "\n")
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return X.python_strip(F.regexp_replace(text, r"(?U)\s+([:;,.])", "$1"))
+class Flow:
+    """Lines joined where a sentence was only wrapped: markers, metadata and lines after a closing
+    mark begin anew, captions and headings go on until a sentence ends, all else is one sentence
+    with the line before. Each text is read once, whatever its length."""
+
+    def __init__(self):
+        self.own = [P.compiled(x) for x in (P.STRUCTURAL_MARKER, P.METADATA_LINE)]
+        self.goes_on, self.article, self.mark = P.compiled(P.CONTINUABLE_MARKER), P.compiled(P.ARTICLE_ONLY), P.compiled(P.TERMINAL_MARKS)
+        self.ended, self.article_mark = P.compiled(r"[.?!][)\]]?$"), P.compiled(r":|-|\.-")
+        self.blanks, self.gap, self.before_mark = P.compiled(r"[ \t]+"), P.compiled(r"\n{3,}"), P.compiled(r"\s+([:;,.])")
+
+    def sentence_ended(self, pieces: list[str]) -> bool:
+        for k in range(len(pieces) - 1, -1, -1):
+            # Quotes at the end don't count; a piece of quotes alone shows the one before.
+            if bare := pieces[k].rstrip("\"'").rstrip():
+                return bool(self.ended.search(bare))
+        return False
+
+    def joins(self, pieces: list[str], line: str) -> bool:
+        """Whether ``line`` goes on with the line that ``pieces`` make."""
+        if any(x.search(line) for x in self.own):
+            return False
+        whole = pieces[0] if len(pieces) == 1 else " ".join(pieces[:3])
+        if self.goes_on.search(whole) and not self.sentence_ended(pieces):
+            return True
+        if len(pieces) == 1 and self.article.search(whole) and self.article_mark.match(line):
+            return True
+        return not self.mark.search(pieces[-1])
+
+    def text(self, text: str | None) -> str | None:
+        if text is None:
+            return None
+        out: list[list[str]] = []
+        for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+            line = self.blanks.sub(" ", line).strip()
+            if out and out[-1] and line and self.joins(out[-1], line):
+                out[-1].append(line)
+            elif line or (out and out[-1]):
+                out.append([line] if line else [])
+        made = self.blanks.sub(" ", "\n".join(" ".join(x) for x in out))
+        return self.before_mark.sub(r"\1", self.gap.sub("\n\n", made)).strip()
+
+
+@F.pandas_udf(StringType())
+def reflow(texts: pd.Series) -> pd.Series:
+    return texts.map(Flow().text, na_action="ignore")
 
 
 def normalize_pages(pages: DataFrame, text_col: str = "raw_text", ref_compat: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as X
 
 NEAR_BLANK = 50
-#: First reason that holds is the page's.
+# The notes of a page's reason; the first reason that holds is the page's.
 BLANK_NOTE = "No text was extracted from this page. The page may be empty, scanned, image-based, or affected by extraction failure."
 NEAR_BLANK_NOTE = (
     "The extracted text is below the near-blank threshold (%d < %d non-space characters). "
