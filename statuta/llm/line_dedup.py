@@ -13,7 +13,8 @@ template's first (the least id), so no content is lost as a whole.
 Only 8-byte keys are shuffled and counted with partial sums, so a line that is in a third of all
 documents costs a row a partition. Two lines that agree on three parts of five agree on one of four
 pairs of parts; keys of those pairs pick the lines that can share a generalised template at all, and
-only these make all their template keys. Texts move once, to meet their dropped line numbers.
+only these make all their template keys. Texts move once, to meet their dropped line numbers. Tables
+of keys and lines grow with the corpus, so they are never broadcast, at whatever size.
 """
 
 from __future__ import annotations
@@ -118,7 +119,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, open_docs: int = OPEN
 
     def frequent(filed: DataFrame, least: int, name: str) -> DataFrame:
         """``filed`` with a key on so many lines. Keys are written before they are joined, so that a hot one can be split."""
-        return filed.join(scratch.save(filed.groupBy("key").agg(F.count("*").alias("rows")).filter(f"rows >= {int(least)}").select("key"), name), "key")
+        often = scratch.save(filed.groupBy("key").agg(F.count("*").alias("rows")).filter(f"rows >= {int(least)}").select("key"), name)
+        return filed.join(often.hint("merge"), "key")
 
     def met(filed: DataFrame, least: int, name: str) -> tuple[DataFrame, DataFrame]:
         """(key, place) of the keys in at least so many documents, and the keys with their first document."""
@@ -130,15 +132,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, open_docs: int = OPEN
 
     paired = lines.select("at", F.explode(_keys(TEMPLATES | {PARTS: _PAIRS})).alias("key"))
     near = scratch.save(frequent(paired, open_docs, "pairs").select("at").distinct(), "near")
-    opened = lines.join(near, "at").select(*place, F.explode(_keys(TEMPLATES)).alias("key"))
+    opened = lines.join(near.hint("merge"), "at").select(*place, F.explode(_keys(TEMPLATES)).alias("key"))
     dropped = None
     for name, filed, least in (("whole", lines.select(*place, F.xxhash64("leaf", "parts").alias("key")), min_docs), ("open", opened, open_docs)):
         places, spread = met(filed, least, name)
-        some = places.join(spread, "key").filter("doc_id <> f_id or text_hash <> f_hash").select(*place)
+        some = places.join(spread.hint("merge"), "key").filter("doc_id <> f_id or text_hash <> f_hash").select(*place)
         dropped = some if dropped is None else dropped.union(some)
     by_doc = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias(gone_))
     by_doc = by_doc.select(F.col("doc_id").alias(f"{id_}_2"), F.col("text_hash").alias(text_), gone_)
-    out = keyed.join(by_doc, (F.col(id_) == F.col(f"{id_}_2")) & (F.col(hash_) == F.col(text_)), "left").withColumn(parts_, F.split(F.col(text_col), "\n", -1))
+    out = keyed.join(by_doc.hint("merge"), (F.col(id_) == F.col(f"{id_}_2")) & (F.col(hash_) == F.col(text_)), "left").withColumn(parts_, F.split(F.col(text_col), "\n", -1))
     parts = F.col(parts_)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone_))
     text = F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
