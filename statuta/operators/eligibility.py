@@ -48,6 +48,16 @@ def count_mismatches(data: DataFrame, columns: list[str], expected: DataFrame) -
     return out.filter("expected <> observed")
 
 
+def policy_check(data: DataFrame, label: str, expected_total: int, expected: dict[str, int], classes: list[str] = P.CLASSES) -> DataFrame:
+    """(item, expected, observed, passed) of eligible records against the policy's counts: all, then each class."""
+    wanted = [("eligible_records", expected_total), *((f"{label}.{c}", expected.get(c, 0)) for c in classes)]
+    order = data.sparkSession.createDataFrame([(k, item, int(n)) for k, (item, n) in enumerate(wanted)], "at int, item string, expected long")
+    seen = data.groupBy(F.concat(F.lit(f"{label}."), F.col(label)).alias("item")).agg(F.count("*").alias("observed"))
+    seen = seen.unionByName(data.agg(F.count("*").alias("observed")).withColumn("item", F.lit("eligible_records")))
+    met = F.broadcast(order).join(seen, "item", "left").withColumn("observed", F.coalesce("observed", F.lit(0)).cast("long"))  # one row a class
+    return met.select("item", "expected", "observed", (F.col("expected") == F.col("observed")).alias("passed"))
+
+
 def id_uniqueness(data: DataFrame, key: str) -> DataFrame:
     """rows, nonblank, distinct, blank, duplicated ids."""
     blank = X.is_blank(F.col(key).cast("string"))

@@ -83,3 +83,17 @@ def inspect_documents(pages: DataFrame, key: str = "document_id", text_col: str
     out = pages.groupBy(key).agg(F.count("*").alias("page_count"), F.count_if(size >= threshold).alias("extracted_pages"))
     kind = F.when(F.col("extracted_pages") == F.col("page_count"), "Searchable PDF").when(F.col("extracted_pages") == 0, "Scanned PDF").otherwise("Mixed PDF")
     return out.withColumn("original_file_format", kind).withColumn("document_status", F.when(kind == "Searchable PDF", "Ready for processing").otherwise("Requires manual review"))
+
+
+def with_assessments(documents: DataFrame, assessed: DataFrame, key: str = "document_id") -> DataFrame:
+    """Documents (key, pages: array of structs with page_number) with each page's assessment written into it.
+
+    Pages meet their assessment by number and go back in their order; one without an assessment
+    has nulls, a document without pages an empty array.
+    """
+    found = [c for c in ("nonspace_char_count", "requires_manual_review", "review_reason_code", "review_reason_note") if c in assessed.columns]
+    pages = documents.select(key, F.explode("pages").alias("p")).select(key, "p", F.col("p.page_number").alias("page_number"))
+    met = pages.join(assessed.select(key, "page_number", *found), [key, "page_number"], "left")
+    page = F.struct("page_number", F.struct("p.*", *found).alias("page"))
+    back = met.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(page)), lambda x: x["page"]).alias("assessed_pages"))
+    return documents.join(back, key, "left").withColumn("pages", F.coalesce("assessed_pages", F.expr(f"cast(array() as {back.schema['assessed_pages'].dataType.simpleString()})"))).drop("assessed_pages")

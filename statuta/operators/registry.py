@@ -109,3 +109,37 @@ def append(events: DataFrame, path: str, key: str, parents: dict[str, DataFrame]
         if not reference_violations(events, parent, column).isEmpty():
             raise RegistryError(f"unknown {column}")
     events.write.mode("append").parquet(path)
+
+
+def append_with_children(events: DataFrame, path: str, key: str, children: dict[str, DataFrame], parents: dict[str, DataFrame] | None = None) -> None:
+    """Append child rows (path -> rows that hold ``key``) and then the events: the event is the commit.
+
+    A run that stops in between leaves child rows without an event, which ``committed`` passes over;
+    rows of another event are refused.
+    """
+    for rows in children.values():
+        if not rows.join(events.select(key), key, "left_anti").isEmpty():
+            raise RegistryError(f"child rows of another {key}")
+    for child_path, rows in children.items():
+        rows.write.mode("append").parquet(child_path)
+    append(events, path, key, parents)
+
+
+def committed(children: DataFrame, events: DataFrame, key: str) -> DataFrame:
+    """Child rows whose event is registered."""
+    return children.join(events.select(key).distinct(), key, "left_semi")
+
+
+def prior_model(events: DataFrame, group: str, configurations: list[str], designation: str = "Model A", key: str = "model_id", created: str = "created_at", status: str = "model_status", metrics: str = "final_test_metrics_json") -> DataFrame:
+    """The newest completed event of ``designation`` in each ``group`` whose JSON reports exactly these configurations."""
+    reported = F.from_json(F.get_json_object(metrics, "$.held_out_reported_configurations"), "array<string>")
+    wanted = F.array(*map(F.lit, sorted(configurations)))
+    some = events.filter((F.col("model_designation") == designation) & (F.col(status) == "Completed") & (F.array_sort(F.array_distinct(reported)) == wanted))
+    return latest_per(some, [group], key, created)
+
+
+def prior_results(events: DataFrame, key: str = "model_id", metrics: str = "final_test_metrics_json") -> DataFrame:
+    """(key, configuration_id, metric, value): held-out results out of the events' JSON."""
+    shape = "map<string, struct<configuration_label: string, overall: map<string, double>>>"
+    read = events.select(key, F.explode(F.from_json(F.get_json_object(metrics, "$.configurations"), shape)).alias("configuration_id", "c"))
+    return read.select(key, "configuration_id", F.explode("c.overall").alias("metric", "value"))

@@ -97,11 +97,20 @@ def matrix_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str =
     return met.agg(F.coalesce(F.max(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))), F.lit(0.0)).alias("max_difference"))
 
 
-def to_vectors(values: DataFrame, vocabulary: DataFrame, size: int, key: str) -> DataFrame:
-    """(key, features) as sparse vectors, for the learners."""
+def selected_terms(values: DataFrame, labels: DataFrame, indexed: DataFrame, k: int | None, key: str, label: str) -> DataFrame:
+    """(term, feature_index) of the k best terms by the rows of ``labels`` alone, numbered anew by rank; all of ``indexed`` if k is None."""
+    if k is None:
+        return indexed.select("term", "feature_index")
+    scored = indexed.select("term", "feature_index").join(mutual_information(values, labels, key, label), "term", "left")
+    best = select_k_best(scored.withColumn("mi", F.coalesce("mi", F.lit(0.0))), k)
+    return best.select("term", (F.col("rank") - 1).cast("long").alias("feature_index"))
+
+
+def to_vectors(values: DataFrame, vocabulary: DataFrame, size: int, key: str, rows: DataFrame | None = None) -> DataFrame:
+    """(key, features) as sparse vectors, for the learners; ``rows`` adds keys without any term as zero vectors."""
     from pyspark.ml.linalg import Vectors, VectorUDT
 
-    made = F.udf(lambda cells: Vectors.sparse(size, [(int(c["i"]), float(c["v"])) for c in cells]), VectorUDT())
+    made = F.udf(lambda cells: Vectors.sparse(size, [(int(c["i"]), float(c["v"])) for c in cells or []]), VectorUDT())
     met = values.join(vocabulary.select("term", "feature_index"), "term")
-    return met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("feature_index").alias("i"), F.col("value").alias("v")))).alias("cells")).select(key, made("cells").alias("features"))
-
+    cells = met.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("feature_index").alias("i"), F.col("value").alias("v")))).alias("cells"))
+    return (cells if rows is None else rows.select(key).join(cells, key, "left")).select(key, made("cells").alias("features"))

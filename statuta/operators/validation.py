@@ -28,6 +28,17 @@ def missing_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return left.unionByName(b.select(key).join(a.select(key), key, "left_anti").withColumn("only_in", F.lit("right")))
 
 
+def partition_counts(assignments: DataFrame, run: str, partition: str, expected: DataFrame) -> DataFrame:
+    """(run, partition, expected, observed) of registered assignments whose counts differ from the run's.
+
+    ``expected``: run, partition, expected; a partition that either side lacks counts zero there.
+    """
+    seen = assignments.groupBy(run, partition).agg(F.count("*").alias("observed"))
+    met = seen.join(expected.select(run, partition, "expected"), [run, partition], "full")
+    out = met.select(run, partition, F.coalesce("expected", F.lit(0)).cast("long").alias("expected"), F.coalesce("observed", F.lit(0)).alias("observed"))
+    return out.filter("expected <> observed")
+
+
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join after both sides are shown to hold a key once; the optimizer chooses how."""
     for side in (left, right):

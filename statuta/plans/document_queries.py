@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as X
 from ..functions.unicode import html_unescape, matching_text, nfc, nfkc, strip_accents
 from ..operators import normalize as N, page_quality as Q
+from ..operators.segments import with_next
+from ..operators.structure import logical_lines
 from ..sources import readers, writers
 from .base import query, table
 
@@ -114,7 +116,6 @@ def sentence_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
 @query("""
 select o_orderkey, 'Decreto' as document_type, cast(o_orderkey as varchar) as document_number, strftime(o_orderdate, '%Y-%m-%d') as publication_date,
   'Plan' as document_title, 'Única' as version_type, cast(o_custkey as varchar) as source_external_id, 'Decree' as document_class, printf('CL_MMA_DEC_%06d', o_orderkey) as document_id
@@ -170,10 +171,9 @@ def page_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, cast(row_number() over (partition by doc_id order by i) as int) as line_no, trim(l[i], ' ' || chr(9) || chr(13)) as text
 from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents)) where trim(l[i], ' ' || chr(9) || chr(13)) <> ''""")
 def logical_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.lines_of("text")).alias("at", "text")).withColumn("text", X.python_strip("text")).filter("text <> ''")
-    return lines.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("at")).alias("line_no"), "text")
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.col("text").alias("normalized_text"))
+    lines = logical_lines(pages, key="doc_id")
+    return lines.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no", "piece_no")).alias("line_no"), "text")
 
 
 @query("select conv_id, '<DOCUMENT>' || chr(10) || string_agg('<PAGE number=\"' || turn || '\">' || chr(10) || coalesce(text, '') || chr(10) || '</PAGE>', chr(10) order by turn) || chr(10) || '</DOCUMENT>' as marked_text from conversations group by conv_id")
@@ -189,6 +189,15 @@ def page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as next_text from conversations")
 def conversation_next_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
+    return with_next(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", {"next_text": "text"}).select("conv_id", "turn", "text", "next_text")
 
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")).alias("next_text"))
+
+@query(rf"""
+with c as (select conv_id, turn, {_NONSPACE} as n, {_STRIPPED} = '' as blank, contains(text, chr(65533)) as bad from (select conv_id, turn, coalesce(text, '') as text from conversations))
+select conv_id, string_agg(turn || ':' || case when blank then 'blank_extraction' when n < 50 then 'near_blank_extraction' when bad then 'replacement_character' else 'none' end, ' ' order by turn) as codes from c group by conv_id""")
+def page_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assessments written back into documents that nest their pages, shown as page:code."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id"), F.col("turn").alias("page_number"), F.coalesce("text", F.lit("")).alias("raw_text"))
+    nested = turns.groupBy("conv_id").agg(F.collect_list(F.struct("page_number", "raw_text")).alias("pages"))
+    out = Q.with_assessments(nested, Q.assess_pages(turns), "conv_id")
+    return out.select("conv_id", F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["page_number"].cast("string"), p["review_reason_code"])), " ").alias("codes"))

@@ -29,6 +29,8 @@ from (select {'g.' + key + ', ' if key else ''}class_order, label, count(*) filt
       from (select * from {groups}) g join ({source}) p on {on} group by all)"""
 
 
+#: A passage's match key, for plain Latin text.
+_KEY = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[°º]', '°', 'g'), '\bn\s*°|\bnum(ero)?\.?(\s*\d)', 'n°\2', 'g'), '^\s*articulo\s+\d+[a-z°]?\s*[:.\-]*\s*', ''), '\([^)]*\)|\[[^\]]*\]', ' ', 'g'), '[^\p{L}\p{M}\p{N}_°]+', ' ', 'g'))"""
 _OVERALL = "avg(f1) as macro_f1, sum(f1 * na) / sum(na) as weighted_f1, sum(recall * na) / sum(na) as accuracy, avg(precision) as macro_precision, avg(recall) as macro_recall"
 
 
@@ -127,46 +129,75 @@ def nan_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.nan_to_null(table(spark, sf_dir, "events").select("event_id", "value"))
 
 
-def _features(spark: SparkSession, sf_dir: str, k: int = 60) -> tuple[DataFrame, DataFrame]:
-    """(rows with features, label index and fold; the k chosen terms)."""
+def _weighed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with label index and fold; their weighed terms; the indexed vocabulary), written once."""
     data = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("text", F.regexp_replace("text", "[#*$%&]", " junk "))
     counts = V.term_counts(data, "doc_id", "text", 1, 1)
-    values = V.weigh(counts, V.fit_vocabulary(counts, data.count()), "doc_id")
-    scored = V.with_index(V.mutual_information(values, data, "doc_id", "quality"))
-    chosen = V.select_k_best(scored, k).select("term", (F.col("rank") - 1).cast("long").alias("feature_index")).persist()
-    vectors = V.to_vectors(values, chosen, k, "doc_id")
-    folds = S.cv_folds(data.select("doc_id", F.col("quality").cast("double").alias("label_index")), "label_index", "doc_id", folds=3)
-    return folds.join(vectors, "doc_id").select("doc_id", "features", "label_index", "fold"), chosen
+    vocabulary = V.fit_vocabulary(counts, data.count())
+    rows = S.cv_folds(data.select("doc_id", F.col("quality").cast("double").alias("label_index")), "label_index", "doc_id")
+    return rows, V.weigh(counts, vocabulary, "doc_id").persist(), V.with_index(vocabulary.select("term")).persist()
+
+
+def _features(spark: SparkSession, sf_dir: str, k: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with features, label index and fold; the terms chosen by all labelled rows; their number)."""
+    rows, values, indexed = _weighed(spark, sf_dir)
+    k = k or max(1, V.proportional_count(indexed.count()))
+    chosen = V.selected_terms(values, rows, indexed, k, "doc_id", "label_index").persist()
+    return rows.join(V.to_vectors(values, chosen, k, "doc_id", rows), "doc_id").persist(), chosen, k
 
 
 @query()
 def forest_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired forests, unweighted and balanced, on shared folds; small here, as large as the parameters in use."""
-    rows, _ = _features(spark, sf_dir)
-    return forests.cross_validate(rows, ["0", "1"], {"A1": False, "A2": True}, forests.Settings(trees=10, max_depth=8))
+    """Paired forests of 100 trees, unweighted and balanced, on five shared folds, terms selected inside each fold."""
+    rows, values, indexed = _weighed(spark, sf_dir)
+    k = max(1, V.proportional_count(indexed.count()))
+    return forests.cross_validate(rows, values, indexed, ["0", "1"], {"A1": (False, k), "A2": (True, k)})
+
+
+@query()
+def forest_full_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair over all terms, without selection; trees of limited number and depth."""
+    rows, values, indexed = _weighed(spark, sf_dir)
+    return forests.cross_validate(rows, values, indexed, ["0", "1"], {"B1": (False, None), "B2": (True, None)}, forests.Settings(trees=10, max_depth=5))
 
 
 @query()
 def forest_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, chosen = _features(spark, sf_dir)
-    return forests.importance_table(forests.fit_forest(rows, settings=forests.Settings(trees=10, max_depth=8)), chosen)
+    rows, chosen, _ = _features(spark, sf_dir)
+    return forests.importance_table(forests.fit_forest(rows), chosen)
 
 
 @query()
 def recursive_elimination_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = _features(spark, sf_dir, 24)
-    return forests.recursive_elimination(rows, ["0", "1"], 24, 8, step=0.34, settings=forests.Settings(trees=5, max_depth=5))[1]
+    """Two steps down from 24 terms on five folds, with small forests: a hundred times the fits at full size."""
+    rows, _, k = _features(spark, sf_dir, 24)
+    return forests.recursive_elimination(rows, ["0", "1"], k, 8, step=0.34, settings=forests.Settings(trees=5, max_depth=5))[1]
 
 
 @query()
+def nested_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elimination inside each of two outer folds, with small forests."""
+    rows, _, k = _features(spark, sf_dir, 12)
+    two = rows.withColumn("fold", F.col("fold") % 2)
+    return forests.nested_elimination(two, ["0", "1"], k, 6, step=0.5, inner_folds=2, settings=forests.Settings(trees=5, max_depth=5))[0]
+
+
+#: Least share of words of the smaller passage in common for two passages to be compared.
+OVERLAP = 0.5
+
+
+@query(f"""
+with k as (select item_id, {_KEY} as k from benchmark),
+w as (select item_id, k, list_distinct(list_filter(string_split(k, ' '), lambda x: x <> '')) as x, list_filter(string_split(k, ' '), lambda x: x <> '') as t from k),
+p as (select *, list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) as b from w),
+j as (select a.item_id as a, b.item_id as b, a.k as ka, b.k as kb, len(a.x) as nx, len(b.x) as ny, len(a.b) as nu, len(b.b) as nv, len(list_intersect(a.x, b.x)) as common, len(list_intersect(a.b, b.b)) as two
+  from p a join p b on a.item_id < b.item_id)
+select a, b, round(0.34 * common / least(nx, ny) + 0.31 * 2 * common / (nx + ny) + 0.28 * case when nu + nv > 0 then 2.0 * two / (nu + nv) else 0 end + 0.07 * least(length(ka), length(kb)) / greatest(length(ka), length(kb)), 9) as similarity
+from j where common >= {OVERLAP} * greatest(nx, ny)""")
 def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of every pair of benchmark passages that share a rare word."""
+    """Similarity of every pair of benchmark passages that share half of the larger one's words."""
     items = table(spark, sf_dir, "benchmark").select("item_id", A.match_key(F.col("text")).alias("k"))
-    words = items.select("item_id", "k", F.explode(F.array_distinct(A.word_tokens(F.col("k")))).alias("w"))
-    rare = words.groupBy("w").agg(F.count("*").alias("df")).filter("df between 2 and 10")
-    held = words.join(rare, "w")
-    pairs = held.select("w", F.col("item_id").alias("a"), F.col("k").alias("ka")).join(held.select("w", F.col("item_id").alias("b"), F.col("k").alias("kb")), "w").filter("a < b").select("a", "b", "ka", "kb").distinct()
-    return pairs.select("a", "b", F.round(A.token_similarity(F.col("ka"), F.col("kb")), 9).alias("similarity"))
+    return A.similar_pairs(items, "item_id", "k", OVERLAP).select("a", "b", F.round(A.token_similarity(F.col("ka"), F.col("kb")), 9).alias("similarity"))
 
 
 @query()

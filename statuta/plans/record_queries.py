@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..operators import duplicates as D, eligibility as E, registry as R, splitting as S, validation as V
+from ..sources import writers
 from .base import query, table
 
 _REVIEW = """
@@ -105,20 +106,23 @@ def duplicate_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.group_listing(_grouped(spark, sf_dir), "doc_id", "lang")
 
 
-@query(f"select g as duplicate_group_id, count(distinct quality) as n_labels from ({_GROUPS}) join labels using (doc_id) group by g having count(distinct quality) > 1")
+@query(f"select g as duplicate_group_id, count(distinct source) as n_labels from ({_GROUPS}) group by g having count(distinct source) > 1")
 def label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.label_conflicts(_grouped(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id"), "quality")
+    """Copies that different sources hold."""
+    return D.label_conflicts(_grouped(spark, sf_dir), "source")
 
 
-@query(f"select g as duplicate_group_id from ({_GROUPS}) group by g having count(distinct k) > 1")
+@query("select lang as duplicate_group_id from documents group by lang having min(text) <> max(text)")
 def hash_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.hash_collisions(_grouped(spark, sf_dir))
+    """Groups by language alone, so that texts differ within them."""
+    docs = table(spark, sf_dir, "documents")
+    return D.hash_collisions(docs.select(F.col("lang").alias("duplicate_group_id"), F.col("text").alias("normalized_text")))
 
 
 @query()
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages with a ratio of at least 0.6."""
-    return D.near_duplicates(D.with_groups(table(spark, sf_dir, "benchmark")), threshold=0.6)
+    """Benchmark passages with a ratio of at least 0.4."""
+    return D.near_duplicates(D.with_groups(table(spark, sf_dir, "benchmark")), threshold=0.4)
 
 
 @query("""
@@ -218,16 +222,68 @@ def json_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", R.is_json("props").alias("ok"))
 
 
-@query("select o_custkey as key, 'left' as only_in from orders where false union all select c_custkey, 'right' from customer where c_custkey not in (select o_custkey from orders)")
+@query("""
+select c_custkey as key, 'left' as only_in from customer where c_custkey not in (select p_partkey * 2 from part)
+union all select p_partkey * 2, 'right' from part where p_partkey * 2 not in (select c_custkey from customer)""")
 def key_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"))
-    return V.missing_keys(orders, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), "key")
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") * 2).alias("key"))
+    return V.missing_keys(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), parts, "key")
 
 
-@query("select n_nationkey, n_name, r_name from nation left join region on n_regionkey = r_regionkey where r_name is not null")
+@query("select doc_id, lang, quality, toxic from documents left join labels using (doc_id)")
 def lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    return table(spark, sf_dir, "nation").join(region, "n_regionkey").select("n_nationkey", "n_name", "r_name")
+    return V.one_to_one(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", "quality", "toxic")
+
+
+@query("""
+with m as (
+  select *, row_number() over (partition by user_id % 20 order by ts desc, printf('MODEL_%06d', event_id) desc) as r
+  from events where event_id % 3 = 0 and event_id % 5 <> 0 and event_id % 2 = 1)
+select cast(user_id % 20 as int) as vectorization, printf('MODEL_%06d', event_id) as model_id, configuration, round(case configuration when 'A1' then event_id % 100 / 100.0 else event_id % 50 / 50.0 end, 6) as macro_f1
+from m, (select unnest(['A1', 'A2']) as configuration) where r = 1""")
+def prior_model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each vectorization the newest completed Model A that reports A1 and A2, read out of its JSON."""
+    e = table(spark, sf_dir, "events")
+    one = lambda label, value: F.struct(F.lit(label).alias("configuration_label"), F.struct(value.alias("macro_f1")).alias("overall"))
+    held = F.struct(
+        F.when(F.col("event_id") % 2 == 1, F.array(F.lit("A2"), F.lit("A1"))).otherwise(F.array(F.lit("A1"))).alias("held_out_reported_configurations"),
+        F.struct(one("plain", F.col("event_id") % 100 / 100).alias("A1"), one("balanced", F.col("event_id") % 50 / 50).alias("A2")).alias("configurations"),
+    )
+    events = e.select(
+        (F.col("user_id") % 20).cast("int").alias("vectorization"), F.format_string("MODEL_%06d", "event_id").alias("model_id"), F.col("ts").alias("created_at"), F.to_json(held).alias("final_test_metrics_json"),
+        F.when(F.col("event_id") % 3 == 0, "Model A").otherwise("Model B").alias("model_designation"), F.when(F.col("event_id") % 5 == 0, "Failed").otherwise("Completed").alias("model_status"),
+    )
+    chosen = R.prior_model(events, "vectorization", ["A1", "A2"])
+    read = R.prior_results(chosen).join(chosen.select("model_id", "vectorization"), "model_id")
+    return read.select("vectorization", "model_id", F.col("configuration_id").alias("configuration"), F.round("value", 6).alias("macro_f1"))
+
+
+@query("""
+with c as (select quality, count(*) as n from labels group by quality)
+select 'eligible_records' as item, cast(300 as bigint) as expected, (select count(*) from labels) as observed, (select count(*) from labels) = 300 as passed
+union all select 'quality.' || k, cast(100 as bigint), coalesce((select n from c where cast(quality as varchar) = k), 0), coalesce((select n from c where cast(quality as varchar) = k), 0) = 100 from (select unnest(['0', '1', '2']) as k)""")
+def eligibility_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").withColumn("quality", F.col("quality").cast("string"))
+    return E.policy_check(labels, "quality", 300, {"0": 100, "1": 100, "2": 100}, ["0", "1", "2"])
+
+
+@query("""
+select lang as run, source as partition, cast(case when source = 'src1' then 0 else 10 end as bigint) as expected, count(*) as observed
+from documents group by lang, source having count(*) <> case when source = 'src1' then 0 else 10 end
+union all select lang, 'test', 5, 0 from documents group by lang""")
+def registered_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("run"), F.col("source").alias("partition"))
+    runs = docs.select("run").distinct()
+    expected = docs.distinct().filter("partition <> 'src1'").withColumn("expected", F.lit(10)).unionByName(runs.select("run", F.lit("test").alias("partition"), F.lit(5).alias("expected")))
+    return V.partition_counts(docs, "run", "partition", expected)
+
+
+@query("select count(*) as records, count(*) filter (lang = 'en') as english, count(*) filter (lang = 'en' and source = 'src1') as english_src1 from documents")
+def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts read back out of the manifest of the documents by language and source."""
+    made = writers.partition_manifest(table(spark, sf_dir, "documents"), "doc_id", "lang", "source", name="documents")
+    path = lambda p: F.coalesce(F.get_json_object("manifest", p).cast("long"), F.lit(0))
+    return made.select(path("$.records").alias("records"), path("$.partitions.en").alias("english"), path("$.classes.en.src1").alias("english_src1"))
 
 
 @query("select doc_id, row_number() over (order by sha256('42' || chr(0) || doc_id), doc_id) as place from labels")

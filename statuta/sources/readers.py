@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import io
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PAGE_SCHEMA = "document_id string, page_number int, raw_text string, extraction_method string"
 
@@ -38,25 +39,34 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select("document_id", "document_metadata", F.inline("pages"))
 
 
+def _records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for content in frame.content:
+            text = bytes(content).decode("utf-8-sig")
+            rows = [(k, cells) for k, cells in enumerate(csv.reader(io.StringIO(text, newline="")), 1)]
+            yield pd.DataFrame(rows, columns=["_source_row", "cells"])
+
+
 def sheet(spark: SparkSession, path: str, header_row: int = 1, required: list[str] | None = None) -> DataFrame:
     """A sheet kept as CSV, all text, blanks kept, headers stripped, with its source row number.
 
-    Rows before ``header_row`` (from 1) are passed over. The row number is the line of the file, so
-    a sheet is read as one split; sheets are small next to texts.
+    Rows before ``header_row`` (from 1) are passed over. A row is a record: quoted cells may hold
+    line feeds, so a sheet (1,048,576 rows at most, as sheets are) is read whole. Short rows are
+    filled with blanks; blank or repeated headers get their column's number.
     """
-    lines = spark.read.text(path, wholetext=False).withColumn("__at", F.monotonically_increasing_id()).coalesce(1)
-    numbered = lines.withColumn("_source_row", F.row_number().over(W.orderBy("__at")).cast("int"))
-    header = numbered.filter(F.col("_source_row") == header_row).first()
+    records = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_records, "_source_row int, cells array<string>")
+    header = records.filter(F.col("_source_row") == header_row).first()
     if header is None:
         raise ValueError("no header row")
-    names = [x.strip() for x in pd.read_csv(io.StringIO(header["value"]), header=None, dtype=str).iloc[0].fillna("")]
+    names: list[str] = []
+    for k, cell in enumerate(header["cells"]):
+        name = cell.strip()
+        names.append(name if name and name not in names else f"{name or 'column'}_{k}")
     missing = [c for c in required or [] if c not in names]
     if missing:
         raise ValueError(f"missing columns {missing}")
-    schema = ", ".join(f"`{n or f'column_{k}'}` string" for k, n in enumerate(names))
-    body = numbered.filter(F.col("_source_row") > header_row)
-    parsed = body.select("_source_row", F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*", "_source_row")
-    return parsed.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c != "_source_row" else F.col(c) for c in parsed.columns))
+    body = records.filter(F.col("_source_row") > header_row)
+    return body.select(*(F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(names)), "_source_row")
 
 
 def partition(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
@@ -68,8 +78,19 @@ def partition(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     return out.na.fill("")
 
 
-def verified_matrix(spark: SparkSession, values_path: str, features_path: str, rows: int, columns: int) -> DataFrame:
-    """Long-form matrix after its shape and index ranges are checked."""
+def require_files(spark: SparkSession, expected: DataFrame) -> None:
+    """Files are what the registry's (path, bytes, sha256) say."""
+    for path in [r[0] for r in expected.select("path").distinct().collect()]:  # a registered run's few files
+        held = fingerprints(spark, path).first()
+        wanted = expected.filter(F.col("path") == path).first()
+        if held is None or (held["length"], held["sha256"]) != (wanted["bytes"], wanted["sha256"]):
+            raise ValueError(f"{path} is not what was registered")
+
+
+def verified_matrix(spark: SparkSession, values_path: str, features_path: str, rows: int, columns: int, files: DataFrame | None = None) -> DataFrame:
+    """Long-form matrix after its shape and index ranges are checked, and its ``files`` (path, bytes, sha256) if given."""
+    if files is not None:
+        require_files(spark, files)
     values, features = spark.read.parquet(values_path), spark.read.parquet(features_path)
     seen = values.agg(F.max("row_index").alias("r"), F.max("feature_index").alias("c"), F.min("value").alias("lo")).first()
     count = features.agg(F.countDistinct("feature_index").alias("n"), F.max("feature_index").alias("hi")).first()

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.registry import append_with_children
 from ..operators.validation import require_equal
 
 
@@ -37,12 +39,31 @@ def replace_table(data: DataFrame, path: str) -> None:
     data.write.mode("overwrite").parquet(path)
 
 
-def publish(data: DataFrame, path: str, checks=()) -> None:
-    """Write aside, read back, compare, run the checks on what was written, and only then move into
-    place; what stood there comes back if the move fails."""
-    spark = data.sparkSession
-    staged, backup = f"{path}._staging_{uuid.uuid4().hex}", f"{path}._backup_{uuid.uuid4().hex}"
+def _moved(spark: SparkSession, staged: str, path: str) -> tuple[Callable[[], None], Callable[[], None]]:
+    """Move a written folder into place; (undo, finish): what stood there comes back, or goes."""
     fs, target = _fs(spark, path)
+    backup = f"{path}._backup_{uuid.uuid4().hex}"
+    held = fs.exists(target)
+    if held:
+        fs.rename(target, _fs(spark, backup)[1])
+
+    def restore() -> None:
+        if held:
+            fs.rename(_fs(spark, backup)[1], target)
+
+    def undo() -> None:
+        fs.delete(target, True)
+        restore()
+
+    if not fs.rename(_fs(spark, staged)[1], target):
+        restore()
+        raise OSError(f"can't publish {path}")
+    return undo, lambda: held and fs.delete(_fs(spark, backup)[1], True)
+
+
+def _staged(data: DataFrame, path: str, checks) -> str:
+    """Write aside, read back, compare and run the checks on what was written."""
+    spark, staged = data.sparkSession, f"{path}._staging_{uuid.uuid4().hex}"
     try:
         data.write.parquet(staged)
         written = spark.read.parquet(staged)
@@ -50,23 +71,43 @@ def publish(data: DataFrame, path: str, checks=()) -> None:
         for check in checks:
             check(written)
     except Exception:
-        fs.delete(_fs(spark, staged)[1], True)
+        _fs(spark, staged)[0].delete(_fs(spark, staged)[1], True)
         raise
-    held = fs.exists(target)
-    if held:
-        fs.rename(target, _fs(spark, backup)[1])
-    if not fs.rename(_fs(spark, staged)[1], target):
-        if held:
-            fs.rename(_fs(spark, backup)[1], target)
-        raise OSError(f"can't publish {path}")
-    if held:
-        fs.delete(_fs(spark, backup)[1], True)
+    return staged
+
+
+def publish(data: DataFrame, path: str, checks=()) -> None:
+    """Write aside, read back, compare, run the checks on what was written, and only then move into
+    place; what stood there comes back if the move fails."""
+    _moved(data.sparkSession, _staged(data, path, checks), path)[1]()
+
+
+def publish_run(data: DataFrame, path: str, events: DataFrame, registry: str, key: str, artifact_registry: str, parents: dict[str, DataFrame] | None = None, checks=()) -> DataFrame:
+    """Publish a table and register its run: its files' sizes and hashes as artifact rows, then its event.
+
+    ``events`` is the run's one event row. Files are hashed again after the event stands; if anything
+    fails, the table that stood there before comes back. Returns the artifact rows.
+    """
+    spark = data.sparkSession
+    run_id = events.select(F.col(key).cast("string")).first()[0]
+    undo, finish = _moved(spark, _staged(data, path, checks), path)
+    try:
+        found = artifacts(spark, run_id, {"table": path}).withColumnRenamed("run_id", key)
+        append_with_children(events, registry, key, {artifact_registry: found}, parents)
+        stored = spark.read.parquet(artifact_registry).filter(F.col(key) == run_id)
+        require_equal(found, stored, ["path", "bytes", "sha256"])
+    except Exception:
+        undo()
+        raise
+    finish()
+    return stored
 
 
 def archive(data: DataFrame, root: str, run_id: str) -> str:
-    """An immutable copy of a run; a second one of the same id is refused."""
+    """An immutable copy of a run, compared with ``data``; a second one of the same id is refused."""
     path = f"{root.rstrip('/')}/{run_id}"
     data.write.mode("errorifexists").parquet(path)
+    require_equal(data, data.sparkSession.read.parquet(path))
     return path
 
 
@@ -90,5 +131,32 @@ def require_manifest(data: DataFrame, required: list[str]) -> None:
         raise ValueError(f"manifest lacks {missing}")
 
 
+def partition_manifest(data: DataFrame, key: str, partition: str, label: str, **fields) -> DataFrame:
+    """One JSON row: records, records by partition and class, and a digest of each partition's ids.
+
+    The digest is a sum of hashes, the same in whatever order the rows come.
+    """
+    name = lambda c: F.col(c).cast("string")
+    digest = F.sum(F.xxhash64(name(key)).cast("decimal(38,0)")).cast("string")
+    def named(key_col: str, value: str):
+        found = F.map_from_entries(F.collect_list(F.struct(key_col, value)))
+        return F.map_from_entries(F.transform(F.array_sort(F.map_keys(found)), lambda k: F.struct(k.alias("k"), F.element_at(found, k).alias("v"))))
+
+    # A row a partition and class.
+    cells = data.groupBy(F.coalesce(name(partition), F.lit("")).alias("p"), F.coalesce(name(label), F.lit("")).alias("l")).agg(F.count("*").alias("n"), digest.alias("d"))
+    parts = cells.groupBy("p").agg(F.sum("n").alias("all"), F.sum(F.col("d").cast("decimal(38,0)")).cast("string").alias("digest"), named("l", "n").alias("by"))
+    whole = parts.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("records"), named("p", "all").alias("partitions"), named("p", "by").alias("classes"), named("p", "digest").alias("membership"))
+    more = [F.lit(fields[k]).alias(k) for k in sorted(fields)]
+    return whole.select(F.to_json(F.struct("classes", "membership", "partitions", "records", *more)).alias("manifest"))
+
+
+def require_membership(manifest_row: DataFrame, data: DataFrame, key: str, partition: str, label: str) -> None:
+    """The manifest's counts and digests are those of ``data``."""
+    shape = "classes map<string, map<string, long>>, membership map<string, string>, partitions map<string, long>, records long"
+    read = lambda m: m.select(F.from_json("manifest", shape).alias("m")).select("m.*").first()
+    if read(manifest_row) != read(partition_manifest(data, key, partition, label)):
+        raise ValueError("the manifest doesn't fit the records")
+
+
 def save_model(model, path: str) -> None:
     model.write().save(path)

@@ -146,6 +146,94 @@ def test_choose_groups_of_many_rows():
         S.choose_groups(sizes | {"e": {9: 1}}, 0.2)
 
 
+def test_sheet_cells_may_hold_line_feeds(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('title,,\nid, note ,note,\n1,"two\nlines, ""quoted""",x\n2,,y,z\n', encoding="utf-8")
+    rows = readers.sheet(spark, str(tmp_path / "s.csv"), header_row=2, required=["id"]).orderBy("_source_row").collect()
+    assert [tuple(r) for r in rows] == [("1", 'two\nlines, "quoted"', "x", "", 3), ("2", "", "y", "z", 4)]
+
+
+def test_runs_are_registered_with_their_files_or_not_at_all(spark, tmp_path):
+    path = lambda name: f"file://{tmp_path}/{name}"
+    event = lambda k: spark.createDataFrame([(f"SPLIT_{k:06d}", "D1")], "split_id string, document_id string")
+    first, second = (spark.range(n).withColumn("x", F.lit("v")) for n in (5, 7))
+    made = writers.publish_run(first, path("t"), event(1), path("events"), "split_id", path("files"))
+    assert made.count() == spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path("t")).count() and made.filter("length(sha256) <> 64").isEmpty()
+    readers.require_files(spark, made)
+    with pytest.raises(ValueError):  # the event stands already: the first table comes back
+        writers.publish_run(second, path("t"), event(1), path("events"), "split_id", path("files"))
+    assert spark.read.parquet(path("t")).count() == 5 and spark.read.parquet(path("events")).count() == 1
+    with pytest.raises(ValueError):
+        readers.require_files(spark, made.withColumn("sha256", F.lit("0" * 64)))
+    orphans = spark.createDataFrame([("SPLIT_000009", "a"), ("SPLIT_000001", "b")], "split_id string, v string")
+    assert [r.v for r in R.committed(orphans, spark.read.parquet(path("events")), "split_id").collect()] == ["b"]
+    with pytest.raises(R.RegistryError):
+        R.append_with_children(event(2), path("events"), "split_id", {path("rows"): orphans}, {})
+
+
+def test_manifest_membership(spark):
+    data = spark.createDataFrame([(k, "test" if k % 3 else "train", "ab"[k % 2]) for k in range(20)], "id int, part string, label string")
+    made = writers.partition_manifest(data, "id", "part", "label", seed=42)
+    writers.require_membership(made, data.repartition(3), "id", "part", "label")
+    with pytest.raises(ValueError):
+        writers.require_membership(made, data.withColumn("part", F.when(F.col("id") == 1, "train").when(F.col("id") == 0, "test").otherwise(F.col("part"))), "id", "part", "label")
+
+
+def test_near_duplicates_are_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(5, 40))) for _ in range(25)]
+    texts += [t[: len(t) // 2] + "x" + t[len(t) // 2 :] for t in texts[:8]] + ["", "zz"]
+    grouped = D.with_groups(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    held = {r.duplicate_group_id: r.normalized_text for r in grouped.collect()}
+    got = {(r[0], r[1]): r[2] for r in D.near_duplicates(grouped, threshold=0.7).collect()}
+    ids = sorted(g for g, t in held.items() if t)
+    ratios = {(a, b): SequenceMatcher(None, held[a], held[b], autojunk=False).ratio() for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    assert set(got) == {p for p, r in ratios.items() if r >= 0.7} and len(got) >= 8
+
+
+def test_similar_pairs_are_all_pairs(spark):
+    rng = random.Random(9)
+    words = [[rng.choice("abcdefghij") for _ in range(rng.randrange(8))] for _ in range(60)]
+    found = A.similar_pairs(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words)], "id int, k string"), "id", "k", 0.6)
+    sets = [set(w) for w in words]
+    expected = {(i, j) for j in range(60) for i in range(j) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.6 * max(len(sets[i]), len(sets[j]))}
+    assert {(r.a, r.b) for r in found.collect()} == expected and expected
+
+
+def test_shuffled_labels_score_at_chance(spark):
+    from statuta.operators import forests
+
+    rng = random.Random(1)
+    rows = [(k, float(rng.randrange(2)), k % 4) for k in range(80)]
+    values = [(k, f"t{rng.randrange(300)}", 1.0) for k in range(80) for _ in range(8)]
+    indexed = V.with_index(spark.createDataFrame(values, "doc_id int, term string, value double").select("term").distinct())
+    data = spark.createDataFrame(rows, "doc_id int, label_index double, fold int")
+    cells = spark.createDataFrame(values, "doc_id int, term string, value double").groupBy("doc_id", "term").agg(F.max("value").alias("value"))
+    got = forests.cross_validate(data, cells, indexed, ["0", "1"], {"A1": (False, 40), "B1": (False, None)}, forests.Settings(trees=5, max_depth=4)).groupBy("configuration_id").agg(F.avg("accuracy").alias("a")).collect()
+    assert {r.configuration_id for r in got} == {"A1", "B1"} and all(0.3 < r.a < 0.7 for r in got)
+
+
+def test_nested_elimination_and_importances(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from statuta.operators import forests
+
+    rng = random.Random(2)
+    rows = [(k, k % 3 == 0 and 1.0 or 0.0, k % 2, Vectors.dense([float(k % 3 == 0) + rng.random() / 4] + [rng.random() for _ in range(11)])) for k in range(45)]
+    data = spark.createDataFrame([(a, float(b), c, d) for a, b, c, d in rows], ["doc_id", "label_index", "fold", "features"]).withColumn("fold", F.col("fold").cast("int"))
+    small = forests.Settings(trees=5, max_depth=4)
+    metrics, curves = forests.nested_elimination(data, ["0", "1"], 12, 2, step=0.25, inner_folds=3, configurations={"C1": False}, settings=small)
+    got = curves.collect()
+    assert {r.outer_fold for r in got} == {0, 1} and sorted({r.number_of_retained_features for r in got}) == [2, 3, 6, 9, 12]
+    assert all(sum(r.selected_as_optimal for r in got if r.outer_fold == k) == 1 for k in (0, 1))
+    assert metrics.count() == 2 and metrics.agg(F.min("macro_f1")).first()[0] > 0.8
+    model = forests.fit_forest(data, settings=small)
+    table = forests.importance_table(model, spark.range(12).select(F.col("id").alias("feature_index"), F.format_string("t%02d", "id").alias("term"))).orderBy("rank").collect()
+    assert [r["rank"] for r in table] == list(range(1, 13)) and table[0].feature_index == 0
+    assert [(-r.importance, r.feature_index) for r in table] == sorted((-r.importance, r.feature_index) for r in table)
+
+
 def test_tokenizer_and_features(spark):
     assert one(spark, "a e o u y x ñ 1 casa Árbol", V.tokens("x")) == ["a", "e", "o", "u", "y", "casa", "árbol"]
     data = spark.createDataFrame([(1, "árbol arbol a"), (2, "y término árbol")], "id int, text string")
