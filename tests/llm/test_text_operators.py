@@ -107,32 +107,43 @@ def plain_estimate(x, q):
     return near.mean(axis=0), np.cov(near.T, bias=True) * q._factor(q.REWEIGHT)
 
 
-def test_quality_matches_a_plain_estimate(docs_of):
-    """Sources and languages of several sizes against numpy."""
+def plain_verdicts(rows):
+    """doc -> (distance, kept) of rows (id, text, lang, source) that pass the base rules, by numpy alone."""
     from statuta.llm import quality as q
 
-    sizes = {("en", "a"): 260, ("en", "b"): 40, ("en", None): 9, ("fr", "a"): 30, (None, "c"): 1}
-    rows = [(1000 * g + k, _prose(977 * g + k, 60 + (7 * k) % (80 + 30 * g)) + " Z!" * (k % 3), *group) for g, (group, n) in enumerate(sizes.items()) for k in range(n)]
-    got = {r.doc_id: (r.distance, r.kept) for r in quality_verdicts(docs_of(rows)).collect()}
     names, scope = [x.split()[0] for x in q.STATS.split(", ")], {"ln": math.log, "sqrt": math.sqrt}
-    stats = text_stats(pa.array([r[1] for r in rows]))
+    stats = text_stats(pa.array([r[1] for r in rows], pa.string()))
+    passed = [k for k, s in enumerate(stats) if s[0] >= 50 and 100 * s[4] <= 50 * s[0]]
+    rows, stats = [rows[k] for k in passed], stats[passed]
     half_up = lambda v: math.floor(abs(v) * q.SCALE + 0.5) * (1 if v >= 0 else -1)
     x = np.array([[half_up(eval(sql, scope, dict(zip(names, map(int, s))))) for sql, _ in q.FEATURES.values()] for s in stats])
     of = lambda test: x[[k for k, r in enumerate(rows) if test(r)]]
     whole = plain_estimate(x, q)
     expected, limit = {}, math.sqrt(q.chi2_quantile(1 - q.TAIL, x.shape[1]))
-    for group in sizes:
+    for group in {r[2:4] for r in rows}:
         centre, scatter = whole
-        for own in (of(lambda r: r[2] == group[0]), of(lambda r: r[2:] == group)):
+        for own in (of(lambda r: r[2] == group[0]), of(lambda r: r[2:4] == group)):
             c, s = plain_estimate(own, q) if len(own) > 1 else (own[0] / q.SCALE, np.zeros((x.shape[1],) * 2))
             w = len(own) / (len(own) + q.SHRINK)
             centre, scatter = w * c + (1 - w) * centre, w * s + (1 - w) * scatter
         for k, r in enumerate(rows):
-            if r[2:] == group:
+            if r[2:4] == group:
                 v = x[k] / q.SCALE - centre
-                expected[r[0]] = math.sqrt(v @ np.linalg.inv(scatter + q._LEAST) @ v)
-    assert max(abs(got[k][0] - expected[k]) for k in got) < 1e-6
-    assert all(kept == (expected[k] <= limit) for k, (_, kept) in got.items())
+                d = math.sqrt(v @ np.linalg.inv(scatter + q._LEAST) @ v)
+                expected[r[0]] = (d, d <= limit)
+    return expected
+
+
+def test_quality_matches_a_plain_estimate(docs_of):
+    """Sources and languages of several sizes against numpy."""
+    sizes = {("en", "a"): 260, ("en", "b"): 40, ("en", None): 9, ("fr", "a"): 30, (None, "c"): 1}
+    rows = [(1000 * g + k, _prose(977 * g + k, 60 + (7 * k) % (80 + 30 * g)) + " Z!" * (k % 3), *group) for g, (group, n) in enumerate(sizes.items()) for k in range(n)]
+    rows += [(9000, "w " * 5000 + _prose(1, 6000), "en", "a"), (9001, None, "en", "a")] + [rows[0]] * 2
+    got = {r.doc_id: (r.distance, r.kept) for r in quality_verdicts(docs_of(rows)).collect()}
+    expected = plain_verdicts(rows)
+    assert len(got) == len(set(r[0] for r in rows)) and not got[9001][1]
+    assert max(abs(got[k][0] - expected[k][0]) for k in expected) < 1e-6
+    assert all(got[k][1] == expected[k][1] for k in expected)
 
 
 def test_packing_round_trip(docs_of):
