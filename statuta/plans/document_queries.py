@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions import text as X
+from ..functions import patterns as P, text as X
 from ..functions.unicode import html_unescape, matching_text, nfc, nfkc, strip_accents
 from ..operators import normalize as N, page_quality as Q
 from ..operators.segments import with_next
@@ -152,13 +154,19 @@ def technical_line_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", removed.cast("long").alias("removed"), kept.alias("text"))
 
 
-@query("""
-select doc_id, replace(replace(replace(replace(replace(replace(text || ' “a” – ﬁn… x', '“', '"'), '”', '"'), '–', '-'), 'ﬁ', 'fi'), '…', '...'), chr(160), ' ') as text,
-  regexp_replace(text || chr(10) || 'regula-' || chr(10) || 'ción', '([\\p{L}\\p{M}\\p{N}_])-\\s*\\n\\s*([\\p{L}\\p{M}\\p{N}_])', '\\1\\2', 'g') as repaired
+_ODD = " ".join([*P.CHARACTER_SWAPS, *P.CHARACTER_DROPS, *P.CHARACTER_EXPANSIONS])
+_quoted = lambda s: "'" + s.replace("'", "''") + "'"
+_EXPANDED = reduce(lambda sql, kv: f"replace({sql}, {_quoted(kv[0])}, {_quoted(kv[1])})", P.CHARACTER_EXPANSIONS.items(), f"text || {_quoted(' ' + _ODD)}")
+_SWAPPED = reduce(lambda sql, kv: f"replace({sql}, {_quoted(kv[0])}, {_quoted(kv[1])})", [*P.CHARACTER_SWAPS.items(), *((c, "") for c in P.CHARACTER_DROPS)], _EXPANDED)
+
+
+@query(rf"""
+select doc_id, {_SWAPPED} as text,
+  regexp_replace(text || chr(10) || 'regula-' || chr(10) || 'ción', '([\p{{L}}\p{{M}}\p{{N}}_])-\s*\n\s*([\p{{L}}\p{{M}}\p{{N}}_])', '\1\2', 'g') as repaired
 from documents""")
 def character_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", X.replace_characters(F.concat(F.col("text"), F.lit(" “a” – ﬁn… x"))).alias("text"), X.repair_hyphenation(F.concat(F.col("text"), F.lit("\nregula-\nción"))).alias("repaired"))
+    return docs.select("doc_id", X.replace_characters(F.concat(F.col("text"), F.lit(" " + _ODD))).alias("text"), X.repair_hyphenation(F.concat(F.col("text"), F.lit("\nregula-\nción"))).alias("repaired"))
 
 
 @query()

@@ -95,9 +95,11 @@ def cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("configuration_id", "record_type", F.round("macro_f1", 9).alias("macro_f1"), F.round("accuracy", 9).alias("accuracy"))
 
 
-@query(f"select fold, round(macro_f1, 9) as macro_f1 from ({_FOLDS}) order by round(macro_f1, 12) desc, fold limit 1")
+@query(f"select configuration_id, round(macro_f1, 9) as macro_f1 from (select configuration_id, {_OVERALL} from ({_per_class(_P, 'configuration_id')}) group by configuration_id) order by round(macro_f1, 12) desc, configuration_id limit 1")
 def configuration_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.choose_configuration(_fold_metrics(spark, sf_dir), "fold").select("fold", F.round("macro_f1", 9).alias("macro_f1"))
+    data = _predictions(spark, sf_dir)
+    parts = [M.overall(M.confusion(data.filter(F.col("configuration_id") == k), "actual", "predicted", CLASSES), CLASSES).withColumn("configuration_id", F.lit(k)) for k in ("A1", "A2")]
+    return M.choose_configuration(M.compare_models(parts)).select("configuration_id", F.round("macro_f1", 9).alias("macro_f1"))
 
 
 @query("""

@@ -131,6 +131,13 @@ def require_manifest(data: DataFrame, required: list[str]) -> None:
         raise ValueError(f"manifest lacks {missing}")
 
 
+def write_report(tables: dict[str, DataFrame], folder: str, form: str = "parquet") -> None:
+    """The tables of a report (metrics, confusion, importances, curves) as one folder each, Parquet or CSV, in place of a workbook's sheets."""
+    for name, data in tables.items():
+        out = data.write.mode("errorifexists")
+        out.csv(f"{folder.rstrip('/')}/{name}", header=True, escape='"') if form == "csv" else out.parquet(f"{folder.rstrip('/')}/{name}")
+
+
 def partition_manifest(data: DataFrame, key: str, partition: str, label: str, **fields) -> DataFrame:
     """One JSON row: records, records by partition and class, and a digest of each partition's ids.
 

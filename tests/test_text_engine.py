@@ -170,6 +170,17 @@ def test_runs_are_registered_with_their_files_or_not_at_all(spark, tmp_path):
         R.append_with_children(event(2), path("events"), "split_id", {path("rows"): orphans}, {})
 
 
+def test_reports_are_tables(spark, tmp_path):
+    tables = {"curve": spark.range(3), "metrics": spark.range(2).withColumn("x", F.lit('a "b"\nc'))}
+    for form in ("parquet", "csv"):
+        writers.write_report(tables, f"{tmp_path}/{form}", form)
+    assert spark.read.parquet(f"{tmp_path}/parquet/curve").count() == 3
+    assert {r.x for r in readers.partition(spark, f"{tmp_path}/csv/metrics", ["id", "x"]).collect()} == {'a "b"\nc'}
+    paths = spark.createDataFrame([("/r/a/b",), ("a/b",), ("./x",), ("s3://k/v",), ("/r/" + "p" * 20_000,)], "p string")
+    assert [r[0] for r in paths.select(X.relative_path(F.col("p"), "/r")).collect()] == ["a/b", "a/b", "./x", "s3://k/v", "p" * 20_000]
+    assert [r[0] for r in paths.select(X.resolve_path(F.col("p"), "/r/")).collect()][:4] == ["/r/a/b", "/r/a/b", "/r/x", "s3://k/v"]
+
+
 def test_manifest_membership(spark):
     data = spark.createDataFrame([(k, "test" if k % 3 else "train", "ab"[k % 2]) for k in range(20)], "id int, part string, label string")
     made = writers.partition_manifest(data, "id", "part", "label", seed=42)
