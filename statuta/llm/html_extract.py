@@ -4,9 +4,9 @@ Elements that never belong to an article (navigation, forms, scripts, adverts, c
 by tag, role or class) are left out, as is text outside a marked ``main``. The subtrees of all
 remaining block elements, within an article and outside it, and the runs of text beside them are
 hashed, with their tags and texts; Spark counts on how many different pages of a host each hash
-stands, and subtrees that recur on enough of them are deleted: on half of the host's different
-pages, on two at least, and on ``MIN_PAGES`` whatever the host's size. Pages that are copies of each
-other hold the same article and count once, so a copied article is not taken for a template.
+stands, and subtrees that recur on ``SHARE`` of them are deleted, on ``MIN_PAGES`` at least whatever
+the host's size: a passage that some articles quote is no template of the site. Pages that are copies
+of each other hold the same article and count once, so a copied article isn't one either.
 
 Hashes are mixed with the host, so that counting moves 8-byte keys. Pages are parsed twice: the
 first time only hashes are stored, the second time a page's blocks go, compressed, to meet the
@@ -30,8 +30,8 @@ from .shared import Scratch
 from .url_filter import host_and_path
 from .words import pieces
 
-#: Different pages of a host that make a subtree its template; fewer where the host has less than twice as many.
-MIN_PAGES = 10
+#: Share of a host's different pages that makes a subtree its template, and the least pages.
+SHARE, MIN_PAGES = 0.5, 3
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -261,28 +261,27 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], names=[*batch.schema.names[:-2], "text"])
 
 
-def site_templates(found: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES) -> DataFrame:
+def site_templates(found: DataFrame, scratch: Scratch, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """(key, gone): the template hashes on each page of ``found`` (key, site, main, hashes) that has any."""
     stands = found.select("key", "site", "main", F.explode("hashes").alias("hash"))
     # Most hashes stand on one page; places are looked at for the rest only. Tables are written
     # before they are joined, so that a hot hash or page can be split; they grow with the pages, so
     # they are never broadcast.
-    often = scratch.save(stands.groupBy("hash").agg(F.count("*").alias("n"), F.min("site").alias("site")).filter("n > 1"), "often")
+    often = scratch.save(stands.groupBy("hash").agg(F.count("*").alias("n"), F.min("site").alias("site")).filter(f"n >= {int(min_pages)}"), "often")
     places = scratch.save(stands.select("key", "main", "hash").join(often.select("hash").hint("merge"), "hash"), "places")
-    counted = places.select("hash", "main").distinct().groupBy("hash").agg(F.count("*").alias("pages")).filter("pages > 1")
+    counted = places.select("hash", "main").distinct().groupBy("hash").agg(F.count("*").alias("pages")).filter(f"pages >= {int(min_pages)}")
     hosts = found.select("site", "main").distinct().groupBy("site").agg(F.count("*").alias("n"))
-    need = hosts.filter(F.col("n") < 2 * min_pages).select("site", F.greatest(F.lit(2), F.ceil(F.col("n") / 2)).alias("need"))
-    named = counted.join(often.select("hash", "site"), "hash").join(need, "site", "left")
-    template = scratch.save(named.filter(F.col("pages") >= F.coalesce(F.least("need", F.lit(min_pages)), F.lit(min_pages))).select("hash"), "template")
+    named = counted.join(often.select("hash", "site"), "hash").join(hosts, "site")
+    template = scratch.save(named.filter(F.col("pages") >= share * F.col("n")).select("hash"), "template")
     return scratch.save(places.join(template.hint("merge"), "hash").groupBy("key").agg(F.collect_set("hash").alias("gone")), "gone")
 
 
-def extract_text(pages: DataFrame, keep: list[str] = ("page_id", "url"), url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+def extract_text(pages: DataFrame, keep: list[str] = ("page_id", "url"), url_col: str = "url", html_col: str = "html", share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """``keep`` columns, text, n_chars of every row: the article's blocks joined by line feeds.
 
     Null and empty markup give an empty text. A null URL has the empty host, like one without
-    ``://``. A host's subtrees are its templates from half of its different pages on, from two
-    pages at least and from ``min_pages`` at most; a page that holds nothing else has no text.
+    ``://``. A host's subtrees are its templates from ``share`` of its different pages on and from
+    ``min_pages`` pages at least; a page that holds nothing else has no text.
     Repeated rows give equal rows; an empty table gives none. Names of other columns don't matter.
     """
     scratch = Scratch(pages.sparkSession, "pages")
@@ -290,7 +289,7 @@ def extract_text(pages: DataFrame, keep: list[str] = ("page_id", "url"), url_col
     # Rows of one address and markup have one key and the same templates.
     key = F.xxhash64(url_col, html_col).alias("key")
     found = pages.select(key, host.alias("host"), F.col(html_col).alias("html")).mapInArrow(_hashed, "key long, site long, main long, hashes array<long>")
-    gone = site_templates(scratch.save(found, "hashes"), scratch, min_pages)
+    gone = site_templates(scratch.save(found, "hashes"), scratch, share, min_pages)
 
     src = pages.select(*(F.col(c).alias(f"k_{c}") for c in keep), key, host.alias("host"), F.col(html_col).alias("html"))
     fields = lambda df, n: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:n])

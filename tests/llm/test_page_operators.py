@@ -41,12 +41,12 @@ def test_site_templates(spark):
 def test_counts_decide_within_and_outside_articles(spark):
     page = lambda k, host: (k, f"http://{host}/{k}", f"<body>Site name<article><h2>Teaser</h2><p>Read this first.</p></article><div><p>main text {k}</p></div><article><p>own words {k}</p><p>All rights reserved.</p></article></body>")
     rows = [page(k, "small.x") for k in range(4)] + [page(k, "large.x") for k in range(10, 40)] + [page(100, "one.x")]
-    rows += [(200 + k, f"http://mixed.x/{k}", f"<p>page {k}</p>" + "<p>seldom</p>" * (k < 9) + "<p>often</p>" * (k < 10)) for k in range(30)]
+    rows += [(200 + k, f"http://mixed.x/{k}", f"<p>page {k}</p>" + "<p>seldom</p>" * (k < 14) + "<p>often</p>" * (k < 15)) for k in range(30)]
     rows += [(300 + k, f"http://near.x/{k}", f"<p>{'shared words ' * 20}</p><p>{k}</p>") for k in range(3)]
     got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[k] == f"main text {k}\nown words {k}" for k in (*range(4), *range(10, 40)))
     assert got[100] == "Site name\nTeaser\nRead this first.\nmain text 100\nown words 100\nAll rights reserved."
-    assert got[200] == "page 0\nseldom" and got[209] == "page 9" and got[302] == "2"
+    assert got[200] == "page 0\nseldom" and got[214] == "page 14" and got[302] == "2"
 
 
 def test_templates_against_plain_counts(spark):
@@ -71,7 +71,7 @@ def test_templates_against_plain_counts(spark):
     removed = 0
     for page_id, url, page in rows:
         host = url[7]
-        often = lambda x: count[host, x] >= max(2, min(10, math.ceil(on[host] / 2)))
+        often = lambda x: count[host, x] >= max(3, on[host] / 2)
         kept, box = [], ""
         for m in re.finditer(r"<ul>.*?</ul>|<div>.*?</div>|<(?:p|li|h2)>[^<]*</(?:p|li|h2)>", page):
             for block in re.findall(r"<(?:p|li|h2)>[^<]*</(?:p|li|h2)>", m[0]):
