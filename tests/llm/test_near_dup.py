@@ -47,6 +47,25 @@ def test_nulls_repeats_and_empty(docs_of):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1] and "n_words" in kept.columns
 
 
+def test_texts_under_one_id_are_one_document(docs_of, spark):
+    one, two = "a b c d e f g", "p q r s t u v"
+    got = near_dup_groups(docs_of([(5, one), (5, two), (5, ""), (3, one), (9, two), (9, two), (7, "x")])).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got if r.n_shingles} == {(5, 3, False), (3, 3, True), (9, 3, False), (7, 7, True)} and len(got) == 7
+    assert [(r.component_id, r.kept) for r in got if not r.n_shingles] == [(5, True)]
+    docs = spark.createDataFrame([(1, one, "g", "h"), (2, one, "g", "h"), (4, two, None, None)], "doc_id long, text string, gone string, _gone string")
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
+def test_components_of_a_hub_and_a_chain(spark, tmp_path):
+    from statuta.llm.components import connected_components
+    from statuta.llm.shared import Scratch
+
+    edges = [(0, k) for k in range(1, 2000)] + [(k, k + 1) for k in range(3000, 3060)] + [(5000, 5000), (None, 1), (3000, 3001)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "cc").collect()}
+    assert got == {k: 0 for k in range(2000)} | {k: 3000 for k in range(3000, 3061)}
+
+
 def test_sketch_fills_and_estimates():
     a, b = shingle_set(" ".join(map(str, range(2000)))), shingle_set(" ".join(map(str, range(500, 2500))))
     tiny = shingle_set("one")
