@@ -2,28 +2,27 @@
 
 Every step is two joins on vertex keys; nothing is gathered on the driver but a row count and
 a checksum that tell when the edge set no longer changes. A vertex of very many neighbours is
-a hot join key: least neighbours are written before the join, so that both of its sides come
-straight from a shuffle and adaptive execution can split the vertex over many tasks.
+a hot join key, which adaptive execution can split over many tasks (see ``meet``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Scratch
+from .shared import Scratch, meet
 
 #: More rounds than any graph of 2**60 vertices needs.
 MAX_ROUNDS = 120
 
 
-def _star(edges: DataFrame, large: bool, scratch: Scratch, name: str) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star links each larger neighbour to the least vertex around; small star each smaller one."""
     if large:
         around = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = scratch.save(around.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low")), name)
-    met = around.join(least, "a")
+    least = around.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
+    met = meet(around, least, ["a"])
     if large:
         out = met.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
@@ -47,9 +46,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     now = scratch.save(oriented, f"{name}_0")
     last = _seen(now)
     for step in range(1, MAX_ROUNDS):
-        larger = scratch.save(_star(now, True, scratch, f"{name}_low"), f"{name}_larger")
-        nxt = scratch.save(_star(larger, False, scratch, f"{name}_low_2"), f"{name}_{step}")
-        scratch.drop(f"{name}_{step - 1}", f"{name}_low", f"{name}_low_2", f"{name}_larger")
+        nxt = scratch.save(_star(_star(now, True), False), f"{name}_{step}")
+        scratch.drop(f"{name}_{step - 1}")
         now, before, last = nxt, last, _seen(nxt)
         if last == before:
             break

@@ -26,7 +26,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Scratch
+from .shared import Scratch, meet
 from .url_filter import host_and_path
 from .words import pieces
 
@@ -264,16 +264,14 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def site_templates(found: DataFrame, scratch: Scratch, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """(key, gone): the template hashes on each page of ``found`` (key, site, main, hashes) that has any."""
     stands = found.select("key", "site", "main", F.explode("hashes").alias("hash"))
-    # Most hashes stand on one page; places are looked at for the rest only. Tables are written
-    # before they are joined, so that a hot hash or page can be split; they grow with the pages, so
-    # they are never broadcast.
+    # Most hashes stand on one page; places are looked at for the rest only.
     often = scratch.save(stands.groupBy("hash").agg(F.count("*").alias("n"), F.min("site").alias("site")).filter(f"n >= {int(min_pages)}"), "often")
-    places = scratch.save(stands.select("key", "main", "hash").join(often.select("hash").hint("merge"), "hash"), "places")
+    places = scratch.save(meet(stands.select("key", "main", "hash"), often.select("hash"), ["hash"]), "places")
     counted = places.select("hash", "main").distinct().groupBy("hash").agg(F.count("*").alias("pages")).filter(f"pages >= {int(min_pages)}")
     hosts = found.select("site", "main").distinct().groupBy("site").agg(F.count("*").alias("n"))
     named = counted.join(often.select("hash", "site"), "hash").join(hosts, "site")
-    template = scratch.save(named.filter(F.col("pages") >= share * F.col("n")).select("hash"), "template")
-    return scratch.save(places.join(template.hint("merge"), "hash").groupBy("key").agg(F.collect_set("hash").alias("gone")), "gone")
+    template = named.filter(F.col("pages") >= share * F.col("n")).select("hash")
+    return meet(places, template, ["hash"]).groupBy("key").agg(F.collect_set("hash").alias("gone"))
 
 
 def extract_text(pages: DataFrame, keep: list[str] = ("page_id", "url"), url_col: str = "url", html_col: str = "html", share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -294,6 +292,6 @@ def extract_text(pages: DataFrame, keep: list[str] = ("page_id", "url"), url_col
     src = pages.select(*(F.col(c).alias(f"k_{c}") for c in keep), key, host.alias("host"), F.col(html_col).alias("html"))
     fields = lambda df, n: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:n])
     stored = src.mapInArrow(_stored, fields(src, -2) + ", blocks binary")
-    met = stored.join(gone.hint("merge"), "key", "left").select(*(f"k_{c}" for c in keep), "blocks", "gone")
+    met = meet(stored, gone, ["key"], "left").select(*(f"k_{c}" for c in keep), "blocks", "gone")
     out = met.mapInArrow(_left, fields(met, -2) + ", text string").select(*(F.col(f"k_{c}").alias(c) for c in keep), "text")
     return out.select(*keep, "text", F.length("text").cast("long").alias("n_chars"))

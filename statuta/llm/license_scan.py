@@ -149,7 +149,7 @@ def license_scan(docs: DataFrame, keep: list[str] = ("doc_id",), text_col: str =
     # Words beside those of any template can't be shared, so they don't count for the length.
     fits = met.filter((F.size("words") >= F.col("need")) & (F.size("ranked") - F.col("place") >= F.col("need")))
     shared = fits.select("row", "label", "need", F.size(F.array_intersect("words", "ranked")).alias("shared"), F.size("ranked").alias("size")).filter("shared >= need")
-    hits = scratch.save(shared.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("share")), "hits")
+    hits = shared.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("share"))
     labels = F.array_union("base", F.coalesce("found", F.array().cast("array<string>")))
     return base.join(hits, "row", "left").select(
         *(F.col(f"k_{c}").alias(c) for c in keep),

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Scratch, free_name, mix
+from .shared import Scratch, free_name, meet, mix
 from .words import Words, pieces
 
 _U = np.uint64
@@ -117,26 +117,23 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, open_docs: int = OPEN
 
     place = ["doc_id", "text_hash", "line"]
 
-    def frequent(filed: DataFrame, least: int, name: str) -> DataFrame:
-        """``filed`` with a key on so many lines. Keys are written before they are joined, so that a hot one can be split."""
-        often = scratch.save(filed.groupBy("key").agg(F.count("*").alias("rows")).filter(f"rows >= {int(least)}").select("key"), name)
-        return filed.join(often.hint("merge"), "key")
+    def frequent(filed: DataFrame, least: int) -> DataFrame:
+        """``filed`` with a key on so many lines."""
+        return meet(filed, filed.groupBy("key").agg(F.count("*").alias("rows")).filter(f"rows >= {int(least)}").select("key"), ["key"])
 
     def met(filed: DataFrame, least: int, name: str) -> tuple[DataFrame, DataFrame]:
         """(key, place) of the keys in at least so many documents, and the keys with their first document."""
         # Most keys stand alone; documents are looked at for the rest only.
-        places = scratch.save(frequent(filed, least, f"often_{name}"), f"places_{name}")
+        places = scratch.save(frequent(filed, least), f"places_{name}")
         spread = places.select("key", "doc_id", "text_hash").distinct().groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
-        spread = spread.filter(f"docs >= {int(least)}").select("key", F.col("first.doc_id").alias("f_id"), F.col("first.text_hash").alias("f_hash"))
-        return places, scratch.save(spread, f"spread_{name}")
+        return places, spread.filter(f"docs >= {int(least)}").select("key", F.col("first.doc_id").alias("f_id"), F.col("first.text_hash").alias("f_hash"))
 
     paired = lines.select("at", F.explode(_keys(TEMPLATES | {PARTS: _PAIRS})).alias("key"))
-    near = scratch.save(frequent(paired, open_docs, "pairs").select("at").distinct(), "near")
-    opened = lines.join(near.hint("merge"), "at").select(*place, F.explode(_keys(TEMPLATES)).alias("key"))
+    opened = meet(lines, frequent(paired, open_docs).select("at").distinct(), ["at"]).select(*place, F.explode(_keys(TEMPLATES)).alias("key"))
     dropped = None
     for name, filed, least in (("whole", lines.select(*place, F.xxhash64("leaf", "parts").alias("key")), min_docs), ("open", opened, open_docs)):
         places, spread = met(filed, least, name)
-        some = places.join(spread.hint("merge"), "key").filter("doc_id <> f_id or text_hash <> f_hash").select(*place)
+        some = meet(places, spread, ["key"]).filter("doc_id <> f_id or text_hash <> f_hash").select(*place)
         dropped = some if dropped is None else dropped.union(some)
     by_doc = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias(gone_))
     by_doc = by_doc.select(F.col("doc_id").alias(f"{id_}_2"), F.col("text_hash").alias(text_), gone_)

@@ -295,20 +295,20 @@ def _arrays() -> list[F.Column]:
     return [F.array(*(F.col(f"s_{x}").cast("string") for x in NAMES)).alias("sums"), F.array(*(F.col(f"p_{i}_{j}").cast("string") for i, j in PAIRS)).alias("products")]
 
 
-def _starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
+def _starts(rows: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
     # Exact medians, as the statistics are integers of a bounded range.
     median = lambda what, k: F.expr(f"cast(percentile({what}, 0.5) as double)").alias(f"m{k}")
     both = [F.col(f"m{k}") for k in range(len(NAMES))]
-    mid = scratch.save(rows.groupBy(*KEY).agg(*(median(f"f_{x}", k) for k, x in enumerate(NAMES))).select(*KEY, F.array(*both).alias("mid")), "mid")
+    mid = scratch.save(rows.groupBy(*KEY).agg(*(median(f"f_{x}", k) for k, x in enumerate(NAMES))).select(*KEY, F.array(*both).alias("mid")), "mid", parts)
     off = _met(rows, mid).groupBy(*KEY).agg(*(median(f"abs(f_{x} - mid[{k}])", k) for k, x in enumerate(NAMES))).select(*KEY, F.array(*both).alias("off"))
-    off = scratch.save(mid.join(off, KEY), "off")
+    off = scratch.save(mid.join(off, KEY), "off", parts)
     # Transformed rows as integers of 14 bits, whose products sum up exactly.
     z = {f"z{k}": F.expr(f"(f_{x} - mid[{k}]) / sqrt(pow(1.4826 * off[{k}], 2) + {(SCALE * FEATURES[x][1]) ** 2})") for k, x in enumerate(NAMES)}
     around = _met(rows, off).withColumns(z).withColumn("norm", F.expr(f"greatest(1e-9, sqrt({' + '.join(f'z{k} * z{k}' for k in range(len(NAMES)))}))"))
     around = around.withColumns({f"{t}{k}": F.expr(f"cast(round(16384 * {sql.format(k=k)}) as long)") for t, sql in (("t", "tanh(z{k})"), ("u", "z{k} / norm")) for k in range(len(NAMES))})
     summed = around.groupBy(*KEY).agg(*(F.expr(f"sum({t}{i} * {t}{j})").alias(f"{t}_{i}_{j}") for t in "tu" for i, j in PAIRS))
     flat = summed.select(*KEY, *(F.array(*(F.col(f"{t}_{i}_{j}") for i, j in PAIRS)).alias(name) for t, name in (("t", "tanh"), ("u", "sign"))))
-    return scratch.save(off.join(flat, KEY).mapInPandas(_started, PARAMS), "starts")
+    return scratch.save(off.join(flat, KEY).mapInPandas(_started, PARAMS), "starts", parts)
 
 
 def _fit(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -317,7 +317,9 @@ def _fit(rows: DataFrame, scratch: Scratch) -> DataFrame:
     levels = F.array(F.struct("g_lang", "g_source"), F.struct("g_lang", F.lit("*").alias("g_source")), F.struct(F.lit("*").alias("g_lang"), F.lit("*").alias("g_source")))
     wide = good.select(F.explode(levels).alias("g"), *(f"f_{x}" for x in NAMES)).select("g.g_lang", "g.g_source", *(f"f_{x}" for x in NAMES))
 
-    params, done, factor = _starts(wide, scratch), None, _factor(COVERAGE)
+    # Tables of estimates have a row a group and start: so many files.
+    parts = 1 + good.select(*KEY).distinct().count() // 1000
+    params, done, factor = _starts(wide, scratch, parts), None, _factor(COVERAGE)
     key = [*KEY, "start"]
     best = W.partitionBy(*KEY).orderBy("log_det", "start")
     for step in range(1, MAX_STEPS + 1):
@@ -327,28 +329,28 @@ def _fit(rows: DataFrame, scratch: Scratch) -> DataFrame:
         chosen = binned.withColumn("inner", F.sum("n").over(upto) - F.col("n")).withColumn("all", F.sum("n").over(W.partitionBy(*key))).filter(f"inner < {COVERAGE} * all")
         exact = lambda c: F.expr(f"sum(cast({c} as decimal(38,0)))").alias(c)
         sums = chosen.groupBy(*key).agg(F.sum("n").alias("n"), F.max("before").alias("before"), *(exact(f"s_{x}") for x in NAMES), *(exact(f"p_{i}_{j}") for i, j in PAIRS))
-        made = scratch.save(sums.select(*key, "n", "before", *_arrays()).mapInPandas(_stepped(factor), PARAMS), f"step_{step}")
+        made = scratch.save(sums.select(*key, "n", "before", *_arrays()).mapInPandas(_stepped(factor), PARAMS), f"step_{step}", parts)
         if step < TRIALS:
             params = made
             continue
         if step == TRIALS:
-            made = scratch.save(made.withColumn("rank", F.row_number().over(best)).filter("rank = 1").drop("rank"), "best")
+            made = scratch.save(made.withColumn("rank", F.row_number().over(best)).filter("rank = 1").drop("rank"), "best", parts)
         settled = made if step == MAX_STEPS else made.filter("not open")
         done, params = settled if done is None else done.union(settled), made.filter("open")
         if params.isEmpty():
             break
-    done = scratch.save(done, "done")
+    done = scratch.save(done, "done", parts)
 
     # Reweighting: one more aggregation over the rows that the least determinant takes for regular.
     limit = chi2_quantile(REWEIGHT, len(NAMES))
     sizes = wide.groupBy(*KEY).agg(F.count("*").alias("size"))
     regular = _met(wide, done).filter(_distance() <= limit).groupBy(*KEY).agg(*_sums())
-    found = scratch.save(regular.select(*KEY, "n", *_arrays()).join(sizes, KEY), "regular")
+    found = scratch.save(regular.select(*KEY, "n", *_arrays()).join(sizes, KEY), "regular", parts)
     named = lambda t: [F.col(c).alias(f"{t}_{c}") for c in ("n", "size", "sums", "products")]
     whole = found.filter("g_lang = '*'").select(*named("whole"))  # one row
     langs = found.filter("g_source = '*' and g_lang <> '*'").select("g_lang", *named("lang"))
     met = found.filter("g_source <> '*'").join(langs, "g_lang").crossJoin(F.broadcast(whole))
-    return scratch.save(met.mapInPandas(_shrunk, "g_lang string, g_source string, centre array<double>, root array<double>"), "estimates")
+    return scratch.save(met.mapInPandas(_shrunk, "g_lang string, g_source string, centre array<double>, root array<double>"), "estimates", parts)
 
 
 def _scored(rows: DataFrame, estimates: DataFrame, tail: float) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _U = np.uint64
 #: Most rows of an Arrow batch: texts may be long, and both sides hold several batches.
@@ -58,9 +58,10 @@ class Scratch:
         if _scopes:
             _scopes[-1].append(self)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+        """``parts``: files of a table known to be small."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        (df if parts is None else df.coalesce(parts)).write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -92,6 +93,18 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Sort-merge join for tables that grow with the corpus, with a shuffle of its own on both sides.
+
+    Where ``right`` is an aggregate by the keys, a plain join would share its shuffle, and adaptive
+    execution couldn't split a hot key; a hash of the keys beside them makes the join's shuffle
+    another one. Neither side is broadcast.
+    """
+    also = free_name([*left.columns, *right.columns], "key_hash")
+    hashed = lambda df: df.withColumn(also, F.xxhash64(*keys))
+    return hashed(left).join(hashed(right).hint("merge"), [*keys, also], how).drop(also)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (the public splitmix64 constants)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -15,7 +15,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import Scratch
+from .shared import Scratch, meet
 from .tokens import text_counts, tokenizer_path
 from .words import pieces
 
@@ -57,8 +57,7 @@ def token_counts(docs: DataFrame, cache: str | None = None, id_col: str = "doc_i
     distinct = missing.groupBy("digest").agg(F.first("text").alias("text"))
     distinct.mapInArrow(_counted(path), CACHE_SCHEMA).write.mode("append").parquet(stored)
 
-    # Two calls at once may both append a text; their counts are equal. Written before it is
-    # joined, so that the rows of a very common text can be dealt out over several tasks.
-    known = scratch.save(spark.read.schema(CACHE_SCHEMA).parquet(stored).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "known")
+    # Two calls at once may both append a text; their counts are equal.
+    known = spark.read.schema(CACHE_SCHEMA).parquet(stored).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     keys = src.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return keys.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return meet(keys, known, ["digest"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
