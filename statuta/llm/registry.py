@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines, dedup_sql
 from .mixing import mix_sources, mixed_sql
 from .near_dup import near_dup_groups
 from .packing import pack_documents
+from .part_codes import codes_sql, part_codes
 from .quality import quality_verdicts
 from .token_counts import token_counts
 from .url_filter import url_verdicts, verdicts_sql
@@ -64,6 +65,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes(table(spark, sf_dir, "embeddings"))
+
+
 def top_k_sql() -> str:
     fine = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
     return f"""
@@ -76,7 +81,7 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_minhash_near_dedup, op2_quality_rules, op3_packing, op4_license_scan, op5_source_mixing, op6_line_dedup, op7_html_extraction, op8_url_filter, op9_exact_top_k, op10_token_counts)
+    for q in (op1_minhash_near_dedup, op2_quality_rules, op3_packing, op4_license_scan, op5_source_mixing, op6_line_dedup, op7_html_extraction, op8_url_filter, op9_exact_top_k, op10_token_counts, op13_part_codes)
 }
 ORACLES: dict[str, str] = {
     "op4_license_scan": scan_sql(),
@@ -84,4 +89,5 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": dedup_sql(),
     "op8_url_filter": verdicts_sql(),
     "op9_exact_top_k": top_k_sql(),
+    "op13_part_codes": codes_sql(),
 }
