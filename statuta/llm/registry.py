@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ball_tree import top_k
+from .divergence import divergence_sql, source_divergence
 from .html_extract import extract_text
 from .license_scan import license_scan, scan_sql
 from .line_dedup import dedup_lines, dedup_sql
@@ -65,6 +66,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_codes(table(spark, sf_dir, "embeddings"))
 
@@ -81,7 +86,7 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_minhash_near_dedup, op2_quality_rules, op3_packing, op4_license_scan, op5_source_mixing, op6_line_dedup, op7_html_extraction, op8_url_filter, op9_exact_top_k, op10_token_counts, op13_part_codes)
+    for q in (op1_minhash_near_dedup, op2_quality_rules, op3_packing, op4_license_scan, op5_source_mixing, op6_line_dedup, op7_html_extraction, op8_url_filter, op9_exact_top_k, op10_token_counts, op11_source_divergence, op13_part_codes)
 }
 ORACLES: dict[str, str] = {
     "op4_license_scan": scan_sql(),
@@ -89,5 +94,6 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": dedup_sql(),
     "op8_url_filter": verdicts_sql(),
     "op9_exact_top_k": top_k_sql(),
+    "op11_source_divergence": divergence_sql(),
     "op13_part_codes": codes_sql(),
 }
