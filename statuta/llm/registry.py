@@ -15,6 +15,7 @@ from .mixing import mix_sources, mixed_sql
 from .near_dup import near_dup_groups
 from .packing import pack_documents
 from .part_codes import codes_sql, part_codes
+from .personal_data import digests, find_personal_data
 from .quality import quality_verdicts
 from .token_counts import token_counts
 from .url_filter import url_verdicts, verdicts_sql
@@ -70,6 +71,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_codes(table(spark, sf_dir, "embeddings"))
 
@@ -86,7 +91,7 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_minhash_near_dedup, op2_quality_rules, op3_packing, op4_license_scan, op5_source_mixing, op6_line_dedup, op7_html_extraction, op8_url_filter, op9_exact_top_k, op10_token_counts, op11_source_divergence, op13_part_codes)
+    for q in (op1_minhash_near_dedup, op2_quality_rules, op3_packing, op4_license_scan, op5_source_mixing, op6_line_dedup, op7_html_extraction, op8_url_filter, op9_exact_top_k, op10_token_counts, op11_source_divergence, op12_personal_data, op13_part_codes)
 }
 ORACLES: dict[str, str] = {
     "op4_license_scan": scan_sql(),
