@@ -275,7 +275,8 @@ def _votes(text: str, span: Span, held: Held, gazetteers: dict) -> tuple[int, in
         listed = _vote(digits[0] in "3456" or "2221" <= digits[:4] <= "2720", True)
     elif kind == PHONE:
         groups = re.findall(r"[0-9]+", own)
-        form = _vote(own[0] in "+(" or len(groups) > 2 and max(map(len, groups)) < 5, len(groups) == 1)
+        # An international prefix, an area code in brackets or with a trunk zero, or three, three and four digits.
+        form = _vote(own[0] in "+(" or len(groups) > 2 and groups[0][0] == "0" or list(map(len, groups)) == [3, 3, 4] and groups[0][0] > "1", True)
         check = _vote(8 <= len(digits) <= 15 and len(set(digits)) > 2, True)
         code = digits if own[0] == "+" else digits[2:] if digits[:2] == "00" else ""
         listed = _vote(any(code[:k] in gazetteers["codes"] for k in (1, 2, 3)), bool(code))
