@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -41,3 +42,22 @@ def ship_package(spark: SparkSession) -> None:
             z.write(path, path.relative_to(here.parent))
     sc.addPyFile(out)
     _shipped.add(sc.applicationId)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` worked out once and kept in the folder that the cluster shares; its lineage ends there.
+
+    The folder is the session's ``spark.checkpoint.dir``; only a session of one process gets one of
+    its own where none is set. Spark removes the files when the result is no longer referenced, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` says so.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError(f"set spark.checkpoint.dir to a folder that all hosts of {sc.master} see")
+            folder = "file://" + tempfile.mkdtemp(prefix="statuta-checkpoints-")
+            df.sparkSession.conf.set("spark.checkpoint.dir", folder)
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
