@@ -348,22 +348,3 @@ def parse_structure(pages: DataFrame, text_col: str = "normalized_text") -> Data
 def structure_counts(elements: DataFrame, key: str = DOC) -> DataFrame:
     conf = lambda x: F.count_if(F.col("structure_confidence") == x)
     return elements.groupBy(key).agg(F.count("*").alias("elements"), conf("high").alias("high"), conf("medium").alias("medium"), conf("uncertain").alias("uncertain"), F.count_if(F.col("requires_manual_review") == 1).alias("review"))
-
-
-#: More levels than any tree of the parser has.
-MAX_LEVELS = 100
-
-
-def page_ranges(elements: DataFrame) -> DataFrame:
-    """Page range of every element with all below it: ranges rise one nesting level a join, summed up at each parent."""
-    links = elements.select("document_id", F.col("element_id").alias("at"), "parent_id", F.col("page_start").alias("first_page"), F.col("page_end").alias("last_page")).persist()
-    parents = links.select("document_id", F.col("at").alias("parent_id"), F.col("parent_id").alias("next"))
-    whole = [F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page")]
-    levels = [links]
-    while not levels[-1].filter("parent_id is not null").isEmpty():
-        if len(levels) > MAX_LEVELS:
-            raise ValueError("parent links form a circle")
-        below = levels[-1].filter("parent_id is not null").groupBy("document_id", "parent_id").agg(*whole)
-        risen = below.join(parents, ["document_id", "parent_id"]).select("document_id", F.col("parent_id").alias("at"), F.col("next").alias("parent_id"), "first_page", "last_page")
-        levels.append(risen.persist())
-    return reduce(DataFrame.union, levels).groupBy("document_id", F.col("at").alias("element_id")).agg(*whole)

@@ -1,4 +1,11 @@
-from statuta.operators import segments as G, structure as T
+import json
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from statuta.operators import segments as G, structure as T, tree
 from statuta.plans.structure_queries import DECREE, structure_page_ranges
 
 EXPECTED = [
@@ -43,7 +50,7 @@ def test_page_continuation_and_ranges(spark):
     made = T.parse_structure(pages)
     last = made.orderBy("element_order").collect()[-1]
     assert last.element_text == "El texto que continúa aquí." and (last.page_start, last.page_end) == (1, 2)
-    assert {r.last_page for r in T.page_ranges(made).collect()} == {2}
+    assert {r.last_page for r in tree.page_ranges(made).collect()} == {2}
 
 
 def test_page_ranges_of_every_order(spark, tmp_path):
@@ -54,11 +61,98 @@ def test_page_ranges_of_every_order(spark, tmp_path):
 
 def test_page_ranges_rise_through_all_levels(spark):
     rows = [("D", f"E{k}", f"E{k - 1}" if k else None, 50 - k, 50 + k) for k in range(12)] + [("D", "F", "E3", 1, 2), ("X", "E0", None, 7, 7), ("X", "E1", "gone", 3, 3)]
-    made = T.page_ranges(spark.createDataFrame(rows, "document_id string, element_id string, parent_id string, page_start int, page_end int"))
+    made = tree.page_ranges(spark.createDataFrame(rows, "document_id string, element_id string, parent_id string, page_start int, page_end int"))
     got = {(r.document_id, r.element_id): (r.first_page, r.last_page) for r in made.collect()}
     assert got == {("D", f"E{k}"): (1 if k <= 3 else 39, 61) for k in range(12)} | {("D", "F"): (1, 2), ("X", "E0"): (7, 7), ("X", "E1"): (3, 3)}
 
 
+def _random_elements(seed, n, docs=6):
+    """Flat rows of random trees; children may stand before their parents."""
+    rng = random.Random(seed)
+    rows = []
+    for d in range(docs):
+        size = rng.randrange(0, n)
+        place = rng.sample(range(size), size)
+        for k in range(size):
+            parent = None if k == 0 or rng.random() < 0.1 else f"E{rng.randrange(max(0, k - 5), k)}" if rng.random() < 0.95 else "gone"
+            rows.append((f"D{d}", f"E{k}", parent, place[k], rng.choice([None, rng.randrange(50)]), rng.randrange(50), rng.choice(["x", 'q"\\ \n{[]}', None]), rng.randrange(2)))
+    return rows
+
+
+ELEMENT_SCHEMA = "document_id string, element_id string, parent_id string, element_order int, page_start int, page_end int, element_text string, requires_manual_review int"
+
+
+def _plain_trees(rows):
+    """doc -> (rows in pre-order with their subtree, nested roots)."""
+    out = {}
+    for doc in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == doc), key=lambda r: r[3])
+        ids, below = {r[1] for r in own}, defaultdict(list)
+        for r in own:
+            below[r[2] if r[2] in ids else None].append(r)
+        order = []
+
+        def walk(r, depth):
+            at = len(order)
+            order.append(None)
+            children = [walk(c, depth + 1) for c in below[r[1]]]
+            inside = [r, *(x[0] for x in order[at + 1 :])]
+            starts = [x[4] for x in inside if x[4] is not None]
+            order[at] = (r, at, len(inside), depth, min(starts, default=None), max(x[5] for x in inside), sum(x[7] for x in inside))
+            node = {"element_id": r[1], "parent_id": r[2], "requires_manual_review": r[7] == 1} | ({"element_text": r[6]} if r[6] is not None else {}) | {"children": children}
+            return node
+
+        out[doc] = ([walk(r, 0) for r in below[None]], order)
+    return out
+
+
+@pytest.mark.parametrize("seed,n", [(1, 40), (2, 200)])
+def test_trees_equal_a_plain_builder(spark, seed, n):
+    rows = _random_elements(seed, n)
+    frame = spark.createDataFrame([(*r, "a clash") for r in rows], ELEMENT_SCHEMA + ", depth string")
+    measures = {"first": ("min", "page_start"), "last": ("max", "page_end"), "reviews": ("sum", "requires_manual_review")}
+    got = {(r.document_id, r.element_id): (r.preorder, r.subtree, r.depth, r.first, r.last, r.reviews) for r in tree.with_labels(frame, measures).collect()}
+    want = _plain_trees(rows)
+    assert got == {(doc, o[0][1]): o[1:] for doc, (_, order) in want.items() for o in order}
+    made = tree.nested_documents(frame, ["element_id", "parent_id", "requires_manual_review"], ["element_text"]).collect()
+    assert {r.document_id: json.loads(r.structure) for r in made} == {doc: roots for doc, (roots, _) in want.items()}
+    assert {r.document_id: r.elements_count for r in made} == {doc: len(order) for doc, (_, order) in want.items()}
+
+
+def test_very_deep_and_very_wide_trees():
+    n = 200_000
+    long = 50_000
+    chain = np.arange(-1, long - 1)
+    pre, size, depth = tree.interval_labels(chain)
+    assert pre.tolist() == depth.tolist() == list(range(long)) and size.tolist() == list(range(long, 0, -1))
+    assert tree.rolled_up(np.ones(long, dtype=np.int64), chain, depth, "sum").tolist() == size.tolist()
+    pre, size, depth = tree.interval_labels(np.r_[-1, np.zeros(n, dtype=np.int64)])
+    assert pre.tolist() == list(range(n + 1)) and size[0] == n + 1 and depth.max() == 1
+    assert [x.tolist() for x in tree.interval_labels(np.empty(0, dtype=np.int64))] == [[], [], []]
+    with pytest.raises(tree.BrokenTree):
+        tree.interval_labels(np.array([1, 2, 0, -1]))
+    with pytest.raises(tree.BrokenTree):
+        tree.parent_places(["a", "a"], [None, None])
+
+
+def test_nested_decree(spark):
+    made = T.parse_structure(_pages(spark))
+    (row,) = tree.nested_documents(made).collect()
+    flat = made.orderBy("element_order").collect()
+    found = []
+
+    def walk(nodes, parent):
+        for node in nodes:
+            assert node["parent_id"] == parent
+            found.append(node["element_id"])
+            walk(node["children"], node["element_id"])
+
+    walk(json.loads(row.structure), None)
+    assert sorted(found) == sorted(r.element_id for r in flat) and row.elements_count == len(flat)
+    first = json.loads(row.structure)[0]
+    assert first["element_type"] == "metadata_block" and first["requires_manual_review"] is False and "element_text" not in first and first["children"][0]["content_status"] == "text_extracted"
+
+
 def _sentences(spark, text):
     row = ("D", "D_P001", None, 1, "paragraph", text, 1, 1, 0, None, None)
     schema = "document_id string, element_id string, parent_id string, element_order int, element_type string, element_text string, page_start int, page_end int, requires_manual_review int, review_reason_code string, review_reason_note string"
