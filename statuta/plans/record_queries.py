@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..operators import duplicates as D, eligibility as E, registry as R, splitting as S, validation as V
+from ..operators.metric_join import join_work
 from ..sources import writers
 from .base import query, table
 
@@ -125,6 +126,19 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.near_duplicates(D.with_groups(table(spark, sf_dir, "benchmark")), threshold=0.4)
 
 
+@query()
+def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different document texts with a ratio of at least 0.9."""
+    return D.near_duplicates(D.with_groups(table(spark, sf_dir, "documents")), "lang")
+
+
+@query()
+def near_duplicate_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of document texts that the metric join compares, against those of the length bands."""
+    grouped = D.with_groups(table(spark, sf_dir, "documents"))
+    return join_work(grouped.groupBy(F.col("duplicate_group_id").alias("id")).agg(F.min("normalized_text").alias("text")), 0.9)
+
+
 @query("""
 select doc_id, label, cast((row_number() over (partition by label order by sha256('42' || chr(0) || doc_id), doc_id) - 1) % 5 as int) as fold
 from (select doc_id, quality || '/' || toxic as label from labels)""")
