@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: event table -> (key, id prefix, parent columns)
@@ -92,8 +94,8 @@ def is_json(c: Column | str) -> Column:
     return F.try_parse_json(text).isNotNull()
 
 
-def append(events: DataFrame, path: str, key: str, parents: dict[str, DataFrame] | None = None) -> None:
-    """Append event rows after their keys and parents are checked; files appear in one commit."""
+def require_appendable(events: DataFrame, path: str, key: str, parents: dict[str, DataFrame] | None = None) -> None:
+    """The keys stand once and are new, and the parents are known."""
     spark = events.sparkSession
     if not key_violations(events, [key]).isEmpty():
         raise RegistryError(f"repeated {key}")
@@ -103,31 +105,48 @@ def append(events: DataFrame, path: str, key: str, parents: dict[str, DataFrame]
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         known = None
-    if known is not None and not events.join(known, key, "left_semi").isEmpty():
+    if known is not None and not events.join(known.select(key), key, "left_semi").isEmpty():
         raise RegistryError(f"{key} is registered")
     for column, parent in (parents or {}).items():
         if not reference_violations(events, parent, column).isEmpty():
             raise RegistryError(f"unknown {column}")
+
+
+def append(events: DataFrame, path: str, key: str, parents: dict[str, DataFrame] | None = None) -> None:
+    """Append event rows after their keys and parents are checked; files appear in one commit.
+
+    For one writer at a time: two that check at once may both append. ``sources.commit_log`` holds
+    against that.
+    """
+    require_appendable(events, path, key, parents)
     events.write.mode("append").parquet(path)
 
 
+#: Names the try that wrote child rows; the event row names the one that counts.
+ATTEMPT = "attempt_id"
+
+
 def append_with_children(events: DataFrame, path: str, key: str, children: dict[str, DataFrame], parents: dict[str, DataFrame] | None = None) -> None:
     """Append child rows (path -> rows that hold ``key``) and then the events: the event is the commit.
 
-    A run that stops in between leaves child rows without an event, which ``committed`` passes over;
-    rows of another event are refused.
+    Everything is checked before anything is written, and rows of another event are refused. Child
+    rows carry the id of this try, and so does the event: what a run left that stopped in between, or
+    another one wrote for the same key, is passed over by ``committed``.
     """
     for rows in children.values():
         if not rows.join(events.select(key), key, "left_anti").isEmpty():
             raise RegistryError(f"child rows of another {key}")
+    require_appendable(events, path, key, parents)
+    attempt = F.lit(uuid.uuid4().hex)
     for child_path, rows in children.items():
-        rows.write.mode("append").parquet(child_path)
-    append(events, path, key, parents)
+        rows.withColumn(ATTEMPT, attempt).write.mode("append").parquet(child_path)
+    append(events.withColumn(ATTEMPT, attempt), path, key, parents)
 
 
 def committed(children: DataFrame, events: DataFrame, key: str) -> DataFrame:
-    """Child rows whose event is registered."""
-    return children.join(events.select(key).distinct(), key, "left_semi")
+    """Child rows whose event is registered, and by the same try where both sides name it."""
+    keys = [key, *([ATTEMPT] if ATTEMPT in children.columns and ATTEMPT in events.columns else [])]
+    return children.join(events.select(*keys).distinct(), keys, "left_semi")
 
 
 def prior_model(events: DataFrame, group: str, configurations: list[str], designation: str = "Model A", key: str = "model_id", created: str = "created_at", status: str = "model_status", metrics: str = "final_test_metrics_json") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.registry import append_with_children
+from ..operators.registry import append_with_children, committed
 from ..operators.validation import require_equal
 
 
@@ -94,7 +94,7 @@ def publish_run(data: DataFrame, path: str, events: DataFrame, registry: str, ke
     try:
         found = artifacts(spark, run_id, {"table": path}).withColumnRenamed("run_id", key)
         append_with_children(events, registry, key, {artifact_registry: found}, parents)
-        stored = spark.read.parquet(artifact_registry).filter(F.col(key) == run_id)
+        stored = committed(spark.read.parquet(artifact_registry), spark.read.parquet(registry), key).filter(F.col(key) == run_id)
         require_equal(found, stored, ["path", "bytes", "sha256"])
     except Exception:
         undo()
