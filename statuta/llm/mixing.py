@@ -57,9 +57,13 @@ def mix_sources(
     Sizes are characters. With ``weights`` a source not named gets none, without them shares are
     ``size ** alpha``; the whole mixture is as large as ``docs``. Null sources are a source of
     their own, null ids draw alike, repeated rows draw alike, empty texts weigh nothing but are
-    drawn with their source's rate; a source of no characters has rate 1. Equal places are ordered
+    drawn with their source's rate; a source of no characters has rate 1. Where ``weights`` give no source
+    of the table anything, no source with characters gets a copy; negative or non-finite weights raise
+    ValueError. Equal places are ordered
     by id and copy. An empty table gives none. Names of other columns don't matter.
     """
+    if weights and not all(math.isfinite(w) and w >= 0 for w in weights.values()):
+        raise ValueError("weights are finite numbers from 0 on")
     scratch = Scratch(docs.sparkSession, "mixing")
     sized = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0))).cast("double").alias("size"))
     if weights is None:
@@ -70,7 +74,7 @@ def mix_sources(
             wanted = F.when(F.col("source") == name, float(weight)).otherwise(wanted)
     sized = scratch.save(sized.withColumn("wanted", F.when(F.col("size") > 0, wanted).otherwise(0.0)), "sizes")
     whole = sized.agg(F.sum("size").alias("all"), F.sum("wanted").alias("weights"))
-    rates = sized.crossJoin(F.broadcast(whole)).select("source", F.when(F.col("size") > 0, F.col("wanted") / F.col("weights") * F.col("all") / F.col("size")).otherwise(1.0).alias("rate"))  # one row beside each source
+    rates = sized.crossJoin(F.broadcast(whole)).select("source", F.when(F.col("size") == 0, 1.0).when(F.col("weights") == 0, 0.0).otherwise(F.col("wanted") / F.col("weights") * F.col("all") / F.col("size")).alias("rate"))  # one row beside each source
     rates = scratch.save(rates.mapInPandas(_with_cdf, "source string, rate double, cdf array<double>").drop("rate"), "rates")
 
     own = [c for c in docs.columns if c not in (counts or ())]

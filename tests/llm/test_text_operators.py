@@ -310,3 +310,13 @@ def test_mixing(docs_of, spark, monkeypatch):
     assert twice.columns == ["doc_id", "text", "source", "cdf", "mix_cdf"] and per and all(v % 2 == 0 for v in per.values())
     assert {(r.cdf, r.mix_cdf) for r in twice.collect()} == {("a", "b")}
     assert mix_sources(docs_of([])).count() == 0
+
+
+def test_weights_that_name_no_source_give_no_copy(docs_of):
+    rows = [(k, "some text here", "en", "ab"[k % 2]) for k in range(40)] + [(100, "", "en", "empty"), (101, None, "en", None)]
+    for weights in ({"gone": 1.0}, {"a": 0.0}, {}):
+        assert {r.source for r in mix_sources(docs_of(rows), weights).collect()} <= {"empty", None}
+    assert {r.source for r in mix_sources(docs_of(rows), {"a": 1.0, "gone": 3.0}).collect()} <= {"a", "empty", None}
+    for bad in (-1.0, math.nan, math.inf):
+        with pytest.raises(ValueError):
+            mix_sources(docs_of(rows), {"a": bad})
