@@ -268,3 +268,8 @@ def resolve_path(c: Column, root: str) -> Column:
 def seeded_digest(seed: int, c: Column) -> Column:
     """Hex digest whose order is the seeded pseudo-random order of a key."""
     return F.sha2(F.concat(F.lit(str(seed)), F.lit("\0"), c.cast("string")), 256)
+
+
+def fingerprint(content: Column | str) -> Column:
+    """SHA-256 of bytes or of a text's UTF-8, as lower-case hex."""
+    return F.sha2(content, 256)

@@ -62,6 +62,11 @@ def proportional_count(vocabulary: int, share: tuple[int, int] = (70, 3770)) ->
     return round(vocabulary * share[0] / share[1])
 
 
+def proportional(vocabulary: Column, share: tuple[int, int] = (70, 3770)) -> Column:
+    """The same of a column."""
+    return F.bround(vocabulary * share[0] / share[1]).cast("long")
+
+
 def mutual_information(values: DataFrame, labels: DataFrame, key: str, label: str, digits: int = 12) -> DataFrame:
     """(term, mi): information in nats of each term's exact values, zero among them, about the label.
 

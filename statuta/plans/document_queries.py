@@ -63,7 +63,7 @@ def document_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, sha256(coalesce(text, '')) as sha256 from documents")
 def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.fingerprint(F.coalesce("text", F.lit(""))).alias("sha256"))
 
 
 @query("select page_id, regexp_replace(html, '<[^>\\n]+>', '', 'g') as text from pages")

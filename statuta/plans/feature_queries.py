@@ -125,9 +125,15 @@ def select_k_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.select_k_best(scored, 100).select(F.col("rank").cast("long").alias("rank"), "feature_index", "term", "mi")
 
 
-@query("select cast(436 as bigint) as model_a, cast(124 as bigint) as model_c")
+@query(r"""
+with w as (select distinct lang, unnest(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f\v]+')) as word from documents),
+n as (select lang, count(*) as vocabulary from w where word <> '' group by lang)
+select lang, vocabulary, cast(round_even(vocabulary * 70 / 3770, 0) as bigint) as model_a, cast(round_even(vocabulary * 20 / 3770, 0) as bigint) as model_c from n""")
 def proportional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.lit(V.proportional_count(23464)).cast("long").alias("model_a"), F.lit(V.proportional_count(23464, (20, 3770))).cast("long").alias("model_c"))
+    """Terms to keep of each language's words, in proportion to its vocabulary."""
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\r\f\x0B]+")).alias("word")).filter("word <> ''")
+    sizes = words.distinct().groupBy("lang").agg(F.count("*").alias("vocabulary"))
+    return sizes.select("lang", "vocabulary", V.proportional(F.col("vocabulary")).alias("model_a"), V.proportional(F.col("vocabulary"), (20, 3770)).alias("model_c"))
 
 
 @query(f"with {_values(_LABELLED)} select round(max(abs(case when term > 'm' then value else 0 end - round(value, 2))), 9) as max_difference from x")

@@ -115,10 +115,13 @@ def unequal_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.unequal_folds(counts, "fold", "n")
 
 
-@query("select configuration_id, model, macro_f1 from (values ('A1', 'A', 0.5::double), ('B1', null, 0.25::double)) as t(configuration_id, model, macro_f1)")
+@query(f"select configuration_id, case configuration_id when 'A1' then 'Model A' end as model, round(macro_f1, 9) as macro_f1, round(accuracy, 9) as accuracy from (select configuration_id, {_OVERALL} from ({_per_class(_P, 'configuration_id')}) group by configuration_id)")
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = spark.createDataFrame([("A1", "A", 0.5)], "configuration_id string, model string, macro_f1 double")
-    return M.compare_models([a, spark.createDataFrame([("B1", 0.25)], "configuration_id string, macro_f1 double")])
+    """The results of two configurations by column name; the second names no model."""
+    data = _predictions(spark, sf_dir)
+    found = {k: M.overall(M.confusion(data.filter(F.col("configuration_id") == k), "actual", "predicted", CLASSES), CLASSES).withColumn("configuration_id", F.lit(k)) for k in ("A1", "A2")}
+    both = M.compare_models([found["A1"].withColumn("model", F.lit("Model A")), found["A2"]])
+    return both.select("configuration_id", "model", F.round("macro_f1", 9).alias("macro_f1"), F.round("accuracy", 9).alias("accuracy"))
 
 
 @query("select doc_id, n / (2 * sum(1) over (partition by quality)) as weight from labels, (select count(*)::double as n from labels)")
@@ -184,12 +187,12 @@ def nested_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forests.nested_elimination(two, ["0", "1"], k, 6, step=0.5, inner_folds=2, settings=forests.Settings(trees=5, max_depth=5))[0]
 
 
-#: Least share of words of the smaller passage in common for two passages to be compared.
-OVERLAP = 0.5
+#: Least share of the larger turn's words in common for two turns to be compared.
+OVERLAP = 0.2
 
 
 @query(f"""
-with k as (select item_id, {_KEY} as k from benchmark),
+with k as (select conv_id * 1000 + turn as item_id, {_KEY} as k from conversations where text is not null),
 w as (select item_id, k, list_distinct(list_filter(string_split(k, ' '), lambda x: x <> '')) as x, list_filter(string_split(k, ' '), lambda x: x <> '') as t from k),
 p as (select *, list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) as b from w),
 j as (select a.item_id as a, b.item_id as b, a.k as ka, b.k as kb, len(a.x) as nx, len(b.x) as ny, len(a.b) as nu, len(b.b) as nv, len(list_intersect(a.x, b.x)) as common, len(list_intersect(a.b, b.b)) as two
@@ -197,8 +200,8 @@ j as (select a.item_id as a, b.item_id as b, a.k as ka, b.k as kb, len(a.x) as n
 select a, b, round(0.34 * common / least(nx, ny) + 0.31 * 2 * common / (nx + ny) + 0.28 * case when nu + nv > 0 then 2.0 * two / (nu + nv) else 0 end + 0.07 * least(length(ka), length(kb)) / greatest(length(ka), length(kb)), 9) as similarity
 from j where common >= {OVERLAP} * greatest(nx, ny)""")
 def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of every pair of benchmark passages that share half of the larger one's words."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", A.match_key(F.col("text")).alias("k"))
+    """Similarity of every pair of turns that share a fifth of the larger one's words."""
+    items = table(spark, sf_dir, "conversations").filter("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), A.match_key(F.col("text")).alias("k"))
     return A.similar_pairs(items, "item_id", "k", OVERLAP).select("a", "b", F.round(A.token_similarity(F.col("ka"), F.col("kb")), 9).alias("similarity"))
 
 

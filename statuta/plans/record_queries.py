@@ -214,7 +214,8 @@ def next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select printf('SEG_%06d', event_id) as segmentation_id, cast(user_id as varchar) as document_id from events where event_type = 'purchase' order by ts desc, event_id desc limit 1")
 def latest_completed_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.latest(_events(spark, sf_dir).filter("event_type = 'purchase'"), "segmentation_id").select("segmentation_id", "document_id")
+    events = _events(spark, sf_dir).withColumn("status", F.when(F.col("event_type") == "purchase", "Completed").otherwise("Failed"))
+    return R.latest(events, "segmentation_id", completed_only=True).select("segmentation_id", "document_id")
 
 
 @query("select o.o_orderkey, o.o_custkey from orders o left join customer c on o.o_custkey = c.c_custkey where c.c_custkey is null or c.c_nationkey % 5 is distinct from o.o_custkey % 5")

@@ -9,12 +9,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import fingerprint
+
 PAGE_SCHEMA = "document_id string, page_number int, raw_text string, extraction_method string"
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").load(path).select("path", "length", fingerprint("content").alias("sha256"))
 
 
 def pages_from_files(spark: SparkSession, path: str, extract: Callable[[bytes], list[str | None]], method: str = "text_layer") -> DataFrame:
