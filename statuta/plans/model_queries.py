@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import alignment as A, forests, metrics as M, splitting as S, tfidf as V
+from ..operators import alignment as A, forests, metrics as M, splitting as S, tfidf as V, tiled_alignment
 from .base import query, table
 
 CLASSES = ["regulative", "constitutive", "non_institutional"]
@@ -209,4 +209,4 @@ def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def statement_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of each conversation aligned with the same turns without every third."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("string").alias("item_id"), F.col("turn").alias("item_order"), A.match_key(F.coalesce("text", F.lit(""))).alias("match_key"))
-    return A.align(turns, turns.filter("item_order % 3 <> 2"))
+    return tiled_alignment.align(turns, turns.filter("item_order % 3 <> 2"))
