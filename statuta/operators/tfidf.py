@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import checkpointed
+
 #: Fixed value: words of two characters on, and the single letters that are words.
 TOKEN = r"(?U)\b(?:[aeouy]|\w{2,})\b"
 
@@ -88,12 +90,26 @@ def mutual_information(values: DataFrame, labels: DataFrame, key: str, label: st
     return some.join(none, "term").select("term", (F.col("some") + F.col("none")).alias("mi"))
 
 
+def with_rank(data: DataFrame, orders: list[Column], name: str = "rank") -> DataFrame:
+    """``data`` with its place (from 1) in the total order ``orders``, without one task for all.
+
+    Rows are dealt out by ranges of the order and kept so; a rank is the rows of the ranges before
+    plus the place within the range.
+    """
+    part = F.spark_partition_id()
+    ranged = checkpointed(data.repartitionByRange(*orders).withColumn("__range", part))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    # A row a range, as many as shuffle partitions at most.
+    before = sizes.withColumn("__before", F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).drop("__n")
+    place = F.row_number().over(W.partitionBy("__range").orderBy(*orders))
+    return ranged.join(F.broadcast(before), "__range").withColumn(name, place + F.col("__before")).drop("__range", "__before")
+
+
 def select_k_best(scores: DataFrame, k: int, score: str = "mi", index: str = "feature_index", digits: int = 12) -> DataFrame:
     """The k best features: at the cut-off the highest index stays; ``rank`` shows ties in index order."""
     rated = scores.withColumn("__s", F.round(score, digits))
-    best = rated.orderBy(F.desc("__s"), F.desc(index)).limit(k)
-    # k rows at most from here on.
-    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("__s"), index))).drop("__s")
+    best = with_rank(rated, [F.desc("__s"), F.desc(index)], "__place").filter(F.col("__place") <= k).drop("__place")
+    return with_rank(best, [F.desc("__s"), F.asc(index)]).withColumn("rank", F.col("rank").cast("int")).drop("__s")
 
 
 def matrix_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

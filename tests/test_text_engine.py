@@ -301,3 +301,15 @@ def test_sources_and_sinks(spark, tmp_path):
     assert made.first().manifest == '{"a":"x","b":1}'
     pages = readers.pages_from_files(spark, str(sheet), lambda data: [data.decode(), None])
     assert [(r.page_number, r.raw_text is None) for r in pages.orderBy("page_number").collect()] == [(1, False), (2, True)]
+
+
+def test_ranks_of_many_ties(spark):
+    from statuta.operators import tfidf as V
+
+    rng = random.Random(1)
+    rows = [(k, rng.choice([0.0, 0.0, 0.5, rng.random()])) for k in range(500)]
+    made = V.select_k_best(spark.createDataFrame(rows, "feature_index long, mi double").repartition(7), 320).collect()
+    best = sorted(rows, key=lambda r: (-round(r[1], 12), -r[0]))[:320]
+    want = {i: k for k, (i, _) in enumerate(sorted(best, key=lambda r: (-round(r[1], 12), r[0])), 1)}
+    assert {r.feature_index: r.rank for r in made} == want and len(made) == 320
+    assert V.select_k_best(spark.createDataFrame([], "feature_index long, mi double"), 3).count() == 0
