@@ -1,16 +1,18 @@
 """Main text of web pages by site template removal.
 
-Elements that never belong to an article (navigation, forms, scripts, adverts, comments and so on,
-by tag, role or class) are left out, as is text outside a marked ``main``. The subtrees of all
-remaining block elements, within an article and outside it, and the runs of text beside them are
-hashed, with their tags and texts; Spark counts on how many different pages of a host each hash
-stands, and subtrees that recur on ``SHARE`` of them are deleted, on ``MIN_PAGES`` at least whatever
-the host's size: a passage that some articles quote is no template of the site. Pages that are copies
-of each other hold the same article and count once, so a copied article isn't one either.
+The subtrees of all block elements of a page, whatever their tag or class, and the runs of text beside
+them are hashed, an element by the hashes of its children. Spark counts on how many different pages
+of a host each hash stands, and subtrees that recur on ``SHARE`` of them are deleted, on ``MIN_PAGES``
+at least whatever the host's size: a passage that some articles quote is no template of the site.
+Pages that are copies of each other hold the same article and count once, so a copied article isn't
+one either. Rules by tag, role and class then take what never belongs to an article and stands too
+seldom to be counted (navigation, forms, adverts, comments and so on), and text outside a marked
+``main``.
 
 Hashes are mixed with the host, so that counting moves 8-byte keys. Pages are parsed twice: the
 first time only hashes are stored, the second time a page's blocks go, compressed, to meet the
-hashes that are templates.
+hashes that are templates. Time and memory are in proportion to a page's markup, however deep it is
+nested.
 """
 
 from __future__ import annotations
@@ -35,13 +37,21 @@ SHARE, MIN_PAGES = 0.5, 3
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_OUT = frozenset("head title nav footer aside form script style noscript template iframe svg button select textarea input dialog menu canvas audio video datalist xmp noembed noframes".split())
+#: Elements whose content is no text of the page at all, and furniture, which is counted like all else.
+_MUTE = frozenset("head title script style noscript template iframe svg select textarea input canvas audio video datalist xmp noembed noframes".split())
+_OUT = frozenset("nav footer aside form button dialog menu".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _OUT_NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
     "alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar rail footer comment comments "
     "disqus reply replies respond share sharing social related recommended recommendations widget toolbar pagination pager masthead topbar".split()
 )
+#: Words that may stand beside these in a name: "share-bar" is furniture, "share-prices" is not.
+_LAYOUT_NAMES = frozenset(
+    "bar bars box boxes slot list lists item items link links button buttons icon icons wrap wrapper container content block section area panel unit zone group row col column grid inner outer "
+    "top bottom left right center main site page global primary secondary header head body title text label form field area post posts article articles story stories news content feed sticky fixed "
+    "mobile desktop small large big hidden js module component cookie policy message bar floating google".split()
+)
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -66,7 +76,7 @@ _NAME = re.compile(r"[a-z]+")
 
 def _left_out(tag: str, attrs: str, inside: bool) -> bool:
     """inside: within a marked article."""
-    if tag in _OUT or (tag == "header" and not inside):
+    if tag in _OUT and not (tag == "button" and inside) or (tag == "header" and not inside):
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
@@ -76,28 +86,38 @@ def _left_out(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name == "role" and value.strip() in _OUT_ROLES:
             return True
-        if name in ("class", "id") and not (inside and tag in _PROSE) and not _OUT_NAMES.isdisjoint(_NAME.findall(value)):
+        if name in ("class", "id") and not (inside and tag in _PROSE) and any(map(_furniture, value.split())):
             return True
     return False
 
 
+def _furniture(name: str) -> bool:
+    """A class or id of nothing but words for furniture and layout, one for furniture among them."""
+    words = {w for w in _NAME.findall(name) if len(w) > 1}
+    return not _OUT_NAMES.isdisjoint(words) and words <= _OUT_NAMES | _LAYOUT_NAMES
+
+
 class _Open:
-    __slots__ = ("tag", "skips", "article", "parts", "number")
+    __slots__ = ("tag", "mute", "ruled", "article", "parts", "number", "said")
 
-    def __init__(self, tag: str, skips: bool, article: int, number: int):
-        self.tag, self.skips, self.article, self.number = tag, skips, article, number
+    def __init__(self, tag: str, mute: bool, ruled: bool, article: int, number: int):
+        self.tag, self.mute, self.ruled, self.article, self.number = tag, mute, ruled, article, number
         self.parts: list[str] = []
+        self.said = False
 
 
 class Page:
-    """blocks: (text, numbers of the subtrees around it, 1 within main + 2 within an article); subtrees: number -> hash."""
+    """blocks: (text, number of the innermost element, 1 within main + 2 within an article) of what no
+    rule takes; parents, hashes: of all block elements, whose numbers begin at 1 and ascend from a parent
+    to its children; a hash is None where the element says nothing."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, list[int], int]] = []
-        self.subtrees: dict[int, int] = {}
-        self._stack = [_Open("", False, 0, 0)]
+        self.blocks: list[tuple[str, int, int]] = []
+        self.parents: list[int] = [0]
+        self.hashes: list[int | None] = [None]
+        self._stack = [_Open("", False, False, 0, 0)]
+        self._open: Counter = Counter()
         self._text: list[str] = []
-        self._made = 0
         self._parse(source)
         # A page has one main text, but any number of articles, teasers among them.
         if any(r & 1 for _, _, r in self.blocks):
@@ -112,18 +132,20 @@ class Page:
             text = " ".join("".join(self._text).split())
             self._text = []
             top = self._stack[-1]
-            if text and not top.skips:
-                around = [x.number for x in self._stack if x.number]
-                self.blocks.append((text, around, top.article))
+            if text:
+                self.blocks.append((text, top.number, top.article))
 
     def _close(self) -> None:
-        done = self._stack.pop()
-        if done.number:
-            self.subtrees[done.number] = _signed("\x01".join([done.tag, *done.parts]))
-        parts = self._stack[-1].parts
-        parts.append("<" + done.tag)
-        parts += done.parts
-        parts.append(">")
+        done, above = self._stack.pop(), self._stack[-1]
+        self._open[done.tag] -= 1
+        if done.said:
+            above.said = True
+            digest = _signed("\x01".join([done.tag, *done.parts]))
+            if done.tag in _BLOCK and done.tag not in ("html", "body", "main") and not done.mute:
+                self.hashes[done.number] = digest
+            above.parts.append(f"<{digest:x}")
+        elif not done.mute:
+            above.parts.append("<" + done.tag)
 
     def _pop_to(self, at: int) -> None:
         while len(self._stack) > at:
@@ -133,47 +155,54 @@ class Page:
 
     def _say(self, text: str) -> None:
         top = self._stack[-1]
-        if top.skips or not text:
+        if top.mute or not text:
             return
         said = html.unescape(text)
-        self._text.append(said)
+        if not top.ruled:
+            self._text.append(said)
         if (told := " ".join(said.split())):
             top.parts.append(told)
+            top.said = True
 
     def _start(self, tag: str, attrs: str) -> None:
         stack = self._stack
         if tag in _BLOCK:
             self._flush()
             # A block ends an open paragraph, unless another block stands between.
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if self._open["p"] else ():
                 if stack[k].tag == "p":
                     self._pop_to(k)
                     break
                 if stack[k].tag in _SCOPE:
                     break
-        if tag in _ENDS:
+        if tag in _ENDS and any(self._open[x] for x in _ENDS[tag][0]):
             ended, limit = _ENDS[tag]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in limit:
                     break
                 if stack[k].tag in ended:
                     self._pop_to(k)
-                    if tag != "tr":
+                    if tag != "tr" or not any(self._open[x] for x in ended):
                         break
+        top = stack[-1]
         if tag in _VOID:
-            if not stack[-1].skips and tag in ("br", "hr", "wbr"):
+            if not top.mute and not top.ruled and tag in ("br", "hr", "wbr"):
                 self._text.append("" if tag == "wbr" else " ")
             return
-        top = stack[-1]
-        skips = top.skips or _left_out(tag, attrs, top.article & 2 > 0)
+        mute = top.mute or tag in _MUTE
+        ruled = top.ruled or mute or _left_out(tag, attrs, top.article & 2 > 0)
         article = top.article | 2 * (tag == "article") | bool(tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", attrs, re.I))
-        number = 0
-        if not skips and tag in _BLOCK and tag not in ("html", "body", "main"):
-            self._made += 1
-            number = self._made
-        stack.append(_Open(tag, skips, article, number))
+        number = top.number
+        if not mute and tag in _BLOCK and tag not in ("html", "body", "main"):
+            number = len(self.parents)
+            self.parents.append(top.number)
+            self.hashes.append(None)
+        self._open[tag] += 1
+        stack.append(_Open(tag, mute, ruled, article, number))
 
     def _end(self, tag: str) -> None:
+        if not self._open[tag]:
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k].tag == tag:
                 if tag in _BLOCK:
@@ -209,30 +238,50 @@ def _signed(said: str, seed: int = 0) -> int:
     return digest - (1 << 64) if digest >= 1 << 63 else digest
 
 
-def parsed(source: str | None, host: str) -> tuple[list[tuple[str, list[int]]], int]:
-    """(blocks with the hashes around them, hash of the page's own text); hashes are the host's."""
-    page, site = Page(source or ""), xxhash.xxh64_intdigest(host)
-    # A run that is all of its element needs no hash beside the element's.
-    held = Counter(n for _, around, _ in page.blocks for n in around)
-    blocks = []
-    for text, around, _ in page.blocks:
-        hashes = [_signed(str(page.subtrees[n]), site) for n in around]
-        if not around or held[around[-1]] > 1:
-            hashes.append(_signed("\x01\x01" + text, site))
-        blocks.append((text, hashes))
-    return blocks, _signed("\n".join(page.own()), site)
+class Marked:
+    """A page with its hashes mixed with the host: ``hashes`` of all elements that say something (None for
+    others), ``runs`` of the blocks that are not all of their element, ``main`` of the page's own text."""
+
+    def __init__(self, source: str | None, host: str):
+        self.page, site = Page(source or ""), xxhash.xxh64_intdigest(host)
+        self.hashes = [None if h is None else _signed(str(h), site) for h in self.page.hashes]
+        inside = Counter(n for _, n, _ in self.page.blocks) + Counter(p for p, h in zip(self.page.parents, self.page.hashes) if h is not None)
+        self.runs = [_signed("\x01\x01" + text, site) if not n or inside[n] > 1 else None for text, n, _ in self.page.blocks]
+        self.main = _signed("\n".join(self.page.own()), site)
+
+    def keys(self) -> list[int]:
+        return sorted({h for h in (*self.hashes, *self.runs) if h is not None})
+
+    def packed(self) -> list:
+        """[parents, hashes, blocks as (text, element, run)] of the elements around blocks, numbered anew."""
+        parents, needed = self.page.parents, bytearray(len(self.page.parents))
+        for _, n, _ in self.page.blocks:
+            needed[n] = 1
+        for k in range(len(parents) - 1, 0, -1):
+            if needed[k]:
+                needed[parents[k]] = 1
+        needed[0] = 1
+        held = [k for k in range(len(parents)) if needed[k]]
+        place = dict(zip(held, range(len(held))))
+        return [[place[parents[k]] for k in held], [self.hashes[k] for k in held], [(text, place[n], run) for (text, n, _), run in zip(self.page.blocks, self.runs)]]
+
+
+def without(packed: list, templates: set[int]) -> list[str]:
+    """Texts of the blocks that neither stand in a template nor are one."""
+    parents, hashes, blocks = packed
+    gone = [False] * len(parents)
+    for k in range(1, len(parents)):
+        gone[k] = gone[parents[k]] or hashes[k] in templates
+    return [text for text, n, run in blocks if not gone[n] and run not in templates]
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, host, html) -> (key, site, main, hashes)."""
     for batch in batches:
         for part in pieces(batch, 2, 128):
-            rows = []
-            for host, source in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                blocks, main = parsed(source, host)
-                rows.append((_signed(host), main, sorted({h for _, around in blocks for h in around})))
-            site, main, hashes = zip(*rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(site, pa.int64()), pa.array(main, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "site", "main", "hashes"])
+            made = [(_signed(host), Marked(source, host)) for host, source in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+            columns = [pa.array([s for s, _ in made], pa.int64()), pa.array([m.main for _, m in made], pa.int64()), pa.array([m.keys() for _, m in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["key", "site", "main", "hashes"])
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,11 +289,8 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         for part in pieces(batch, batch.num_columns - 1, 128):
-            made = []
-            for host, source in zip(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
-                blocks, _ = parsed(source, host)
-                number = {h: k for k, h in enumerate(dict.fromkeys(h for _, around in blocks for h in around))}
-                made.append(packer.compress(json.dumps([list(number), [(text, [number[h] for h in around]) for text, around in blocks]], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace")))
+            packed = [Marked(source, host).packed() for host, source in zip(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist())]
+            made = [packer.compress(json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace")) for x in packed]
             yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(made, pa.binary())], names=[*part.schema.names[:-2], "blocks"])
 
 
@@ -252,12 +298,8 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last two columns are blocks and template hashes, which the text that is left replaces."""
     unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
-        texts = []
-        for packed, gone in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-            hashes, blocks = json.loads(unpacker.decompress(packed))
-            templates = set(gone or ())
-            out = {k for k, h in enumerate(hashes) if h in templates}
-            texts.append("\n".join(text for text, around in blocks if out.isdisjoint(around)))
+        pairs = zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
+        texts = ["\n".join(without(json.loads(unpacker.decompress(packed)), set(gone or ()))) for packed, gone in pairs]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], names=[*batch.schema.names[:-2], "text"])
 
 

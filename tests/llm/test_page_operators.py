@@ -153,3 +153,40 @@ def test_top_k_leaves_shards_out(spark):
     sample = np.array([v for _, v in made])
     space = Space(sample, 16)
     assert 8 <= len(space.centres) <= 16 and set(space.ball(sample)) <= set(range(len(space.centres)))
+
+
+def test_names_of_furniture_leave_articles_alone():
+    blocks = lambda source: [b[0] for b in Page(source).blocks]
+    assert blocks('<article><div class="related-work"><p>a</p></div><ul class="share-prices"><li>b</ul><section id="alert-levels">c</section><div class="share-bar">z</div></article>') == ["a", "b", "c"]
+    assert blocks('<div class="post-comment-on-law"><p>law</p></div><div class="ad-slot top">x</div><div id="comments-2">y</div>') == ["law"]
+    assert blocks("<article><p>press <button>Go</button> now</p></article><button>Menu</button>") == ["press Go now"]
+
+
+def test_very_deep_markup_takes_linear_time():
+    import time
+
+    from statuta.llm.html_extract import Marked, without
+
+    n = 60_000
+    for source, text in (("<div>" * n + "x" + "</div>" * n, ["x"]), ("<b>x" * n + "<p>y" * n + "</i>" * n, None), ("<table>" + "<tr><td>z" * n, None), ("<ul><li>" * n, [])):
+        began = time.time()
+        made = Marked(source, "host")
+        assert text is None or without(made.packed(), set()) == text
+        assert time.time() - began < 30, source[:20]
+
+
+def test_furniture_that_no_rule_knows_goes_by_its_counts(spark):
+    """Generated hosts: menus and endings in plain elements, nested at random, against the hosts' own lists."""
+    rng = random.Random(21)
+    rows, want = [], {}
+    for h in range(4):
+        menu = "".join(f"<section><span>go to {h} {j}</span></section>" for j in range(6))
+        end = f"<div><div>{''.join('<h5>all rights ' + str(h) + '</h5>' for _ in range(2))}</div></div>"
+        for k in range(9):
+            own = [f"text {h} {k} {j} {rng.random()}" for j in range(rng.randrange(1, 5))]
+            wrap = rng.randrange(3)
+            page = f"<body><div><div>{menu}</div></div>{'<div>' * wrap}{''.join(f'<p>{x}</p>' for x in own)}{'</div>' * wrap}<nav>here {k}</nav>{end}</body>"
+            rows.append((100 * h + k, f"https://h{h}.example/{k}", page))
+            want[100 * h + k] = "\n".join(own)
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
