@@ -47,8 +47,8 @@ FEATURES = {
     "distinct": ("ln(n_distinct_words / n_words)", 0.2),
 }
 COVERAGE = 0.75
-#: Steps that every start takes; the best goes on for ``MAX_STEPS`` in all at most, or until the log determinant falls by less than ``SETTLED``.
-TRIALS, MAX_STEPS, SETTLED = 2, 20, 1e-3
+#: Steps that every start takes; the best goes on until the log determinant falls by less than ``SETTLED``. It falls with every step, so that comes; more than ``MAX_STEPS`` is an error.
+TRIALS, MAX_STEPS, SETTLED = 2, 200, 1e-3
 #: Rows within this quantile of the chi-square distribution give the reweighted estimate.
 REWEIGHT = 0.975
 #: Weight of the wider estimate, in rows.
@@ -335,10 +335,12 @@ def _fit(rows: DataFrame, scratch: Scratch) -> DataFrame:
             continue
         if step == TRIALS:
             made = scratch.save(made.withColumn("rank", F.row_number().over(best)).filter("rank = 1").drop("rank"), "best", parts)
-        settled = made if step == MAX_STEPS else made.filter("not open")
+        settled = made.filter("not open")
         done, params = settled if done is None else done.union(settled), made.filter("open")
         if params.isEmpty():
             break
+    else:
+        raise RuntimeError(f"estimates have not settled in {MAX_STEPS} steps")
     done = scratch.save(done, "done", parts)
 
     # Reweighting: one more aggregation over the rows that the least determinant takes for regular.

@@ -320,3 +320,21 @@ def test_weights_that_name_no_source_give_no_copy(docs_of):
     for bad in (-1.0, math.nan, math.inf):
         with pytest.raises(ValueError):
             mix_sources(docs_of(rows), {"a": bad})
+
+
+def test_estimates_of_a_source_decide(docs_of, monkeypatch):
+    """What is normal in one source is an outlier in another, and other estimates give other verdicts."""
+    from statuta.llm import quality
+
+    marked = lambda k: " ".join(w + "##" for w in _prose(k, 90 + k % 80).split())
+    plain = lambda k: _prose(k, 90 + k % 80)
+    rows = [(k, marked(k), "xx", "tags") for k in range(450)] + [(1000 + k, plain(1000 + k), "en", "prose") for k in range(1500)]
+    rows += [(5000 + k, marked(5000 + k), "en", "prose") for k in range(3)] + [(6000 + k, plain(6000 + k), "xx", "tags") for k in range(3)]
+    gone = lambda: {r.doc_id for r in quality_verdicts(docs_of(rows)).filter("not kept").collect()}
+    assert gone() == {*range(5000, 5003), *range(6000, 6003)}
+    def one_for_all(counted, scratch, fit=quality._fit):
+        found = fit(counted, scratch)
+        return found.select("g_lang", "g_source").crossJoin(found.filter("g_source = '=prose'").select("centre", "root"))
+
+    monkeypatch.setattr(quality, "_fit", one_for_all)
+    assert gone() == {*range(450), *range(5000, 5003)}
