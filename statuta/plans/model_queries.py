@@ -172,19 +172,24 @@ def forest_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forests.importance_table(forests.fit_forest(rows), chosen)
 
 
+def _chosen_by(rows: DataFrame, values: DataFrame, indexed: DataFrame, k: int) -> forests.Featured:
+    """Features of all rows with the k terms that the training rows choose."""
+    return lambda train: V.to_vectors(values, V.selected_terms(values, train, indexed, k, "doc_id", "label_index"), k, "doc_id", rows)
+
+
 @query()
 def recursive_elimination_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two steps down from 24 terms on five folds, with small forests: a hundred times the fits at full size."""
-    rows, _, k = _features(spark, sf_dir, 24)
-    return forests.recursive_elimination(rows, ["0", "1"], k, 8, step=0.34, settings=forests.Settings(trees=5, max_depth=5))[1]
+    """Two steps down from 24 terms, chosen inside each of five folds, with small forests: a hundred times the fits at full size."""
+    rows, values, indexed = _weighed(spark, sf_dir)
+    return forests.recursive_elimination(rows, ["0", "1"], 24, 8, step=0.34, settings=forests.Settings(trees=5, max_depth=5), featured=_chosen_by(rows, values, indexed, 24))[1]
 
 
 @query()
 def nested_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The elimination inside each of two outer folds, with small forests."""
-    rows, _, k = _features(spark, sf_dir, 12)
+    """The elimination inside each of two outer folds, terms chosen inside every fold, with small forests."""
+    rows, values, indexed = _weighed(spark, sf_dir)
     two = rows.withColumn("fold", F.col("fold") % 2)
-    return forests.nested_elimination(two, ["0", "1"], k, 6, step=0.5, inner_folds=2, settings=forests.Settings(trees=5, max_depth=5))[0]
+    return forests.nested_elimination(two, ["0", "1"], 12, 6, step=0.5, inner_folds=2, settings=forests.Settings(trees=5, max_depth=5), featured=_chosen_by(rows, values, indexed, 12))[0]
 
 
 #: Least share of the larger turn's words in common for two turns to be compared.

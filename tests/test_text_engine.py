@@ -313,3 +313,21 @@ def test_ranks_of_many_ties(spark):
     want = {i: k for k, (i, _) in enumerate(sorted(best, key=lambda r: (-round(r[1], 12), r[0])), 1)}
     assert {r.feature_index: r.rank for r in made} == want and len(made) == 320
     assert V.select_k_best(spark.createDataFrame([], "feature_index long, mi double"), 3).count() == 0
+
+
+def test_elimination_of_shuffled_labels_stays_at_chance(spark):
+    """Many random terms and random labels: chosen by all rows they would look well, chosen inside the folds they don't."""
+    from statuta.operators import forests, tfidf as V
+
+    rng = random.Random(12)
+    cells = [(k, f"t{j:03d}", 1.0) for k in range(60) for j in range(150) if rng.random() < 0.3]
+    values = spark.createDataFrame(cells, "doc_id long, term string, value double").persist()
+    rows = spark.createDataFrame([(k, float(rng.random() < 0.5), k % 3) for k in range(60)], "doc_id long, label_index double, fold int").persist()
+    indexed = spark.createDataFrame([(f"t{j:03d}", j) for j in range(150)], "term string, feature_index long").persist()
+    chosen = lambda train: V.to_vectors(values, V.selected_terms(values, train, indexed, 6, "doc_id", "label_index"), 6, "doc_id", rows)
+    settings = forests.Settings(trees=5, max_depth=4)
+    best = lambda data, **more: forests.recursive_elimination(data, ["0", "1"], 6, 3, step=0.5, settings=settings, **more)[1].agg(F.max("mean_inner_cv_macro_f1")).first()[0]
+    inside, leaking = best(rows, featured=chosen), best(rows.join(chosen(rows), "doc_id"))
+    assert inside < 0.62 and inside + 0.03 < leaking
+    for df in (values, rows, indexed):
+        df.unpersist()
