@@ -105,11 +105,18 @@ def with_rank(data: DataFrame, orders: list[Column], name: str = "rank") -> Data
     return ranged.join(F.broadcast(before), "__range").withColumn(name, place + F.col("__before")).drop("__range", "__before")
 
 
+#: Selections up to this size are ranked in one task; larger ones by ranges. The result is the same.
+ONE_TASK = 10_000
+
+
 def select_k_best(scores: DataFrame, k: int, score: str = "mi", index: str = "feature_index", digits: int = 12) -> DataFrame:
     """The k best features: at the cut-off the highest index stays; ``rank`` shows ties in index order."""
     rated = scores.withColumn("__s", F.round(score, digits))
-    best = with_rank(rated, [F.desc("__s"), F.desc(index)], "__place").filter(F.col("__place") <= k).drop("__place")
-    return with_rank(best, [F.desc("__s"), F.asc(index)]).withColumn("rank", F.col("rank").cast("int")).drop("__s")
+    cut, shown = [F.desc("__s"), F.desc(index)], [F.desc("__s"), F.asc(index)]
+    if k <= ONE_TASK:
+        return rated.orderBy(*cut).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*shown))).drop("__s")
+    best = with_rank(rated, cut, "__place").filter(F.col("__place") <= k).drop("__place")
+    return with_rank(best, shown).withColumn("rank", F.col("rank").cast("int")).drop("__s")
 
 
 def matrix_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import alignment as A, forests, metrics as M, splitting as S, tfidf as V, tiled_alignment
+from ..session import checkpointed
 from .base import query, table
 
 CLASSES = ["regulative", "constitutive", "non_institutional"]
@@ -45,7 +46,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = _predictions(spark, sf_dir).persist()
+    data = checkpointed(_predictions(spark, sf_dir))
     parts = [M.overall(M.confusion(data.filter(F.col("fold") == k), "actual", "predicted", CLASSES), CLASSES).withColumn("fold", F.lit(k)) for k in range(5)]
     return M.compare_models(parts).withColumn("configuration_id", F.lit("A1"))
 
@@ -140,15 +141,15 @@ def _weighed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     counts = V.term_counts(data, "doc_id", "text", 1, 1)
     vocabulary = V.fit_vocabulary(counts, data.count())
     rows = S.cv_folds(data.select("doc_id", F.col("quality").cast("double").alias("label_index")), "label_index", "doc_id")
-    return rows, V.weigh(counts, vocabulary, "doc_id").persist(), V.with_index(vocabulary.select("term")).persist()
+    return checkpointed(rows), checkpointed(V.weigh(counts, vocabulary, "doc_id")), checkpointed(V.with_index(vocabulary.select("term")))
 
 
 def _features(spark: SparkSession, sf_dir: str, k: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(rows with features, label index and fold; the terms chosen by all labelled rows; their number)."""
     rows, values, indexed = _weighed(spark, sf_dir)
     k = k or max(1, V.proportional_count(indexed.count()))
-    chosen = V.selected_terms(values, rows, indexed, k, "doc_id", "label_index").persist()
-    return rows.join(V.to_vectors(values, chosen, k, "doc_id", rows), "doc_id").persist(), chosen, k
+    chosen = checkpointed(V.selected_terms(values, rows, indexed, k, "doc_id", "label_index"))
+    return checkpointed(rows.join(V.to_vectors(values, chosen, k, "doc_id", rows), "doc_id")), chosen, k
 
 
 @query()
@@ -188,7 +189,7 @@ def recursive_elimination_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The elimination inside each of two outer folds, terms chosen inside every fold, with small forests."""
     rows, values, indexed = _weighed(spark, sf_dir)
-    two = rows.withColumn("fold", F.col("fold") % 2)
+    two = checkpointed(rows.withColumn("fold", F.col("fold") % 2))
     return forests.nested_elimination(two, ["0", "1"], 12, 6, step=0.5, inner_folds=2, settings=forests.Settings(trees=5, max_depth=5), featured=_chosen_by(rows, values, indexed, 12))[0]
 
 

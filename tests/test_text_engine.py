@@ -303,9 +303,11 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(r.page_number, r.raw_text is None) for r in pages.orderBy("page_number").collect()] == [(1, False), (2, True)]
 
 
-def test_ranks_of_many_ties(spark):
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_ranks_of_many_ties(spark, monkeypatch, one_task):
     from statuta.operators import tfidf as V
 
+    monkeypatch.setattr(V, "ONE_TASK", one_task)
     rng = random.Random(1)
     rows = [(k, rng.choice([0.0, 0.0, 0.5, rng.random()])) for k in range(500)]
     made = V.select_k_best(spark.createDataFrame(rows, "feature_index long, mi double").repartition(7), 320).collect()
