@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import tfidf as V
+from ..session import checkpointed
 from .base import query, table
 
 #: Words as the tokenizer sees them: word runs, kept from two characters on or as one of five letters.
@@ -121,7 +122,7 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 k as (select *, row_number() over (order by mi desc, feature_index desc) as r from i)
 select row_number() over (order by mi desc, feature_index) as rank, feature_index, term, mi from k where r <= 100""")
 def select_k_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = V.with_index(_information(spark, sf_dir)).withColumn("mi", F.round("mi", 9))
+    scored = V.with_index(checkpointed(_information(spark, sf_dir))).withColumn("mi", F.round("mi", 9))
     return V.select_k_best(scored, 100).select(F.col("rank").cast("long").alias("rank"), "feature_index", "term", "mi")
 
 
