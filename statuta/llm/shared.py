@@ -16,9 +16,9 @@ from contextlib import contextmanager, suppress
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import bounded_batches  # noqa: F401  the operators take it from here
+
 _U = np.uint64
-#: Most rows of an Arrow batch: texts may be long, and both sides hold several batches.
-BATCH_ROWS = 512
 _scopes: list[list[Scratch]] = []
 
 
@@ -40,13 +40,6 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of this session hold ``BATCH_ROWS`` rows at most, also those of results that are written later."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 class Scratch:
     """Tables of one operator call. ``drop`` frees one early; the rest goes with its scope, or when the driver exits."""
 

@@ -24,3 +24,12 @@ def test_mutual_information_of_shared_values_and_missing_labels(spark):
     a = 1 / 5 * ln(5 / (2 * 2)) + 1 / 5 * ln(5 / (2 * 3)) + 1 / 5 * ln(5 / 3) + 1 / 5 * ln(5 / (2 * 2)) + 1 / 5 * ln(5 / (2 * 3))
     b = 1 / 5 * ln(5 / 2) + 1 / 5 * ln(5 / (4 * 2)) + 3 / 5 * ln(5 * 3 / (4 * 3))
     assert found == {"a": round(a, 12), "b": round(b, 12)}
+
+
+def test_queries_hand_few_texts_at_once_to_python(spark, tmp_path):
+    from statuta.plans.base import table
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10000")
+    spark.range(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert table(spark, str(tmp_path), "documents").count() == 3 and 0 < int(spark.conf.get(name)) <= 512
