@@ -72,7 +72,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select term, count(*) as df, sum(tf)::bigint as tf from ({_ngrams(_TOKENS)}) group by term")
 def ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.term_counts(_docs(spark, sf_dir), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return V.term_frequencies(_docs(spark, sf_dir), "doc_id", "text")
 
 
 @query(f"select term, row_number() over (order by encode(term)) - 1 as feature_index, count(*) as df from ({_unigrams(_TOKENS)}) group by term")

@@ -33,3 +33,12 @@ def test_queries_hand_few_texts_at_once_to_python(spark, tmp_path):
     spark.conf.set(name, "10000")
     spark.range(3).write.parquet(str(tmp_path / "documents.parquet"))
     assert table(spark, str(tmp_path), "documents").count() == 3 and 0 < int(spark.conf.get(name)) <= 512
+
+
+def test_term_frequencies_of_repeated_and_single_keys(spark):
+    rows = [(1, "casa roja casa roja casa"), (2, "roja casa"), (3, None), (4, ""), (5, "una casa")]
+    of = lambda data: {r.term: (r.df, r.tf) for r in V.term_frequencies(spark.createDataFrame(data, "id int, text string"), "id", "text", 1, 2).collect()}
+    assert of(rows) == {"casa": (3, 5), "roja": (2, 3), "una": (1, 1), "casa roja": (1, 2), "roja casa": (2, 3), "una casa": (1, 1)}
+    assert of(rows + [(1, "casa")])["casa"] == (3, 6)
+    plan = V.term_frequencies(spark.createDataFrame(rows, "id int, text string"), "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
