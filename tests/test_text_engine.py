@@ -212,6 +212,25 @@ def test_similar_pairs_are_all_pairs(spark):
     assert {(r.a, r.b) for r in found.collect()} == expected and expected
 
 
+def test_rated_pairs_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(A, "PAIR_ROWS", 16)
+    monkeypatch.setattr(A, "RARE", 20)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["the", "of", "and", *(f"w{k}" for k in range(40))]) for _ in range(rng.randrange(12))) for _ in range(90)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, k string")
+    want = {(i, j): A.similarity(texts[i], texts[j]) for j in range(90) for i in range(j) if texts[i] and texts[j] and len({*texts[i].split()} & {*texts[j].split()}) >= 0.2 * max(len({*texts[i].split()}), len({*texts[j].split()}))}
+    got = {(r.a, r.b): r.similarity for r in A.rated_pairs(rows, "id", "k", 0.2).collect()}
+    assert got == want and len(got) > 100
+    spelled = spark.createDataFrame([(i, j, texts[i], texts[j]) for i, j in want], "a int, b int, ka string, kb string")
+    assert all(abs(r.s - want[r.a, r.b]) < 1e-12 for r in spelled.select("a", "b", A.token_similarity(F.col("ka"), F.col("kb")).alias("s")).collect())
+
+
+def test_copies_are_linked_by_their_first(spark):
+    rows = spark.createDataFrame([(k, "a b c d") for k in range(9, 59)] + [(3, "a b x y"), (60, "a b x y"), (61, ""), (62, None)], "id int, k string")
+    got = {(r.a, r.b): round(r.similarity, 9) for r in A.linked_classes(rows, "id", "k", 0.2).collect()}
+    assert got == {(3, 9): round(A.similarity("a b x y", "a b c d"), 9), (3, 60): 1.0} | {(9, k): 1.0 for k in range(10, 59)}
+
+
 def test_shuffled_labels_score_at_chance(spark):
     from statuta.operators import forests
 
