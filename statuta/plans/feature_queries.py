@@ -56,12 +56,14 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _labelled(spark, sf_dir)
     n = table(spark, sf_dir, "labels").count()
-    counts = V.term_counts(data, "doc_id", "text", 1, 1)
-    return V.weigh(counts, V.fit_vocabulary(counts, n), "doc_id")
+    tasks = V.task_number(n, spark)
+    counts = V.term_counts(data, "doc_id", "text", 1, 1, tasks)
+    return V.weigh(counts, V.fit_vocabulary(counts, n), "doc_id", tasks)
 
 
 def _information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.mutual_information(_weighed(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id", "quality")
+    labels = table(spark, sf_dir, "labels")
+    return V.mutual_information(_weighed(spark, sf_dir), labels, "doc_id", "quality", tasks=V.task_number(labels.count(), spark))
 
 
 @query(f"select doc_id, cast(len(t) as bigint) as n_tokens, array_to_string(t, ' ') as tokens from ({_TOKENS})")

@@ -2,8 +2,10 @@
 
 import math
 import random
+import re
 
 from statuta.operators import tfidf as V
+from statuta.plans import feature_queries
 
 
 def test_equal_documents_have_equal_weights_to_the_last_bit(spark):
@@ -42,3 +44,25 @@ def test_term_frequencies_of_repeated_and_single_keys(spark):
     assert of(rows + [(1, "casa")])["casa"] == (3, 6)
     plan = V.term_frequencies(spark.createDataFrame(rows, "id int, text string"), "id", "text")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
+
+
+def _tables(spark, folder) -> str:
+    texts = ["casa roja casa", "roja casa azul", "una casa", None, "", "casa azul azul mar", "mar roja"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, quality int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def _tasks_grow_with_texts(spark, folder, monkeypatch, name, least):
+    """The query deals texts to ``least`` tasks and more where a task may have one, and its rows stay the same."""
+    query = getattr(feature_queries, name)
+    whole = sorted(query(spark, folder).collect())
+    monkeypatch.setattr(V, "TASK_TEXTS", 1)
+    plan = query(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"RepartitionByExpression \[doc_id#\d+L?\], (\d+)", plan)]
+    assert dealt and min(dealt) >= least > spark.sparkContext.defaultParallelism
+    assert sorted(query(spark, folder).collect()) == whole and whole
+
+
+def test_mutual_information_deals_texts_before_it_counts_their_terms(spark, tmp_path, monkeypatch):
+    _tasks_grow_with_texts(spark, _tables(spark, tmp_path), monkeypatch, "mutual_information", 5)
