@@ -2,19 +2,23 @@
 
 A tree is flat rows with a parent id. Its interval labels are the place of an element in pre-order
 and the number of elements of its subtree: an element's subtree is then the run of rows
-``[preorder, preorder + subtree)``, whatever the depth. Labels and measures of a document are worked
-out together in one grouped pass over arrays, level by level within the arrays, so there is one
+``[preorder, preorder + subtree)``, whatever the depth. Labels and measures of many documents are
+worked out together as one forest in arrays, level by level within the arrays, so there is one
 shuffle and no job a level. The nested form is put together from rows in pre-order: each row opens
 its element and closes as many as end there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..session import BATCH_ROWS
+
 DOC, ID, PARENT, ORDER = "document_id", "element_id", "parent_id", "element_order"
 LABELS = ("preorder", "subtree", "depth")
 #: How a measure is rolled up, and what it begins with.
@@ -78,6 +82,50 @@ def rolled_up(values: np.ndarray, parent: np.ndarray, depth: np.ndarray, how: st
     return out
 
 
+#: Elements that are labelled at once, at least: whole documents, so that small ones don't cost a call each.
+FOREST_ROWS = 20_000
+
+
+def _codes(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """Equal values of the columns as equal numbers from 0; null is a value."""
+    whole = pa.chunked_array([c for column in columns for c in column.chunks], columns[0].type).combine_chunks()
+    codes = whole.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.split(codes, np.cumsum([len(c) for c in columns])[:-1])
+
+
+def forest_places(documents: np.ndarray, ids: np.ndarray, parents: np.ndarray, orphans: np.ndarray) -> np.ndarray:
+    """``parent_places`` of many documents, all by number: no parent outside the own document; ``orphans`` name none."""
+    span = int(max(ids.max(initial=0), parents.max(initial=0))) + 1
+    own, named = documents * span + ids, documents * span + parents
+    order = np.argsort(own, kind="stable")
+    known = own[order]
+    if (known[1:] == known[:-1]).any():
+        raise BrokenTree("an element id stands twice in a document")
+    at = np.minimum(np.searchsorted(known, named), max(len(known) - 1, 0))
+    return np.where(orphans | (known[at] != named), -1, order[at]) if len(known) else np.empty(0, np.int64)
+
+
+def _labelled_forest(table: pa.Table, measures: dict[str, tuple[str, str]], columns: list[str]) -> pa.Table:
+    """Labels of whole documents, whose rows stand together in the order of siblings."""
+    document = _codes(table[DOC])[0]
+    first = np.flatnonzero(np.r_[True, document[1:] != document[:-1]]) if len(document) else np.empty(0, np.int64)
+    start = np.repeat(first, np.diff(np.append(first, len(document))))
+    ids, parents = _codes(table[ID], table[PARENT].cast(table[ID].type))
+    parent = forest_places(document, ids, parents, table[PARENT].is_null().to_numpy())
+    # Roots of a document follow those of the one before, so its pre-order is a run of the forest's.
+    preorder, size, depth = interval_labels(parent)
+    made = [pa.array(x) for x in (preorder - start, size, depth)]
+    for how, column in measures.values():
+        empty = ROLL_UPS[how][1]
+        given = table[column].cast(pa.int64())
+        held = rolled_up(given.fill_null(empty).to_numpy(), parent, depth, how)
+        some = rolled_up((~np.asarray(given.is_null())).astype(np.int64), parent, depth, "sum") > 0
+        made.append(pa.array(held, mask=~some if how != "sum" else None))
+    for name, column in zip(columns, made):
+        table = table.append_column(name, column)
+    return table
+
+
 def with_labels(elements: DataFrame, measures: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """``elements`` with preorder (from 0 within the document), subtree and depth, and ``measures``:
     name -> (min, max or sum, integer column) over each element's subtree.
@@ -85,29 +133,36 @@ def with_labels(elements: DataFrame, measures: dict[str, tuple[str, str]] | None
     Siblings stand by element_order, equal orders by id; a parent may stand behind its children.
     Elements whose parent is not in their document are roots. Nulls take no part in a measure: one
     over nulls alone is null, a sum 0. Raises BrokenTree (in the job) for circles and ids that stand
-    twice in a document. A document is one task's work: what it holds is its own rows.
+    twice in a document. A document is one task's work; small ones are labelled many at once, and a
+    task holds some ``FOREST_ROWS`` rows and its longest document.
     """
     measures = measures or {}
     own = elements.drop(*LABELS, *measures)
     columns = [*LABELS, *measures]
     schema = StructType([*own.schema.fields, *(StructField(c, LongType()) for c in columns)])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(ORDER, "ascending"), (ID, "ascending")])
-        parent = parent_places(table[ID].to_pylist(), table[PARENT].to_pylist())
-        preorder, size, depth = interval_labels(parent)
-        made = [pa.array(x) for x in (preorder, size, depth)]
-        for how, column in measures.values():
-            empty = ROLL_UPS[how][1]
-            given = table[column].cast(pa.int64())
-            held = rolled_up(given.fill_null(empty).to_numpy(), parent, depth, how)
-            some = rolled_up((~np.asarray(given.is_null())).astype(np.int64), parent, depth, "sum") > 0
-            made.append(pa.array(held, mask=~some if how != "sum" else None))
-        for name, column in zip(columns, made):
-            table = table.append_column(name, column)
-        return table
-
-    return own.groupBy(DOC).applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, wait = [], 0, FOREST_ROWS
+        for batch in batches:
+            if batch.num_rows:
+                held, rows = held + [batch], rows + batch.num_rows
+            if rows < wait:
+                continue
+            # The last document may go on in the next batch.
+            table = pa.Table.from_batches(held)
+            document = _codes(table[DOC])[0]
+            ends = np.flatnonzero(document[1:] != document[:-1])
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            if cut:
+                yield from _labelled_forest(table.slice(0, cut), measures, columns).to_batches(BATCH_ROWS)
+                held = table.slice(cut).to_batches()
+            rows -= cut
+            wait = max(FOREST_ROWS, 2 * rows)
+        if held:
+            yield from _labelled_forest(pa.Table.from_batches(held), measures, columns).to_batches(BATCH_ROWS)
+
+    dealt = own.repartition(DOC).sortWithinPartitions(DOC, F.asc_nulls_last(ORDER), F.asc_nulls_last(ID))
+    return dealt.mapInArrow(run, schema)
 
 
 def page_ranges(elements: DataFrame) -> DataFrame:

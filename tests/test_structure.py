@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from statuta.operators import segments as G, structure as T, tree
 from statuta.plans.structure_queries import DECREE, structure_page_ranges
@@ -178,3 +179,25 @@ def test_statement_warnings(spark):
     assert found["el texto empieza en minúscula y sigue."] == "sentence_starts_lowercase"
     assert found["Corta."] == "very_short_sentence"
     assert dict(_sentences(spark, "Este texto no tiene punto final"))["Este texto no tiene punto final"] == "missing_terminal_punctuation"
+
+
+def test_small_trees_are_labelled_many_at_once_and_documents_cross_batches(spark):
+    """Half of the rows are one document, the rest documents of 50 rows; equal ids stand in all; null is a document too."""
+    k = F.col("id")
+    document = F.when(k < 45_000, "big").when(k < 45_050, None).otherwise(F.concat(F.lit("d"), F.floor(k / 50).cast("string")))
+    place = F.when(k < 45_000, k).otherwise(k % 50)
+    rows = spark.range(90_000).select(document.alias("document_id"), F.concat(F.lit("e"), place.cast("string")).alias("element_id"), F.when(place > 0, "e0").alias("parent_id"), (-place).alias("element_order"), place.alias("v"))
+    made = tree.with_labels(rows, {"least": ("min", "v"), "all": ("sum", "v")})
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    n = F.when(F.col("document_id") == "big", 45_000).otherwise(50)
+    root = F.col("v") == 0
+    right = (F.col("preorder") == F.when(root, 0).otherwise(n - F.col("v"))) & (F.col("subtree") == F.when(root, n).otherwise(1)) & (F.col("depth") == F.when(root, 0).otherwise(1)) & (F.col("least") == F.col("v")) & (F.col("all") == F.when(root, n * (n - 1) / 2).otherwise(F.col("v")))
+    assert made.count() == 90_000 and made.filter(~F.coalesce(right, F.lit(False))).count() == 0
+
+
+def test_parents_are_sought_in_the_own_document_only():
+    places = tree.forest_places(np.array([0, 0, 1, 1]), np.array([0, 1, 0, 2]), np.array([9, 0, 1, 0]), np.array([True, False, False, False]))
+    assert places.tolist() == [-1, 0, -1, 2]
+    with pytest.raises(tree.BrokenTree):
+        tree.forest_places(np.array([0, 1, 1]), np.array([0, 0, 0]), np.array([1, 1, 1]), np.array([True] * 3))
