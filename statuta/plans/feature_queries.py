@@ -79,14 +79,16 @@ def ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select term, row_number() over (order by encode(term)) - 1 as feature_index, count(*) as df from ({_unigrams(_TOKENS)}) group by term")
 def vocab_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = V.term_counts(_docs(spark, sf_dir), "doc_id", "text", 1, 1)
+    docs = _docs(spark, sf_dir)
+    counts = V.term_counts(docs, "doc_id", "text", 1, 1, V.task_number(docs.count(), spark))
     return V.with_index(counts.groupBy("term").agg(F.count("*").alias("df")))
 
 
 @query(f"with {_values(_LABELLED)} select term, df, round(idf, 9) as idf from v")
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = V.term_counts(_labelled(spark, sf_dir), "doc_id", "text", 1, 1)
-    return V.fit_vocabulary(counts, table(spark, sf_dir, "labels").count()).select("term", "df", F.round("idf", 9).alias("idf"))
+    n = table(spark, sf_dir, "labels").count()
+    counts = V.term_counts(_labelled(spark, sf_dir), "doc_id", "text", 1, 1, V.task_number(n, spark))
+    return V.fit_vocabulary(counts, n).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"with {_values(_LABELLED)} select doc_id, term, round(value, 9) as value from x")
@@ -108,10 +110,10 @@ w2 as (select doc_id, term, tf * idf as raw from unseen join v using (term))
 select doc_id, count(*) as n_terms, round(max(raw / norm), 9) as largest from (select *, sqrt(sum(raw * raw) over (partition by doc_id)) as norm from w2) group by doc_id""")
 def transform_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows outside the fitted set: terms that training did not see drop out."""
-    counts = V.term_counts(_labelled(spark, sf_dir), "doc_id", "text", 1, 1)
-    vocabulary = V.fit_vocabulary(counts, table(spark, sf_dir, "labels").count())
-    rest = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
-    out = V.weigh(V.term_counts(rest, "doc_id", "text", 1, 1), vocabulary, "doc_id")
+    docs, n = _docs(spark, sf_dir), table(spark, sf_dir, "labels").count()
+    fitted = V.term_counts(_labelled(spark, sf_dir), "doc_id", "text", 1, 1, V.task_number(n, spark))
+    rest, tasks = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_anti"), V.task_number(docs.count(), spark)
+    out = V.weigh(V.term_counts(rest, "doc_id", "text", 1, 1, tasks), V.fit_vocabulary(fitted, n), "doc_id", tasks)
     return out.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("value"), 9).alias("largest"))
 
 

@@ -66,3 +66,7 @@ def _tasks_grow_with_texts(spark, folder, monkeypatch, name, least):
 
 def test_mutual_information_deals_texts_before_it_counts_their_terms(spark, tmp_path, monkeypatch):
     _tasks_grow_with_texts(spark, _tables(spark, tmp_path), monkeypatch, "mutual_information", 5)
+
+
+def test_unseen_texts_are_dealt_as_the_fitted_ones_are(spark, tmp_path, monkeypatch):
+    _tasks_grow_with_texts(spark, _tables(spark, tmp_path), monkeypatch, "transform_unseen", 5)
