@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from statuta.operators import tfidf as V
 from statuta.plans import feature_queries
 
@@ -70,3 +72,16 @@ def test_mutual_information_deals_texts_before_it_counts_their_terms(spark, tmp_
 
 def test_unseen_texts_are_dealt_as_the_fitted_ones_are(spark, tmp_path, monkeypatch):
     _tasks_grow_with_texts(spark, _tables(spark, tmp_path), monkeypatch, "transform_unseen", 5)
+
+
+def test_matrices_are_compared_by_grouped_cells_without_a_join(spark):
+    of = lambda *cells: spark.createDataFrame(list(cells), "d int, t string, value double")
+    found = lambda a, b: V.matrix_difference(a, b, ["d", "t"]).first().max_difference
+    a = of((1, "a", 0.5), (1, "b", -2.0), (2, "a", None), (3, "c", 1.0))
+    assert found(a, a) == 0.0 and found(a, of()) == 2.0 and found(of(), a) == 2.0 and found(of(), of()) == 0.0
+    assert found(a, of((1, "a", 0.75), (1, "b", -2.0), (3, "c", 1.0), (4, "a", 0.0))) == 0.25
+    assert found(a, of((2, "a", -3.0), (1, "b", -2.0), (3, "c", 1.0))) == 3.0
+    assert found(of((1, "a", 1.0), (1, "a", 5.0)), of((1, "a", 2.0))) == 3.0
+    dealt = a.repartition(5, "d")
+    plan = V.matrix_difference(dealt, dealt.withColumn("value", F.round("value", 1)), ["d", "t"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(d" in plan and ", t#" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
