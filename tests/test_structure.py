@@ -201,3 +201,29 @@ def test_parents_are_sought_in_the_own_document_only():
     assert places.tolist() == [-1, 0, -1, 2]
     with pytest.raises(tree.BrokenTree):
         tree.forest_places(np.array([0, 1, 1]), np.array([0, 0, 0]), np.array([1, 1, 1]), np.array([True] * 3))
+
+
+def test_structure_takes_one_shuffle_and_one_sort(spark):
+    plan = T.parse_structure(_pages(spark))._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(document_id") == plan.count("Exchange") == 1 and "Window" not in plan and "Aggregate" not in plan
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_marks_are_found_whatever_letter_they_begin_with(spark):
+    lines = [t for t, _ in DECREE] + ["tItulo IV x", "ſección I rara", "ıv. raro", "Ítem", "Párrafo 2", "Subsección V", "artículo único transitorio: x", "Cuadro 3. Uno", "Gráfico 1: a", "figura 2. b", "ANEXO: c", "fuente: d", "z.9) e", "x. f", "– g", "tómese razón", "Registrese", "B. Letra"]
+    frame = spark.createDataFrame([("D", 1, t) for t in lines], "document_id string, page_number int, text string")
+    plain = F.coalesce(*(F.when(F.rlike("text", F.lit(T.MARKS[k])), T.CODE[k]) for k in T.MARKS), F.lit(T.CODE["rest"]))
+    told = T._told(frame).select(F.col("said") == plain, F.col("is_field") == F.rlike("text", F.lit(T.METADATA_FIELD)), F.col("note") == F.rlike("text", F.lit(T.NOTE_OF_OBJECT))).collect()
+    assert len(told) == len(lines) and all(all(r) for r in told)
+
+
+def test_lines_of_many_documents_go_on_over_pages_and_reviews_rise(spark):
+    text = "CAPÍTULO I\nArtículo 1: El texto que"
+    rows = [(d, p, t, p == 2 and d == "D007", "c" if p == 2 else None) for d in [f"D{k:03d}" for k in range(300)] + [None] for p, t in ((2, "continúa aquí.\na) letra"), (1, text))]
+    pages = spark.createDataFrame(rows, "document_id string, page_number int, normalized_text string, requires_manual_review boolean, review_reason_code string")
+    found = {}
+    for r in T.parse_structure(pages).orderBy("element_order").collect():
+        found.setdefault(r.document_id, []).append((r.element_type, r.element_text, r.page_end, r.requires_manual_review, r.review_reason_code))
+    plain = [("chapter", None, 2, 0, None), ("article", None, 2, 0, None), ("paragraph", "El texto que continúa aquí.", 2, 0, None), ("lettered_item", "letra", 2, 0, "c")]
+    assert len(found) == 301 and all(v == plain for k, v in found.items() if k != "D007")
+    assert found["D007"] == [("chapter", None, 2, 0, None), ("article", None, 2, 1, "c"), plain[2], ("lettered_item", "letra", 2, 1, "c")]
